@@ -1,0 +1,17 @@
+"""The flagship report: rule hits over text lines, severity, best hit per block, counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sentrel.session import table
+
+
+def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("n_documents"))
+
+
+QUERIES = {"risk_report": risk_report}
+ORACLES = {"risk_report": "SELECT lang, count(*) AS n_documents FROM documents GROUP BY lang"}
