@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sentrel.llm import decontaminate, pieces, sharding, simhash, sketches, url_templates
+from sentrel.llm import decontaminate, pieces, quality, sharding, simhash, sketches, toxicity, url_templates
 
-_MODULES = (simhash, decontaminate, url_templates, sharding, sketches, pieces)
+_MODULES = (simhash, decontaminate, url_templates, sharding, sketches, quality, pieces, toxicity)
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
