@@ -33,10 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write a frame to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    The shuffles of the written job are garbage then; the collection lets Spark's cleaner drop their files now.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
