@@ -86,10 +86,11 @@ def _short_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for m in lengths:
         starts = F.when(F.size("w") >= m, F.sequence(F.lit(1), F.size("w") - m + 1)).otherwise(F.array().cast("array<int>"))
-        rows = docs.select("doc_id", "tag", F.size("w").cast("long").alias("n_words"), F.explode(F.transform(starts, lambda j, m=m: F.struct(j.alias("j"), ascii_lower(_joined(F.col("w"), j, m)).alias("whole")))).alias("p"))
+        at = F.explode(starts).alias("j")
+        rows = docs.select("doc_id", "tag", "w", F.size("w").cast("long").alias("n_words"), at).select("doc_id", "tag", "n_words", "j", ascii_lower(_joined(F.col("w"), F.col("j"), m)).alias("whole"))
         side = items.where(F.col("len") == m)
         side = F.broadcast(side) if small_enough(side, 256) else side
-        rows = rows.select("doc_id", "tag", "n_words", "p.*").join(side, "whole").select("doc_id", "tag", "n_words", "j", "item_id", "len", F.array("j").alias("starts"))
+        rows = rows.join(side, "whole").select("doc_id", "tag", "n_words", "j", "item_id", "len", F.array("j").alias("starts"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
