@@ -134,7 +134,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = dropped_lines(docs)
     rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__tag": F.xxhash64(F.coalesce("text", F.lit("")))})
     rows = rows.join(gone.select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), F.col("gone").alias("__gone")), ["__did", "__tag"], "left")
-    left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__gone", i))
+    lines = F.split("text", "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(lines, i))
     rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     rows = rows.where(F.col("__gone").isNull() | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
