@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sentrel.plans import risk
+from sentrel.plans import records, text
 
-QUERIES = {**risk.QUERIES}
-ORACLES = {**risk.ORACLES}
+_PLANS = (text, records)
+
+QUERIES = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
+ORACLES = {k: q for p in _PLANS for k, q in p.ORACLES.items()}

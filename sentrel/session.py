@@ -22,3 +22,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test layout; columns are pruned by the plan that reads it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    import tempfile
+
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="sentrel-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back, for loops whose plan would grow."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
