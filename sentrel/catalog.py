@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sentrel.plans import records, text
+from sentrel.plans import measures, records, text, walks
 
-_PLANS = (text, records)
+_PLANS = (text, records, walks, measures)
 
 QUERIES = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
 ORACLES = {k: q for p in _PLANS for k, q in p.ORACLES.items()}

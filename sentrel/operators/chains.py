@@ -26,7 +26,7 @@ def role_paths(spark: SparkSession, roles: Sequence[str], rows: Sequence[tuple[s
             steps.setdefault(a, []).append((b, label))
     out = []
     for start in sorted(roles):  # configuration-sized: the roles of the table
-        level, seen = [([start], [])], {start}
+        level, seen = [([start], [])], set()
         while level:
             grown: dict[str, tuple] = {}
             for path, labels in level:
@@ -35,7 +35,7 @@ def role_paths(spark: SparkSession, roles: Sequence[str], rows: Sequence[tuple[s
                         grown[b] = min(grown.get(b, ([*path, b], [*labels, label])), ([*path, b], [*labels, label]))
             out += [(start, b, p, " -> ".join(labels)) for b, (p, labels) in grown.items()]
             seen |= set(grown)
-            level = list(grown.values())
+            level = [g for b, g in grown.items() if b != start]  # a way back to the start ends there
     return spark.createDataFrame(out, "src string, dst string, path array<string>, label string")
 
 
@@ -54,7 +54,7 @@ def chains(findings: DataFrame, paths: DataFrame, top: int = 50) -> DataFrame:
     ends = findings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
     a = ends.select(F.col("role").alias("src"), F.struct("id", "severity", "confidence").alias("a"))
     b = ends.select(F.col("role").alias("dst"), F.struct("id", "severity", "confidence").alias("b"))
-    rows = F.broadcast(legs).join(a, "src").join(b, "dst")
+    rows = F.broadcast(legs).join(a, "src").join(b, "dst").where("a.id <> b.id")
     links = F.concat(F.array("a"), F.coalesce(F.transform("mids", lambda m: m["rep"]), F.array().cast("array<struct<id:bigint,severity:int,confidence:double>>")), F.array("b"))
     rows = rows.select("label", links.alias("links"))
     size = F.size("links")
