@@ -10,21 +10,24 @@ from sentrel.session import cut_lineage
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, how: str = "inner") -> DataFrame:
     """Points joined to every span of the same key with start <= at <= end."""
-    return points.join(spans, (points[key] == spans[key]) & points[at].between(spans[start], spans[end]), how).drop(spans[key])
+    s = spans.withColumnRenamed(key, "_key")
+    return points.join(s, (F.col(key) == F.col("_key")) & F.col(at).between(F.col(start), F.col(end)), how).drop("_key")
 
 
 def enclosing_bucketed(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
     """The same for large keys: spans are dealt to buckets of ``width`` so that a bucket is an equality key."""
     p = points.withColumn("_b", F.floor(F.col(at) / width).cast("long"))
     s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long"))))
-    return p.join(s, (p[key] == s[key]) & (p["_b"] == s["_b"]) & p[at].between(s[start], s[end])).drop(s[key], p["_b"], s["_b"])
+    s = s.withColumnsRenamed({key: "_key", "_b": "_sb"})
+    return p.join(s, (F.col(key) == F.col("_key")) & (F.col("_b") == F.col("_sb")) & F.col(at).between(F.col(start), F.col(end))).drop("_key", "_b", "_sb")
 
 
 def enclosing_or_next(points: DataFrame, spans: DataFrame, key: str, ident: str, at: str, start: str, end: str, reach) -> DataFrame:
     """Enclosing spans; a point without any takes the spans that start within ``reach`` after it."""
     inside = enclosing(points, spans, key, at, start, end).withColumn("how", F.lit("inside"))
     lost = points.join(inside.select(ident).distinct(), ident, "left_anti")
-    after = lost.join(spans, (lost[key] == spans[key]) & (spans[start] > lost[at]) & (spans[start] <= lost[at] + reach)).drop(spans[key]).withColumn("how", F.lit("next"))
+    s = spans.withColumnRenamed(key, "_key")
+    after = lost.join(s, (F.col(key) == F.col("_key")) & (F.col(start) > F.col(at)) & (F.col(start) <= F.col(at) + reach)).drop("_key").withColumn("how", F.lit("next"))
     return inside.unionByName(after)
 
 
