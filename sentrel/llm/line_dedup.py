@@ -55,13 +55,15 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """(h1, h2, front, back): lines that share their first or last half with another line."""
+    """(h1, front, back): lines that share their first or last half with another line."""
     even = F.col("n") % 2 == 0
-    part = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("key"))
-    halves = F.when(even, F.array(part(0, "fa"), part(0, "fb"), part(1, "ba"), part(1, "bb"))).otherwise(F.array(part(0, "fa"), part(1, "ba")))
-    keyed = distinct.where(F.col("n") >= LEAST - 1).select("h1", "h2", F.explode(halves).alias("p")).select("h1", "h2", "p.side", "p.key")
+    # the low bit of a key tells the side, so that a row of the shuffle is two numbers
+    front, back = (lambda c: F.col(c).bitwiseAND(F.lit(-2))), (lambda c: F.col(c).bitwiseOR(F.lit(1)))
+    halves = F.when(even, F.array(front("fa"), front("fb"), back("ba"), back("bb"))).otherwise(F.array(front("fa"), back("ba")))
+    keyed = distinct.where(F.col("n") >= LEAST - 1).select("h1", F.explode(halves).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    return keyed.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.max(F.col("side") == 0).alias("front"), F.max(F.col("side") == 1).alias("back"))
+    side = F.col("key").bitwiseAND(F.lit(1))
+    return keyed.join(shared, "key", "left_semi").groupBy("h1").agg(F.max(side == 0).alias("front"), F.max(side == 1).alias("back"))
 
 
 def _variants(cand: DataFrame) -> DataFrame:
@@ -110,14 +112,18 @@ def judge_lines(docs: DataFrame) -> DataFrame:
     lines = materialize(_hashed(lines_of(docs)), "lines")
     full = lines.where("n > 0")
     distinct = materialize(full.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), *(F.first(c).alias(c) for c in ("n", "fa", "fb", "ba", "bb"))), "distinct-lines")
-    wanted = _candidates(distinct).join(distinct.select("h1", "h2", "ord"), ["h1", "h2"])
+    wanted = _candidates(distinct).join(distinct.select("h1", "h2", "ord"), "h1")
     where = F.floor(F.col("ord") / F.lit(1 << 31))
-    wanted = wanted.select("h1", "h2", "front", "back", "ord", where.cast("long").alias("did"), (F.col("ord") - where * F.lit(1 << 31)).cast("int").alias("pos"))
-    # a line's words are read again only here; its place finds it, its hash tells versions of a document apart
-    texts = lines_of(docs).where(F.size("w") >= LEAST - 1).select("did", "pos", "w", F.xxhash64("w").alias("g1"), F.xxhash64(F.lit(1), "w").alias("g2"))
-    cand = texts.join(wanted, ["did", "pos"]).where("g1 = h1 AND g2 = h2").dropDuplicates(["ord", "h1"])
-    cand = materialize(cand.select("ord", "h1", "h2", "front", "back", F.size("w").alias("n"), "w"), "candidate-lines")
-    near = _verified(_partners(_variants(cand)), cand).groupBy("h1", "h2").agg(F.lit(True).alias("near"))
+    wanted = wanted.select(where.cast("long").alias("did"), F.struct((F.col("ord") - where * F.lit(1 << 31)).cast("int").alias("pos"), "h1", "h2", "front", "back", "ord").alias("c"))
+    wanted = wanted.groupBy("did").agg(F.collect_list("c").alias("cs"))  # a document's own lines
+    # texts are read again for the words of candidates; a place finds a line, its hash tells versions of a document apart
+    texts = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), "text").where("text IS NOT NULL")
+    held = texts.join(wanted, "did").select("cs", F.split("text", "\n", -1).alias("lines"))
+    found = held.select(F.explode(F.transform("cs", lambda c: F.struct(c.alias("c"), F.get("lines", c["pos"]).alias("line")))).alias("x")).select("x.c.*", _words(F.coalesce("x.line", F.lit(""))).alias("w"))
+    found = found.where((F.xxhash64("w") == F.col("h1")) & (F.xxhash64(F.lit(1), "w") == F.col("h2"))).dropDuplicates(["ord", "h1"])
+    cand = materialize(found.select("ord", "h1", "h2", "front", "back", F.size("w").alias("n"), "w"), "candidate-lines")
+    variants = materialize(_variants(cand), "variants")
+    near = _verified(_partners(variants), cand).groupBy("h1", "h2").agg(F.lit(True).alias("near"))
     verdict = distinct.select("h1", "h2", F.col("ord").alias("first")).join(near, ["h1", "h2"], "left")
     kind = F.when(F.col("first") < F.col("ord"), "exact").when(F.col("near"), "near").otherwise("keep")
     judged = full.join(verdict, ["h1", "h2"]).select("doc_id", "did", "tag", "pos", "n", kind.alias("kind"))
