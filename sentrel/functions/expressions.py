@@ -64,3 +64,23 @@ def first_match(rules: Iterable[tuple[Column, str]], default: str) -> Column:
     for cond, name in rules:
         out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
+
+
+def json_body(text: Column) -> Column:
+    """The JSON object inside a model's answer: think blocks and fences go, then from the first brace to the last."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
+    return F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+
+
+def chunk_of(position: Column, size: int = 500) -> Column:
+    return F.floor((position - 1) / size)
+
+
+def tokens_of(text: Column) -> Column:
+    """Tokens by the rule of four characters each."""
+    return F.floor(F.length(text) / 4)
+
+
+def hypotheses(tokens_per_second: Column) -> Column:
+    """How many answers of 2048 tokens fit in three minutes, 1 to 10."""
+    return F.least(F.lit(10), F.greatest(F.lit(1), F.floor(tokens_per_second * 180 / 2048)))

@@ -99,3 +99,19 @@ def keyword_list(words: Column, n: int = 8) -> Column:
 def statistics(records: DataFrame) -> DataFrame:
     """One pass of conditional counts over (id, epss, known_flag, cvss, exploit)."""
     return records.agg(F.count("*").alias("total"), F.count_if(F.col("known_flag") == 1).alias("known"), F.count_if(F.col("epss").isNotNull()).alias("scored"), F.count_if(F.col("cvss") >= 9).alias("critical"), F.count_if(F.col("exploit") == 1).alias("exploited"))
+
+
+def context_for(paths: DataFrame, records: DataFrame, path_id: str, cwe: str, category: str, score: str, top: int = 3) -> DataFrame:
+    """Per path the top records by ``score`` that share its CWE id; a path without any takes those of its category.
+
+    records: (id, cwe_ids array, category, score). CWE ids meet by equality after an explode, not by substring.
+    """
+    by_cwe = paths.drop(category).join(records.withColumn(cwe, F.explode("cwe_ids")), cwe).withColumn("how", F.lit("cwe"))
+    lost = paths.join(by_cwe.select(path_id).distinct(), path_id, "left_anti")
+    by_class = lost.join(records, category).withColumn("how", F.lit("category"))
+    rows = by_cwe.select(path_id, "id", "how", score).unionByName(by_class.select(path_id, "id", "how", score))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(path_id).orderBy(F.desc(score), "id"))).where(F.col("rank") <= top)
+
+
+def top_list(records: DataFrame, keep: Column, order: Sequence, limit: int) -> DataFrame:
+    return records.where(keep).orderBy(*order).limit(limit)

@@ -172,7 +172,20 @@ def exploitable_paths(spark, d):
     return f.groupBy("category", e.alias("exploitable")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (compat_pairs, file_limited_pairs, enrich_left, knowledge_stats, rank_records, upsert_last, like_lookup_top, keyword_search, keyword_fallback, index_search, semantic_topk, class_catalog, coverage_anti, resume_anti, dep_rank, best_per_sink, tiered_budget, score_prioritise, strategic_sample, coverage_plan, keep_first, adaptive_config, estimate, exploitable_paths)}
+def path_context(spark, d):
+    """Suppliers as paths with a CWE by nation, parts as records; nations past 20 have no record and take their region's."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.concat(F.lit("C"), F.col("n_regionkey")).alias("category"))
+    found = table(spark, d, "supplier").join(nation, "s_nationkey").select("s_suppkey", F.concat(F.lit("CWE-"), F.col("s_nationkey")).alias("cwe"), "category")
+    cwe = lambda k: F.concat(F.lit("CWE-"), (F.col("p_partkey") % k).cast("string"))
+    records = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_distinct(F.array(cwe(20), cwe(7))).alias("cwe_ids"), F.concat(F.lit("C"), F.col("p_partkey") % 5).alias("category"), (F.col("p_size") + F.col("p_retailprice")).alias("score"))
+    return K.context_for(found, records, "s_suppkey", "cwe", "category", "score").select("s_suppkey", "id", "how", "rank")
+
+
+def top_records(spark, d):
+    return K.top_list(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), F.col("p_size") >= 40, [F.desc("p_size"), F.desc("p_retailprice"), "p_partkey"], 25)
+
+
+QUERIES = {f.__name__: f for f in (compat_pairs, file_limited_pairs, enrich_left, knowledge_stats, rank_records, upsert_last, like_lookup_top, keyword_search, keyword_fallback, index_search, semantic_topk, class_catalog, coverage_anti, resume_anti, dep_rank, best_per_sink, tiered_budget, score_prioritise, strategic_sample, coverage_plan, keep_first, adaptive_config, estimate, exploitable_paths, path_context, top_records)}
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _F = """f AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
@@ -229,5 +242,9 @@ ORACLES = {
         CASE WHEN p < 5000 THEN 0 WHEN p >= 50000 THEN greatest(2000, least(5000, p // 15)) WHEN p >= 30000 THEN greatest(2000, least(4000, p // 15)) ELSE 2000 END AS cap FROM n""",
     "estimate": """WITH n AS (SELECT lang, count(*) AS f FROM documents GROUP BY 1), p AS (SELECT *, greatest(50, floor(f * 3 * f * 2 * 1e-4)) AS paths FROM n)
       SELECT lang, f * 5.0 AS functions, f * 3.0 AS sources, f * 2.0 AS sinks, paths::DOUBLE AS paths, least(5000, paths) * 15 / 60.0 AS minutes FROM p""",
+    "path_context": """WITH f AS (SELECT s_suppkey, s_nationkey AS k, n_regionkey AS g FROM supplier JOIN nation ON n_nationkey = s_nationkey), r AS (SELECT p_partkey AS id, p_size + p_retailprice AS score FROM part),
+      a AS (SELECT s_suppkey, id, 'cwe' AS how, score FROM f JOIN r ON id % 20 = k OR id % 7 = k), b AS (SELECT * FROM a UNION ALL SELECT s_suppkey, id, 'category', score FROM f JOIN r ON id % 5 = g WHERE s_suppkey NOT IN (SELECT s_suppkey FROM a))
+      SELECT s_suppkey, id, how, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 3""",
+    "top_records": "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size >= 40 ORDER BY p_size DESC, p_retailprice DESC, p_partkey LIMIT 25",
     "exploitable_paths": f"WITH {_F} SELECT category, CASE WHEN blocked THEN false WHEN steps > 0 AND steps % 2 <> 0 THEN false ELSE true END AS exploitable, count(*) AS n FROM f GROUP BY ALL",
 }

@@ -43,3 +43,26 @@ def architecture(files: DataFrame) -> DataFrame:
     one = by.agg(F.array_distinct(F.flatten(F.collect_list("folders"))).alias("folders"), F.array_sort(F.collect_list("language")).alias("languages"), F.max_by("language", F.struct("n", "language")).alias("primary"))
     kind = F.when(has("services", "microservices"), "microservices").when(has("drivers", "kernel"), "kernel").when(has("controllers", "views", "models"), "mvc").when(has("api", "routes"), "api").when(has("cmd", "cli"), "cli").when(has("src", "lib"), "library").otherwise("flat")
     return one.select(kind.alias("architecture"), "languages", "primary")
+
+
+#: Words in manifests that name a framework.
+FRAMEWORKS = {"django": "Django", "flask": "Flask", "fastapi": "FastAPI", "express": "Express", "react": "React", "vue": "Vue", "spring": "Spring", "rails": "Rails", "laravel": "Laravel", "gin-gonic": "Gin", "actix": "Actix", "next": "Next.js", "torch": "PyTorch", "tensorflow": "TensorFlow"}
+#: Build files and the build tool of each.
+BUILDS = {"pom.xml": "maven", "build.gradle": "gradle", "package.json": "npm", "Cargo.toml": "cargo", "go.mod": "go", "CMakeLists.txt": "cmake", "Makefile": "make", "setup.py": "setuptools", "pyproject.toml": "pyproject", "Gemfile": "bundler", "composer.json": "composer", "Dockerfile": "docker"}
+
+
+def frameworks(files: DataFrame) -> DataFrame:
+    """(kind, name, file): frameworks named in the first 16 KB of manifests, and build tools by file name."""
+    from sentrel.functions.expressions import lookup
+
+    name = F.element_at(F.split("path", "/"), -1)
+    manifests = files.where(name.isin(*BUILDS) | name.rlike(r"^requirements.*\.txt$"))
+    head = F.lower(F.substring("content", 1, 16384))
+    found = F.filter(F.array(*(F.when(head.contains(k), F.lit(v)) for k, v in FRAMEWORKS.items())), lambda x: x.isNotNull())
+    hits = manifests.select(F.lit("framework").alias("kind"), F.explode(found).alias("name"), F.col("path").alias("file"))
+    return hits.unionByName(files.where(name.isin(*BUILDS)).select(F.lit("build").alias("kind"), lookup(name, BUILDS).alias("name"), F.col("path").alias("file"))).distinct()
+
+
+def evaluation_cases(files: DataFrame, vulnerable: str) -> DataFrame:
+    """(file, language, has_vulnerability) of a corpus whose vulnerable files match a pattern."""
+    return files.select(F.col("path").alias("file"), "language", F.col("path").rlike(vulnerable).alias("has_vulnerability"))

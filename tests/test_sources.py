@@ -63,3 +63,16 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/d/events.parquet")
     assert sorted((r.hour.hour, r.n) for r in E.stream_windows(spark, f"{tmp_path}/d").collect()) == [(5, 3), (6, 3)]
     assert [(r.n, r.n_distinct) for r in E.stream_resume(spark, f"{tmp_path}/d").collect()] == [(6, 6)]
+
+
+def test_frameworks_cases_and_answers(spark):
+    from pyspark.sql import functions as F
+
+    from sentrel.functions.expressions import chunk_of, hypotheses, json_body
+
+    t = A._tree(spark)
+    assert {(r.kind, r.name) for r in files.frameworks(t).collect()} >= {("framework", "Flask"), ("build", "npm"), ("build", "cargo"), ("build", "go")}
+    assert files.evaluation_cases(t, r"^src/").where("has_vulnerability").count() == 2
+    df = spark.createDataFrame([('<think>{"a":0}</think> ok ```json\n{"a": {"b": 1}}\n``` bye', 501, 47.2)], "t string, n int, r double")
+    assert tuple(df.select(json_body(F.col("t")), chunk_of(F.col("n")), hypotheses(F.col("r"))).first()) == ('{"a": {"b": 1}}', 1, 4)
+    assert files.architecture(t.where("language IS NOT NULL")).first().architecture == "library"
