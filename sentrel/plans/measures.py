@@ -77,7 +77,7 @@ def budget_pack(spark, d):
 
 def event_windows(spark, d):
     """Tumbling hours as a batch; the stream of the same name gives equal rows."""
-    e = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type")
+    e = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type")
     return e.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -100,7 +100,7 @@ ORACLES = {
     "verdict_summary": "SELECT l_linestatus AS analysis_source, count(*) FILTER (l_returnflag = 'A') AS \"VERIFIED_EXPLOITABLE\", count(*) FILTER (l_returnflag = 'R') AS \"BLOCKED\", count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS \"UNCERTAIN\" FROM lineitem GROUP BY 1",
     "severity_breakdown": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1",
     "calibrate": """WITH p AS (SELECT l_suppkey, avg((l_returnflag = 'A')::DOUBLE::DOUBLE) AS p FROM lineitem GROUP BY 1)
-      SELECT l_suppkey, round(p, 6) AS precision, round(least(0.95, greatest(0.3, 0.6 + CASE WHEN p * 3 < 0.3 THEN 0.15 WHEN p * 3 < 0.5 THEN 0.1 WHEN p * 3 < 0.7 THEN 0.05 WHEN p * 3 > 0.9 THEN -0.05 ELSE 0 END)), 4) AS threshold FROM p""",
+      SELECT l_suppkey, round(p, 6) AS precision, round(least(0.95, greatest(0.3, 0.6 + CASE WHEN p * 3 < 0.3 THEN 0.15 WHEN p * 3 < 0.5 THEN 0.1 WHEN p * 3 < 0.7 THEN 0.05 WHEN p * 3 > 0.9 THEN -0.05 ELSE 0 END)), 4)::DOUBLE AS threshold FROM p""",
     "json_extract": "SELECT event_type, sum((props::JSON->>'k')::INT)::BIGINT AS k, count(*) FILTER ((props::JSON->>'k')::INT > 50) AS large FROM events GROUP BY 1",
     "budget_pack": "SELECT * FROM (SELECT doc_id, source || '/' || lang AS grp, sum(n_chars // 4) OVER (PARTITION BY source, lang ORDER BY doc_id)::BIGINT AS running FROM documents) WHERE running <= 4000",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

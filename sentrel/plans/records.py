@@ -241,7 +241,7 @@ ORACLES = {
       SELECT source, CASE WHEN mb > 1000 THEN 'huge' WHEN files < 100 THEN 'small' WHEN files < 1000 THEN 'medium' WHEN files < 10000 THEN 'large' ELSE 'huge' END AS scale,
         CASE WHEN p < 5000 THEN 0 WHEN p >= 50000 THEN greatest(2000, least(5000, p // 15)) WHEN p >= 30000 THEN greatest(2000, least(4000, p // 15)) ELSE 2000 END AS cap FROM n""",
     "estimate": """WITH n AS (SELECT lang, count(*) AS f FROM documents GROUP BY 1), p AS (SELECT *, greatest(50, floor(f * 3 * f * 2 * 1e-4)) AS paths FROM n)
-      SELECT lang, f * 5.0 AS functions, f * 3.0 AS sources, f * 2.0 AS sinks, paths::DOUBLE AS paths, least(5000, paths) * 15 / 60.0 AS minutes FROM p""",
+      SELECT lang, (f * 5)::DOUBLE AS functions, (f * 3)::DOUBLE AS sources, (f * 2)::DOUBLE AS sinks, paths::DOUBLE AS paths, (least(5000, paths) * 15 / 60)::DOUBLE AS minutes FROM p""",
     "path_context": """WITH f AS (SELECT s_suppkey, s_nationkey AS k, n_regionkey AS g FROM supplier JOIN nation ON n_nationkey = s_nationkey), r AS (SELECT p_partkey AS id, p_size + p_retailprice AS score FROM part),
       a AS (SELECT s_suppkey, id, 'cwe' AS how, score FROM f JOIN r ON id % 20 = k OR id % 7 = k), b AS (SELECT * FROM a UNION ALL SELECT s_suppkey, id, 'category', score FROM f JOIN r ON id % 5 = g WHERE s_suppkey NOT IN (SELECT s_suppkey FROM a))
       SELECT s_suppkey, id, how, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 3""",
