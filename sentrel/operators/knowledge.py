@@ -76,8 +76,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float, ident: str, vec: str) -> DataFrame:
-    """Per query the k most similar vectors by cosine, from ``least`` up. queries: (query_id, q); a stated, small set."""
-    rows = vectors.withColumn("_v", normalised(F.col(vec))).crossJoin(F.broadcast(queries.withColumn("_q", normalised(F.col("q")))))
+    """Per query the k most similar vectors by cosine, from ``least`` up. queries: (query_id, q), a stated set.
+
+    The queries are broadcast while their number keeps them under 64 MB; beyond it both sides meet in blocks.
+    """
+    side = queries.withColumn("_q", normalised(F.col("q"))).drop("q")
+    side = F.broadcast(side) if side.count() * 16_384 <= 64 << 20 else side
+    rows = vectors.withColumn("_v", normalised(F.col(vec))).crossJoin(side)
     rows = rows.withColumn("similarity", F.round(dot(F.col("_v"), F.col("_q")), 6)).where(F.col("similarity") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), ident)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", ident, "similarity", "rank")

@@ -88,7 +88,7 @@ def index_search(spark, d):
 
 def semantic_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return K.semantic_topk(e, q, 10, 0.1, "vec_id", "embedding")
 
 
@@ -210,7 +210,7 @@ ORACLES = {
     "keyword_fallback": f"SELECT doc_id, n_chars, 'any' AS matched FROM documents WHERE list_has_any({_TOK}, ['zzzzq', 'worthless', 'scum']) ORDER BY n_chars DESC, doc_id LIMIT 100",
     "index_search": f"WITH t AS (SELECT doc_id, unnest({_TOK}) AS token FROM documents) SELECT doc_id, count(*) AS tf FROM t WHERE token IN ('of', 'the', 'trash') GROUP BY doc_id HAVING count(DISTINCT token) = 3",
     "semantic_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS z FROM v),
-      p AS (SELECT q.vec_id AS query_id, b.vec_id, round(list_dot_product(q.e, b.e) / (q.z * b.z), 6) AS similarity FROM n q, n b WHERE q.vec_id < 5)
+      p AS (SELECT q.vec_id AS query_id, b.vec_id, round(list_dot_product(q.e, b.e) / (q.z * b.z), 6) AS similarity FROM n q, n b WHERE q.vec_id % 50 = 0)
       SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p WHERE similarity >= 0.1 QUALIFY rank <= 10""",
     "class_catalog": """WITH c AS (SELECT DISTINCT p_brand, p_brand || '/' || p_type AS cls FROM part), r AS (SELECT cls, p_partkey, p_size, p_retailprice FROM c JOIN part USING (p_brand)),
       m AS (SELECT *, 'main' AS how FROM r WHERE p_size >= 49), b AS (SELECT * FROM m UNION ALL SELECT *, 'fallback' FROM r WHERE p_size >= 45 AND cls NOT IN (SELECT cls FROM m))

@@ -13,6 +13,7 @@ from sentrel.operators import paths as P
 from sentrel.session import table
 
 DEPTH, LEVELS = 6, 4
+ENTRY = "p_brand = 'Brand#7' AND p_size >= 40"
 
 
 def _micros(c: str):
@@ -45,8 +46,8 @@ def call_edges_by_name(spark, d):
 
 def scoped_call_edges(spark, d):
     """The same within a brand, or into the brand of the same type's first part."""
-    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("file"), "p_type", F.col("p_name").alias("name"))
-    imports = p.where("p_partkey < 200").select("file", F.col("p_type")).distinct().join(p.groupBy("p_type").agg(F.min_by("file", "p_partkey").alias("target")), "p_type").select("file", "target")
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("file"), "p_type", "p_size", F.col("p_name").alias("name"))
+    imports = p.where("p_size < 5").select("file", F.col("p_type")).distinct().join(p.groupBy("p_type").agg(F.min_by("file", "p_partkey").alias("target")), "p_type").select("file", "target")
     edges = G.scoped_edges(p.select(F.col("p_partkey").alias("src"), "file", "name"), p.select(F.col("p_partkey").alias("dst"), "file", "name"), imports)
     return edges.groupBy("src").agg(F.count("*").alias("n_callees"))
 
@@ -59,7 +60,8 @@ def _graph(spark, d) -> DataFrame:
 
 
 def _starts(spark, d) -> DataFrame:
-    return table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("node"))
+    """Entry points: the largest parts of a brand."""
+    return table(spark, d, "part").where(ENTRY).select(F.col("p_partkey").alias("node"))
 
 
 def shortest_paths(spark, d):
@@ -95,7 +97,7 @@ def taint_fixpoint(spark, d):
 
 def bind_arguments(spark, d):
     """Line items as calls: quantity and tax meet the order's two first columns by position."""
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     calls = li.select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("callee"), F.array(F.col("l_returnflag"), F.col("l_linestatus"), F.lit("x")).alias("arguments"))
     fns = table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), F.array("o_orderstatus", "o_orderpriority").alias("params"))
     return G.bind_arguments(calls, fns).groupBy("position", "argument", "param").agg(F.count("*").alias("n"))
@@ -134,18 +136,18 @@ ORACLES = {
       SELECT * FROM i UNION ALL SELECT event_id, span_id, 'next' FROM p JOIN s USING (user_id) WHERE st > t AND st <= t + 300000000 AND event_id NOT IN (SELECT event_id FROM i)""",
     "interval_bucketed": f"WITH {_E} SELECT p.event_id, s.event_id AS span_id FROM e p JOIN e s USING (user_id) WHERE p.event_type = 'purchase' AND s.event_type = 'signup' AND p.t BETWEEN s.t AND s.t + 3600000000",
     "call_edges_by_name": "WITH p AS (SELECT p_partkey, p_size, string_split(p_name, ' ')[-1] AS nm FROM part) SELECT a.p_partkey AS src, count(*) AS n_callees, min(b.p_partkey) AS first_callee FROM p a JOIN p b ON a.nm = b.nm AND b.p_size = a.p_size + 1 GROUP BY 1",
-    "scoped_call_edges": """WITH t AS (SELECT p_type, arg_min(p_brand, p_partkey) AS target FROM part GROUP BY 1), i AS (SELECT DISTINCT p_brand AS file, target FROM part JOIN t USING (p_type) WHERE p_partkey < 200 UNION SELECT p_brand, p_brand FROM part)
+    "scoped_call_edges": """WITH t AS (SELECT p_type, arg_min(p_brand, p_partkey) AS target FROM part GROUP BY 1), i AS (SELECT DISTINCT p_brand AS file, target FROM part JOIN t USING (p_type) WHERE p_size < 5 UNION SELECT p_brand, p_brand FROM part)
       SELECT a.p_partkey AS src, count(DISTINCT b.p_partkey) AS n_callees FROM part a JOIN i ON i.file = a.p_brand JOIN part b ON b.p_brand = i.target AND b.p_name = a.p_name GROUP BY 1""",
-    "shortest_paths": f"""WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS src, p_partkey AS node, 0 AS depth, [p_partkey] AS path FROM part WHERE p_partkey < 20
+    "shortest_paths": f"""WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS src, p_partkey AS node, 0 AS depth, [p_partkey] AS path FROM part WHERE {ENTRY}
         UNION ALL SELECT w.src, g.dst, depth + 1, list_append(path, g.dst) FROM w JOIN g ON g.src = w.node WHERE depth < {DEPTH - 1})
       SELECT src, node, depth, array_to_string(path, '>') AS path FROM w QUALIFY row_number() OVER (PARTITION BY src, node ORDER BY depth, path) = 1""",
-    "reachable": f"WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_partkey < 20 UNION SELECT g.dst, depth + 1 FROM w JOIN g ON g.src = w.node WHERE depth < {LEVELS}) SELECT node, min(depth) AS depth FROM w GROUP BY 1",
-    "closure": f"WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS src, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey < 20 UNION SELECT w.src, g.dst, depth + 1 FROM w JOIN g ON g.src = w.node WHERE depth < {LEVELS}) SELECT src, count(DISTINCT node) AS n_callees, max(node) AS last FROM w WHERE src <> node GROUP BY 1",
-    "entry_closure": f"WITH {_G} SELECT p_partkey AS node FROM part WHERE p_partkey < 20 UNION SELECT dst FROM g WHERE src < 20",
+    "reachable": f"WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE {ENTRY} UNION SELECT g.dst, depth + 1 FROM w JOIN g ON g.src = w.node WHERE depth < {LEVELS}) SELECT node, min(depth) AS depth FROM w GROUP BY 1",
+    "closure": f"WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS src, p_partkey AS node, 0 AS depth FROM part WHERE {ENTRY} UNION SELECT w.src, g.dst, depth + 1 FROM w JOIN g ON g.src = w.node WHERE depth < {LEVELS}) SELECT src, count(DISTINCT node) AS n_callees, max(node) AS last FROM w WHERE src <> node GROUP BY 1",
+    "entry_closure": f"WITH {_G} SELECT p_partkey AS node FROM part WHERE {ENTRY} UNION SELECT dst FROM g WHERE src IN (SELECT p_partkey FROM part WHERE {ENTRY})",
     "neighbours": f"WITH {_G}, i AS (SELECT dst AS node, count(*) AS n_callers FROM g GROUP BY 1), o AS (SELECT src AS node, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS callees FROM g GROUP BY 1) SELECT node, callees, coalesce(n_callers, 0) AS n_callers FROM o LEFT JOIN i USING (node)",
     "taint_fixpoint": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), g AS (SELECT p_partkey AS src, (p_partkey + p_size) % n AS dst FROM part, n),
       w AS (SELECT p_partkey AS node, p_partkey AS label, 0 AS k FROM part WHERE p_size >= 48 UNION SELECT g.dst, label, k + 1 FROM w JOIN g ON g.src = w.node WHERE k < 10) SELECT node, min(label) AS label FROM w GROUP BY 1""",
-    "bind_arguments": "SELECT position, CASE position WHEN 0 THEN l_returnflag ELSE l_linestatus END AS argument, CASE position WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS param, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES (0), (1)) v(position) WHERE l_linenumber = 1 GROUP BY ALL",
+    "bind_arguments": "SELECT position, CASE position WHEN 0 THEN l_returnflag ELSE l_linestatus END AS argument, CASE position WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS param, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES (0), (1)) v(position) GROUP BY ALL",
     "path_fold": """WITH w AS (SELECT conv_id, turn, unnest([coalesce(string_split(text, ' ')[1], ''), role]) AS x FROM conversations), f AS (SELECT conv_id, x, min(turn) AS t FROM w GROUP BY ALL)
       SELECT c.conv_id, c.turn, count(*)::INT AS n_seen FROM conversations c JOIN f ON f.conv_id = c.conv_id AND f.t <= c.turn GROUP BY ALL""",
     "lifetime_pairs": """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'alloc' WHEN 'error' THEN 'free' ELSE 'use' END AS ev FROM events WHERE event_type IN ('signup', 'error', 'click')),
