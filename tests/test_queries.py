@@ -28,3 +28,10 @@ def test_results_do_not_depend_on_partitions(spark, con, name):
         compare(spark, con, catalog.QUERIES[name], catalog.ORACLES[name])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_entry_returns_rows(spark):
+    import __spark_entry__ as entry
+
+    df = entry.entry(spark)
+    assert df.columns == ["severity", "category", "n_blocks", "n_documents", "n_matches"] and df.count() > 0
