@@ -42,3 +42,27 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so that they need no path to it."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="sentrel-"), "sentrel_package.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(root):
+                for n in names:
+                    if n.endswith(".py"):
+                        file = os.path.join(folder, n)
+                        z.write(file, os.path.relpath(file, os.path.dirname(root)))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+    return spark
