@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +35,43 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts the lineage, survives lost executors.
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of jobs that are over, as nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    The shuffles of the written job are garbage then; the collection lets Spark's cleaner drop their files now.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files as soon as they are over; for plans that run once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written folder that nothing needs any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, however the others are called."""
     return df.select(*(F.col(f"`{n}`") for n in names))

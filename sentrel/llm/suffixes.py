@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import materialize, pick
+from sentrel.llm.common import discard, dropping_shuffles, materialize, new_path, pick
 
 LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text a block, at least one document.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Strings whose anchors are sought at a time.
 CHUNK = 1 << 19
 #: Anchor buckets per shuffle partition.
@@ -47,6 +47,9 @@ FINER = 4
 LAST = (1 << 63) - 1
 _U = np.uint64
 _LOW = _U((1 << 27) - 1)
+#: Posted hashes keep their upper 47 bits; the bit below is a flag. More bits would only spare a few false candidates.
+_FLAG = _U(1 << 16)
+_HASH = ~_U((1 << 17) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,10 +99,20 @@ def _all_anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*got))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob; each is preceded by its size in bytes."""
     raw = b"".join(len(b).to_bytes(8, "little") + b for b in (np.ascontiguousarray(a).tobytes() for a in arrays))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=level).compress(raw)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the byte planes of their differences, most of which are empty."""
+    return _pack(np.diff(keys, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    planes = _unpack(blob, "u1")[0].reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -116,8 +129,31 @@ _ROW = "block long, kind int, bucket int, blob binary"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
-def _row(block: int, kind: int, bucket: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], names=_NAMES)
+#: Bytes of blobs an Arrow batch.
+BATCH = 4 << 20
+
+
+def _row(block: int, kind: int, bucket: int, blob: bytes) -> tuple[int, int, int, bytes]:
+    return block, kind, bucket, blob
+
+
+def _batched(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded size."""
+    held, room = [], 0
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for row in rows:
+        held.append(row)
+        room += len(row[3])
+        if room >= BATCH or len(held) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=_NAMES)
+            held, room = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=_NAMES)
+
+
+def _map(df: DataFrame, f) -> DataFrame:
+    """Rows to rows by an iterator function."""
+    return df.mapInArrow(lambda batches: _batched(f(batches)), _ROW)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
@@ -130,14 +166,14 @@ _BLOCK = ("<i8", "u1", "<i8", "u1")  # ids, null flags, lengths, bytes
 
 
 def _to_blocks(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         base, k = TaskContext.get().partitionId() << 32, 0
         held: list[tuple[int, bool, bytes]] = []
         room = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> tuple:
             held.sort(key=lambda r: (r[0], r[1]))
-            blob = _pack(np.array([r[0] for r in held], "<i8"), np.array([r[1] for r in held], "u1"), np.array([len(r[2]) for r in held], "<i8"), np.frombuffer(b"".join(r[2] for r in held), "u1"))
+            blob = _pack(np.array([r[0] for r in held], "<i8"), np.array([r[1] for r in held], "u1"), np.array([len(r[2]) for r in held], "<i8"), np.frombuffer(b"".join(r[2] for r in held), "u1"), level=3)
             held.clear()
             return _row(base + k, 2, 0, blob)
 
@@ -169,9 +205,9 @@ def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _post_hashes(n_buckets: int):
-    """A block's anchor hashes by bucket, each once; the low bit says that documents of different ids here have it."""
+    """A block's anchor hashes by bucket, each once; the flag says that documents of different ids here have it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for block, _, _, blob in _rows(batches):
             ids, _, sizes, buf = _unpack(blob, *_BLOCK)
             ends = np.cumsum(sizes)
@@ -179,13 +215,14 @@ def _post_hashes(n_buckets: int):
             if not len(h):
                 continue
             doc = ids[np.searchsorted(ends, at, "right")]
+            h &= _HASH
             order = np.argsort(h, kind="stable")  # the ids of a block ascend, so each hash's first id is its least
             h, doc = h[order], doc[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             last = np.r_[first[1:], len(h)] - 1
-            keys = (h[first] & ~_U(1)) | (doc[first] != doc[last]).astype(np.uint64)
+            keys = (h[first] & _HASH) | (doc[first] != doc[last]).astype(np.uint64) * _FLAG
             for b, rows in _cut_buckets(_bucket_of(keys, n_buckets)):
-                yield _row(block, 0, b, _pack(keys[rows]))
+                yield _row(block, 0, b, _pack_keys(keys[rows]))
 
     return run
 
@@ -203,20 +240,20 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Per block, the hashes of its postings that occur in another document."""
     for bucket, posts in _by_bucket(batches):
-        keys = [_unpack(blob, "<u8")[0] for _, blob in posts]
+        keys = [_unpack_keys(blob) for _, blob in posts]
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         every = np.concatenate(keys)
-        order = np.argsort(every & ~_U(1), kind="stable")
-        h = every[order] & ~_U(1)
+        order = np.argsort(every & _HASH, kind="stable")
+        h = every[order] & _HASH
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        many = (np.diff(np.r_[first, len(h)]) > 1) | np.bitwise_or.reduceat(every[order] & _U(1), first).astype(bool)
+        many = (np.diff(np.r_[first, len(h)]) > 1) | np.bitwise_or.reduceat(every[order] & _FLAG, first).astype(bool)
         take = np.repeat(many, np.diff(np.r_[first, len(h)]))
         h, owner = h[take], owner[order][take]
         for k, rows in _cut_buckets(owner):
-            yield _row(posts[k][0], 0, bucket, _pack(h[rows]))
+            yield _row(posts[k][0], 0, bucket, _pack_keys(h[rows]))
 
 
 _CONTEXT = ("u1", "u1", "u1", "u1", "<i8", "u1")  # strings, positions before the seed, real seed, length, owner, bytes
@@ -226,11 +263,11 @@ _PLACES = ("<i8", "u1", "<i4", "<i4")  # first string, strings, bucket, number o
 def _contexts(n_buckets: int):
     """Contexts of shared anchors, by bucket (kind 1), and where each block has them (kind 0)."""
 
-    def of(block: int, blob: bytes, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def of(block: int, blob: bytes, shared: np.ndarray) -> Iterator[tuple]:
         ids, _, sizes, buf = _unpack(blob, *_BLOCK)
         ends = np.cumsum(sizes)
         h, at, count = _all_anchors(buf, ends)
-        key = h & ~_U(1)
+        key = h & _HASH
         spot = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
         live = shared[spot] == key
         key, at, count = key[live], at[live], count[live]
@@ -242,10 +279,10 @@ def _contexts(n_buckets: int):
         n = len(buf)
         step = np.r_[np.sign(buf[1:].astype(np.int16) - buf[:-1]), -1].astype(np.int8)
         step[ends[sizes > 0] - 1] = -1
-        place = np.where(step != 0, np.arange(n), n)
-        after = np.minimum.accumulate(place[::-1])[::-1]
+        here = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+        after = np.minimum.accumulate(np.where(step != 0, here, n)[::-1])[::-1]
         rising = step[after] > 0
-        up = np.minimum.accumulate(np.where(rising, np.arange(n), n)[::-1])[::-1]  # the next suffix smaller than its successor
+        up = np.minimum.accumulate(np.where(rising, here, n)[::-1])[::-1]  # the next suffix smaller than its successor
         final = at + count - 1
         seed = np.minimum(up[final], np.minimum(final + LENGTH, stop))
         real = (seed < stop) & (up[final] == seed)
@@ -262,16 +299,16 @@ def _contexts(n_buckets: int):
                     first.append(r)
                 number[r] = k
             f = np.array(first)
-            yield _row(block, 1, b, _pack(count[f].astype("u1"), (seed - at)[f].astype("u1"), real[f].astype("u1"), size[f].astype("u1"), ids[doc[f]], np.frombuffer(b"".join(raw[s:e] for s, e in zip(at[f].tolist(), (at + size)[f].tolist())), "u1")))
+            yield _row(block, 1, b, _pack(count[f].astype("u1"), (seed - at)[f].astype("u1"), real[f].astype("u1"), size[f].astype("u1"), ids[doc[f]], np.frombuffer(b"".join(raw[s:e] for s, e in zip(at[f].tolist(), (at + size)[f].tolist())), "u1"), level=3))
         yield _row(block, 0, 0, _pack(at, count.astype("u1"), bucket.astype("<i4"), number))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, hashes = None, []
         for block, kind, _, blob in _rows(batches):
             if block != now:
                 now, hashes = block, []
             if kind == 0:
-                hashes += _unpack(blob, "<u8")
+                hashes.append(_unpack_keys(blob))
             elif hashes:
                 yield from of(block, blob, np.unique(np.concatenate(hashes)))
 
@@ -344,7 +381,7 @@ def owners(text: np.ndarray, strings: np.ndarray, seeds: np.ndarray, real: np.nd
     return mask
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Masks of every block's contexts (kind 1), by bucket."""
     for bucket, posts in _by_bucket(batches):
         parts = [_unpack(blob, *_CONTEXT) for _, blob in posts]
@@ -367,13 +404,12 @@ def removed(buf: np.ndarray, ends: np.ndarray, ids: np.ndarray, places: list[np.
         owner[rows], mask[rows] = masks[b][0][number[rows]], masks[b][1][number[rows]]
     # a context that a smaller id of this block has too is repeated as a whole
     mask[owner < ids[np.searchsorted(ends, at, "right")]] = _U((1 << 64) - 1)
-    bits = (mask[:, None] >> np.arange(SPAN, dtype=np.uint64)[None, :]) & _U(1)
-    r, j = np.nonzero(bits.astype(bool) & (np.arange(SPAN)[None, :] < count[:, None]))
     mark = np.zeros(len(buf) + 1, np.int32)
-    mark[at[r] + j] = 1
-    run = np.r_[0, np.cumsum(mark[:-1])]
-    x = np.arange(1, len(buf) + 1)
-    return run[x] - run[np.maximum(x - LENGTH, 0)] > 0
+    for j in range(SPAN):
+        mark[at[((mask >> _U(j)) & _U(1)).astype(bool) & (count > j)] + j] = 1
+    run = np.zeros(len(buf) + LENGTH, np.int32)
+    np.cumsum(mark[:-1], out=run[LENGTH:])
+    return run[LENGTH:] > run[:-LENGTH]
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -417,12 +453,15 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, block: int = BLOC
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = FINER * n
     dealt = lambda df, *by: df.repartition(n, F.col(by[0])).sortWithinPartitions(*by)
-    blocks = materialize(pick(docs, "doc_id", "text").mapInArrow(_to_blocks(block), _ROW), "blocks")
-    posts = blocks.repartition(n, "block").mapInArrow(_post_hashes(buckets), _ROW)
-    shared = materialize(dealt(posts, "bucket").mapInArrow(_shared, _ROW), "shared-anchors")
-    cut = materialize(dealt(shared.unionByName(blocks), "block", "kind").mapInArrow(_contexts(buckets), _ROW), "contexts")
-    masks = materialize(dealt(cut.where("kind = 1"), "bucket").mapInArrow(_judge, _ROW), "masks")
-    whole = cut.where("kind = 0").unionByName(masks).unionByName(blocks)
+    with dropping_shuffles(spark):
+        blocks = materialize(_map(pick(docs, "doc_id", "text"), _to_blocks(block)), "blocks")
+        shared = materialize(_map(dealt(_map(blocks, _post_hashes(buckets)), "bucket"), _shared), "shared-anchors")
+        at = new_path(spark, "contexts")
+        _map(dealt(shared.unionByName(blocks), "block", "kind"), _contexts(buckets)).write.partitionBy("kind").option("compression", "zstd").parquet(at)
+        cut = lambda kind: spark.read.schema(_ROW).parquet(at).where(F.col("kind") == kind).select(*_NAMES)
+        masks = materialize(_map(dealt(cut(1), "bucket"), _judge), "masks")
+    discard(spark, f"{at}/kind=1")  # the masks say all about them
+    whole = cut(0).unionByName(masks).unionByName(blocks)
     return dealt(whole, "block", "kind").mapInArrow(_cut(with_text), _RESULT + (", kept binary" if with_text else ""))
 
 
