@@ -78,6 +78,8 @@ def _variants(cand: DataFrame) -> DataFrame:
     h = F.floor((F.col("n") - 1) / 2)
     # an edit of a pair that shares its first half lies behind it, and so on
     reach = (F.col("front") & (F.col("i") > h)) | (F.col("back") & (F.col("i") <= F.col("n") - h))
+    # shorter lines have valid partners by their whole only; their deletions would hide those behind pairs that are too short
+    reach = (F.col("n") >= LEAST) & reach
     key = F.col("upto").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("mall")).bitwiseXOR(F.col("mupto"))
     out = F.array(
         F.when(reach, F.struct(F.xxhash64(key, F.col("n") - 1).alias("key"), F.col("i").alias("place"))),

@@ -34,6 +34,12 @@ def test_lines(spark):
     assert L.judge_lines(df.limit(0)).collect() == [] and L.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_a_short_partner_hides_no_valid_one(spark):
+    rows = [(1, "Are, is anwh reenen."), (2, "As are is anwh reenen."), (3, "Are is anwh reenen."), (4, "Are is anwh reenen. too")]
+    got = {r.doc_id: r.kind for r in L.judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "keep", 2: "keep", 3: "near", 4: "near"}  # 1 and 3 differ in a word of four; 3 is 2 without a word
+
+
 def test_a_long_line_costs_no_square(spark):
     w = [f"w{i}" for i in range(20000)]
     rows = [(1, " ".join(w)), (2, " ".join([*w[:9000], "new", *w[9000:]])), (3, " ".join([*w[:5], "x", *w[6:100], "y", *w[101:]]))]
