@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sentrel.session import cut_lineage as materialize
+from sentrel.session import discard, dropping_shuffles, new_path, release
+
+__all__ = ["BROADCAST_BYTES", "ascii_lower", "discard", "dropping_shuffles", "fresh", "materialize", "new_path", "pick", "release", "small_enough"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes up to which a lookup side may be broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 64 << 20
+#: What a row and a field of it take beside their contents.
+ROW_BYTES, FIELD_BYTES = 48, 16
 
 
 def ascii_lower(c: Column) -> Column:
@@ -22,61 +26,33 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``; only where none is set, as in
-    local tests, a temporary folder of this machine takes its place.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sentrel-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are over, as nothing refers to them any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-@contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside delete their shuffle files as soon as they are over; for plans that run once."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    tidy(spark)
-    return spark.read.schema(df.schema).parquet(path)
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, however the others are called."""
+    return df.select(*(F.col(f"`{n}`") for n in names))
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a written folder that nothing needs any more."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the frame doesn't have."""
+    out = list(names)
+    while {n.lower() for n in out} & {c.lower() for c in df.columns}:
+        out = [f"_{n}" for n in out]
+    return out
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, however the others are called."""
-    return df.select(*(F.col(f"`{n}`") for n in names))
+def _bytes_of(field: T.StructField) -> Column:
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        size = F.octet_length(F.array_join(c, "")) + F.size(c) * FIELD_BYTES
+    elif isinstance(kind, T.ArrayType):
+        size = F.size(c) * FIELD_BYTES
+    else:
+        size = F.lit(0)
+    return F.coalesce(size, F.lit(0)).cast("long") + FIELD_BYTES
 
 
-def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a side, counted once, stays under the broadcast bound."""
-    return df.count() * row_bytes <= limit
+def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a side, whose bytes are summed once, stays under the broadcast bound."""
+    row = reduce(lambda a, b: a + b, map(_bytes_of, df.schema), F.lit(ROW_BYTES).cast("long"))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= limit

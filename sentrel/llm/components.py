@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join on the node; nothing is collected, and a node of any degree is
-summed before the shuffle and split by adaptive skew joins after it. A round is written to the shared folder.
+summed before the shuffle and split by adaptive skew joins after it. A round is written to the shared folder, and
+the one before it deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import materialize
+from sentrel.llm.common import materialize, release
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -30,7 +31,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 64) ->
     e = materialize(edges.select("a", "b").where("a <> b").distinct(), f"{name}-0")
     seen = None
     for k in range(1, rounds + 1):
-        e = materialize(_small_star(_large_star(e)), f"{name}-{k}")
+        before, e = e, materialize(_small_star(_large_star(e)), f"{name}-{k}")
+        release(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == now:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
