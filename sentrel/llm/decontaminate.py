@@ -6,8 +6,8 @@ ten-word window holds exactly one of them in full, so no occurrence is missed an
 A probe that hits is verified word by word in its context (up to five words before, ten after), which
 gives the windows that really occur. Items of fewer words are one window, probed at every word.
 
-The probe and its context never leave the scan's stage; only verified hits are shuffled. The set is
-broadcast while it is under ``BROADCAST_BYTES`` by count and joined by shuffle beyond.
+The probe and its context never leave the scan's stage; only verified hits are shuffled. The set is broadcast
+while its summed bytes stay under ``BROADCAST_BYTES`` and joined by shuffle beyond.
 
 Defined cases: null and wordless texts have no words and are clean; a null item has no window; rows are told
 apart by (doc_id, text), so equal rows get equal results; empty tables give empty or clean results;
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import BROADCAST_BYTES, ascii_lower, pick, small_enough
+from sentrel.llm.common import ascii_lower, pick, small_enough
 
 WINDOW = 10
 GRAM = 5
@@ -79,27 +79,23 @@ def _hits(probes: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _short_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same rows for items of one to nine words, by their whole sequence at every word."""
+    """The same rows for items of one to nine words, by their first word and then their whole sequence; None without any."""
     items = pick(benchmark, "item_id", "text").select("item_id", words_of(ascii_lower(F.col("text"))).alias("iw")).where(F.size("iw").between(1, WINDOW - 1))
-    items = items.select("item_id", F.size("iw").alias("len"), F.array_join("iw", " ").alias("whole"))
-    lengths = sorted(r["len"] for r in items.select("len").distinct().collect())  # nine values at most
-    out = None
-    for m in lengths:
-        starts = F.when(F.size("w") >= m, F.sequence(F.lit(1), F.size("w") - m + 1)).otherwise(F.array().cast("array<int>"))
-        at = F.explode(starts).alias("j")
-        rows = docs.select("doc_id", "tag", "w", F.size("w").cast("long").alias("n_words"), at).select("doc_id", "tag", "n_words", "j", ascii_lower(_joined(F.col("w"), F.col("j"), m)).alias("whole"))
-        side = items.where(F.col("len") == m)
-        side = F.broadcast(side) if small_enough(side, 256) else side
-        rows = rows.join(side, "whole").select("doc_id", "tag", "n_words", "j", "item_id", "len", F.array("j").alias("starts"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    items = items.select("item_id", F.size("iw").alias("len"), F.get("iw", F.lit(0)).alias("word"), F.array_join("iw", " ").alias("whole"))
+    if items.isEmpty():
+        return None
+    at = F.posexplode(F.transform("w", ascii_lower)).alias("j", "word")
+    rows = docs.select("doc_id", "tag", "w", F.size("w").cast("long").alias("n_words"), at).withColumn("j", F.col("j") + 1)
+    rows = rows.join(F.broadcast(items) if small_enough(items) else items, "word")
+    rows = rows.where(ascii_lower(_joined(F.col("w"), F.col("j"), F.col("len"))) == F.col("whole"))
+    return rows.select("doc_id", "tag", "n_words", "j", "item_id", "len", F.array("j").alias("starts"))
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, tag, n_words, j, item_id, len, starts): verified windows, and a row j = 0 for every document."""
     base = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("tag"), words_of(F.col("text")).alias("w"))
     grams = _grams(benchmark)
-    if small_enough(grams, 256, BROADCAST_BYTES):
+    if small_enough(grams):
         grams = F.broadcast(grams)
     hits = _hits(_probes(base), grams)
     short = _short_hits(base, benchmark)

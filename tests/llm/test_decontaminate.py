@@ -2,6 +2,7 @@ import random
 import re
 
 from sentrel.llm import decontaminate as D
+from sentrel.llm.common import small_enough
 
 
 def words(t):
@@ -42,6 +43,12 @@ def test_against_brute_force(spark):
     assert any(len(g[2]) > 30 for g in got)
 
 
+def test_bytes_are_measured(spark):
+    """A side of few long rows is not small."""
+    df = spark.createDataFrame([("x" * 1000, ["y" * 500] * 2, 1)], "a string, b array<string>, c long")
+    assert small_enough(df, 2200) and not small_enough(df, 2000) and small_enough(df.limit(0), 0)
+
+
 def test_repeated_rows_and_empty_tables(spark):
     d = spark.createDataFrame([(1, "zzz")] * 3, "doc_id long, text string")
     b = spark.createDataFrame([(1, "zzz")], "item_id long, text string")
