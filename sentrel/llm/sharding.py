@@ -2,10 +2,11 @@
 
 Each (key, shard) pair gets a uniform draw u from md5(key:shard); a record goes to the shard with the
 least -ln(u) / weight, so a shard's share follows its weight and a further shard only takes records
-into itself. Everything is a DataFrame expression; texts are read once and never shuffled.
+into itself. Everything is a DataFrame expression; texts are read once and never shuffled: a record of a few
+numbers per row is written and numbered.
 
 Defined cases: a null key hashes as the text ``null``; a null text has zero bytes; rows that repeat a key
-go to the same shard and get slots of their own; an empty table gives an empty result; other columns are
+go to the same shard and get slots of their own, however many there are; an empty table gives an empty result; other columns are
 ignored whatever their names.
 """
 
@@ -16,11 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import pick
+from sentrel.llm.common import materialize, pick
 
 N_SHARDS = 16
 #: Slot numbers are dealt per (shard, lane), so no task ever numbers a whole shard.
 LANES = 1024
+#: Rows beyond which a key is dealt over further lanes.
+HOT = 100_000
 
 
 def _key(c: Column) -> Column:
@@ -33,39 +36,50 @@ def _draw(key: Column, shard: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def _costs(key: Column, weights: Sequence[float]) -> Column:
+    """Per shard of some weight: (cost, shard), where cost is -ln(u) / weight."""
+    return F.array(*(F.struct((-F.log(_draw(key, k)) / F.lit(float(w))).alias("c"), F.lit(k).alias("k")) for k, w in enumerate(weights) if w > 0))
+
+
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard of a key: least -ln(u) / weight over shards 0..n-1, the lower shard on a tie."""
-    costs = [F.struct((-F.log(_draw(key, k)) / F.lit(float(w))).alias("c"), F.lit(k).alias("k")) for k, w in enumerate(weights) if w > 0]
-    return F.array_min(F.array(*costs))["k"]
+    return F.array_min(_costs(key, weights))["k"]
+
+
+def _placed(rows: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """Rows with shard and grown_shard; each draw is taken once."""
+    present = sum(w > 0 for w in weights)
+    rows = rows.withColumn("costs", _costs(F.col("key"), [*weights, weights[-1]]))
+    return rows.withColumns({"shard": F.array_min(F.slice("costs", 1, present))["k"], "grown_shard": F.array_min("costs")["k"]}).drop("costs")
 
 
-def shard_records(docs: DataFrame, weights: Sequence[float], lanes: int = LANES) -> DataFrame:
+def shard_records(docs: DataFrame, weights: Sequence[float], lanes: int = LANES, hot: int = HOT) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
     ``weights`` are those of the present shards; ``grown_shard`` is where the row goes once a further shard
-    with the last weight joins. Slots count 0.. within each shard without gaps: by lane, then key.
+    with the last weight joins. Slots count 0.. within each shard without gaps: by lane, then key. The rows of a key that
+    has more than ``hot`` are dealt over lanes of their own, so that no task numbers them all.
     """
-    base = pick(docs, "doc_id", "text")
-    key = _key(F.col("doc_id"))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("k", key).select("*", rendezvous(F.col("k"), weights).alias("shard"), F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long").alias("h")).withColumn("lane", (F.col("h") % lanes).cast("int"))
-
-    rows = placed(base.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")))
-    rows = rows.withColumn("grown_shard", rendezvous(F.col("k"), [*weights, weights[-1]]))
-    # at most shards x lanes rows, whatever the input
-    counts = placed(base.select("doc_id")).groupBy("shard", "lane").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "lane").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
+    text = F.coalesce("text", F.lit(""))
+    rows = pick(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), _key(F.col("doc_id")).alias("key"), F.monotonically_increasing_id().alias("n"))
+    rows = _placed(rows, weights).withColumn("lane", (F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long") % lanes).cast("int"))
+    rows = materialize(rows, "placed")  # numbers and records only; it is read by the counts and the numbering
+    often = rows.groupBy("key").agg(F.count("*").alias("often")).where(F.col("often") > hot).select("key", F.lit(1).alias("often"))
+    rows = rows.join(materialize(often, "hot-keys"), "key", "left")
+    rows = rows.withColumn("part", F.when(F.col("often") == 1, F.pmod(F.xxhash64("n"), F.lit(lanes)).cast("int")).otherwise(0))
+    # at most shards x lanes x parts rows, whatever the input; parts only where a key is hot
+    counts = rows.groupBy("shard", "lane", "part").agg(F.count("*").alias("count"))
+    before = Window.partitionBy("shard").orderBy("lane", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "lane", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("shard", "lane", "part").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32", "n")
     numbered = rows.withColumn("at", F.row_number().over(within) - 1)
-    return numbered.join(F.broadcast(offsets), ["shard", "lane"]).select(
+    return numbered.join(offsets, ["shard", "lane", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("at")).cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard")
     )
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float]) -> None:
-    """Write the rows, one folder per shard."""
+    """Write the rows, one folder per shard; every file holds a part of the rows that one task had."""
     docs.withColumn("shard", rendezvous(_key(F.col("doc_id")), weights)).write.partitionBy("shard").parquet(path)
 
 
