@@ -1,22 +1,26 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash space, and never fewer than the FLOOR
-smallest, so short texts are kept whole. Two sketches are compared on the hashes up to the lower of their
-bounds, where both are complete; that holds for documents of very unequal length. Sketches merge without the texts.
-
-The query pairs every document with the next one by doc_id. Texts are shuffled once, into ranges of doc_id;
-the first document of a range also goes to the range before, so each range is finished by itself and holds one
-document at a time. The range bounds are quantiles of doc_id, as many as there are shuffle partitions.
-
-Defined cases: null is the empty text, whose sketch is empty; two empty sketches are alike (1), an empty and
-a full one are not (0); null ids come first; rows of equal doc_id follow each other by text; a lone document is
-its own next one; empty tables give empty results; other columns are ignored whatever their names.
+A sketch keeps every shingle hash below a fixed fraction of the hash space, whatever the text's length. So sketches of
+documents of very unequal length are comparable, and the sketch of several documents together is the union of theirs.
+A fingerprint is the 64-bit digest of the text's words and the 32 leading bits of each hash that is kept; the digest tells
+texts apart whose sketches are empty, as those of texts of a few words often are. Likeness is the estimated Jaccard
+similarity, containment the share of one sketch that the other has; texts of equal words are alike in full.
+
+The query pairs every document with the next one by (doc_id, hash of the text). Texts are shuffled once, into ranges of that
+order; the first document of a range also goes to the range before, so each range is finished by itself and holds one
+document at a time. The bounds are quantiles, as many as there are shuffle partitions, and a doc_id of more than one
+quantile is cut by the hash of the text. Every range is dealt to a partition of its own.
+
+Defined cases: null is the empty text; two sketches that are empty are unlike unless the digests agree; null ids come
+first; a lone document is its own next one; rows that are equal follow each other; empty tables give empty results;
+other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,115 +33,128 @@ from sentrel.llm.common import pick
 
 SHINGLE = 5
 SEED = 42
-#: One hash in so many is kept.
-SCALE = 16
-LIMIT = np.uint64((1 << 64) // SCALE)
-FLOOR = 16
-TOP = np.uint64((1 << 64) - 1)
+#: One hash in so many is kept, a power of two.
+SCALE = 8
+LIMIT = (1 << 64) // SCALE
+#: Lower bits of a kept hash that are dropped, so that 32 are left.
+_DROP = np.uint64(LIMIT.bit_length() - 1 - 32)
+#: Least (doc_id, hash) there is.
+FLOOR = -(1 << 63)
 
+Sketch = tuple[int, np.ndarray]
 
-def trimmed(hashes: np.ndarray) -> np.ndarray:
-    """Of sorted distinct hashes, those a sketch keeps."""
-    return hashes[: max(int(np.searchsorted(hashes, LIMIT)), FLOOR)]
 
-
-def sketch(text: str) -> np.ndarray:
+def sketch(text: str) -> Sketch:
+    """(digest, kept): kept are the leading 32 bits of the shingle hashes below the limit, sorted and distinct."""
     words = text.encode(errors="replace").lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return 0, np.zeros(0, np.uint32)
     parts = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    return trimmed(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, itertools.repeat(SEED)), dtype=np.uint64)))
-
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, itertools.repeat(SEED)), dtype=np.uint64)
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED), np.unique((h[h < np.uint64(LIMIT)] >> _DROP).astype(np.uint32))
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of both documents together."""
-    return trimmed(np.union1d(a, b))
 
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of both documents together; its digest stands for the two digests, in either order."""
+    return (a[0] if a[0] == b[0] else (a[0] + b[0]) % (1 << 64)), np.union1d(a[1], b[1])
 
-def _bound(s: np.ndarray) -> np.uint64:
-    return TOP if len(s) < FLOOR else max(s[-1], LIMIT - np.uint64(1))
 
+def _common(a: Sketch, b: Sketch) -> int:
+    return len(np.intersect1d(a[1], b[1], assume_unique=True))
 
-def _common(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    upto = min(_bound(a), _bound(b))
-    a, b = a[: np.searchsorted(a, upto, "right")], b[: np.searchsorted(b, upto, "right")]
-    return len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)
 
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: Sketch, b: Sketch) -> float:
     """Estimated Jaccard similarity."""
-    both, n, m = _common(a, b)
-    return both / (n + m - both) if n + m else float(len(a) == len(b))
+    if a[0] == b[0]:
+        return 1.0
+    both = _common(a, b)
+    every = len(a[1]) + len(b[1]) - both
+    return both / every if every else 0.0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Estimated share of a's shingles that b has."""
-    both, n, _ = _common(a, b)
-    return both / n if n else float(not len(a))
+    if a[0] == b[0]:
+        return 1.0
+    return _common(a, b) / len(a[1]) if len(a[1]) else 0.0
 
 
-def to_text(s: np.ndarray) -> str:
-    return s.astype(">u8").tobytes().hex()
+def to_text(s: Sketch) -> str:
+    """Sixteen hex digits of the digest, then eight a hash."""
+    return f"{s[0]:016x}{s[1].astype('>u4').tobytes().hex()}"
 
 
-def from_text(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u8").astype(np.uint64)
+def from_text(s: str) -> Sketch:
+    return int(s[:16], 16), np.frombuffer(bytes.fromhex(s[16:]), ">u4").astype(np.uint32)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint): the sketch of every text as hex digits, sixteen a hash."""
+    """(doc_id, fingerprint) of every row."""
     src = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([to_text(sketch(x or "")) for x in b.column("text").to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([to_text(sketch(x.as_py() or "")) for x in b.column("text")], pa.string())], names=["doc_id", "fingerprint"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def _ranges(docs: DataFrame, n: int) -> tuple[list[list[int]], list[int]]:
-    """About n range bounds of doc_id in groups of about sqrt(n), and the first bound of each group but one."""
+def _bounds(docs: DataFrame, n: int) -> list[tuple[int, int]]:
+    """About n lower bounds (sid, tag) of ranges; an id that holds several quantiles is cut evenly by the tag."""
     qs = docs.approxQuantile("sid", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
-    bounds = sorted({int(q) for q in qs})
+    out = []
+    for sid, k in sorted(Counter(int(q) for q in qs).items()):
+        out += [(sid, FLOOR + ((i << 64) // k)) for i in range(k)]
+    return out
+
+
+def _range_of(bounds: list[tuple[int, int]]) -> Column:
+    """The number of bounds up to (sid, tag): first among groups of about their root, then within one."""
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
-    return groups, [g[0] for g in groups[1:]]
+    here = F.struct(F.col("sid").alias("a"), F.col("tag").alias("b"))
 
+    def array(xs: list[tuple[int, int]]) -> Column:
+        kind = "array<struct<a:bigint,b:bigint>>"
+        return F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in xs)).cast(kind) if xs else F.array().cast(kind)
 
-def _range_of(sid: Column, groups: list[list[int]], tops: list[int]) -> Column:
-    """The number of bounds up to sid: first among the groups, then within one."""
+    g = F.size(F.filter(array([x[0] for x in groups[1:]]), lambda x: x <= here))
+    return (g * step + F.size(F.filter(F.get(F.array(*map(array, groups)), g), lambda x: x <= here))).cast("int")
 
-    def array(xs: list[int]) -> Column:
-        return F.array(*(F.lit(x).cast("long") for x in xs)) if xs else F.array().cast("array<long>")
 
-    g = F.size(F.filter(array(tops), lambda x: x <= sid))
-    step = len(groups[0])
-    return (g * step + F.size(F.filter(F.get(F.array(*map(array, groups)), g), lambda x: x <= sid))).cast("int")
+def _spread(spark: SparkSession, ranges: int, n: int) -> list[int]:
+    """A number for each range whose hash deals it to a partition of its own, as far as there are any."""
+    room = -(-ranges // n)
+    tried = spark.range(64 * max(ranges, n)).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), F.col("id").cast("int").alias("k"))
+    own = tried.groupBy("p").agg(F.slice(F.array_sort(F.collect_list("k")), 1, room).alias("ks")).orderBy("p").collect()  # n rows
+    found = [k for turn in range(room) for r in own for k in r["ks"][turn : turn + 1]]
+    return found[:ranges] if len(found) >= ranges else list(range(ranges))
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_edited double"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (range, guest, sid, text): every own row is compared with the row after it."""
+    """Rows sorted by (range, guest, sid, tag): every own row is compared with the row after it."""
     names = [x.split()[0] for x in _OUT.split(", ")]
     rows: list[tuple] = []
-    held = None  # (range, doc_id, text, sketch) that waits for the next row
+    held = None  # (doc_id, text, sketch) that waits for the next row
 
-    def finish(doc_id, text: str, s: np.ndarray, after: str, t: np.ndarray) -> None:
+    def finish(doc_id, text: str, s: Sketch, after: str, t: Sketch) -> None:
         m = len(text) // 4
         edited = text[: len(text) - m] + after[:m]
         e = sketch(edited) if m else s
         rows.append((doc_id, len(text), hashlib.sha256(edited.encode(errors="replace")).hexdigest(), to_text(s), to_text(e), likeness(s, e), likeness(s, t), containment(s, e)))
 
     for b in batches:
-        for r, guest, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("r", "guest", "doc_id", "text"))):
+        for guest, doc_id, text in zip(b.column("guest"), b.column("doc_id"), b.column("text")):
+            guest, text = guest.as_py(), text.as_py()
             if guest and held is None:
-                continue  # further guests with the same doc_id
+                continue  # further rows like the guest
             s = sketch(text)
             if held is not None:
-                finish(*held[1:], text, s)
-            held = None if guest else (r, doc_id, text, s)
+                finish(*held, text, s)
+            held = None if guest else (doc_id.as_py(), text, s)
             if len(rows) >= 256:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows])
                 rows.clear()
@@ -149,16 +166,17 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """Sketch every text and its edited text, whose last quarter comes from the next document."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("sid"))
-    ids = src.select("sid")
-    groups, tops = _ranges(ids, n)
-    ranged = lambda df: df.withColumn("r", _range_of(F.col("sid"), groups, tops))
-    firsts = sorted((x["r"], x["sid"]) for x in ranged(ids).groupBy("r").agg(F.min("sid").alias("sid")).collect())  # a row per range
-    before = [(sid, firsts[k - 1][0]) for k, (_, sid) in enumerate(firsts)]  # the first range comes after the last
-    guests = spark.createDataFrame(before, "sid long, at int")
-    own = ranged(src).select("r", F.lit(False).alias("guest"), "sid", "doc_id", "text")
-    also = own.join(F.broadcast(guests), "sid").select(F.col("at").alias("r"), F.lit(True).alias("guest"), "sid", "doc_id", "text")
-    dealt = own.unionByName(also).repartition(n, F.col("r")).sortWithinPartitions("r", "guest", "sid", "text")
+    src = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FLOOR).cast("long")).alias("sid"))
+    bounds = _bounds(src.select("sid"), n)
+    ranged = src.withColumn("tag", F.xxhash64("text")).withColumn("r", _range_of(bounds))
+    # the first row of each range: a row per range, and ids only
+    firsts = sorted((x["r"], x["f"]["sid"], x["f"]["tag"]) for x in ranged.groupBy("r").agg(F.min(F.struct("sid", "tag")).alias("f")).collect())
+    before = [(sid, tag, firsts[k - 1][0]) for k, (_, sid, tag) in enumerate(firsts)]  # the first range comes after the last
+    guests = spark.createDataFrame(before, "sid long, tag long, at int")
+    own = ranged.select("r", F.lit(False).alias("guest"), "sid", "tag", "doc_id", "text")
+    also = own.join(F.broadcast(guests), ["sid", "tag"]).select(F.col("at").alias("r"), F.lit(True).alias("guest"), "sid", "tag", "doc_id", "text")
+    to = F.get(F.array(*map(F.lit, _spread(spark, len(bounds) + 1, n))), F.col("r"))
+    dealt = own.unionByName(also).withColumn("to", to).repartition(n, F.col("to")).sortWithinPartitions("r", "guest", "sid", "tag", "text")
     return dealt.select("r", "guest", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_compare, _OUT)
 
 
