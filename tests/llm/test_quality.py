@@ -1,4 +1,9 @@
+import math
 import random
+import zlib
+from collections import Counter
+
+import numpy as np
 
 from sentrel.llm import quality as Q
 
@@ -38,4 +43,64 @@ def test_odd_rows_and_tables(spark):
     docs, labels = corpus()
     x = spark.createDataFrame(docs, d.schema)
     assert len(Q.score(d, Q.fit(x, spark.createDataFrame(labels, "doc_id long, quality int"))).collect()) == 5
-    assert Q.score(d.select("doc_id", "text"), Q.fit(d.select("doc_id", "text"), none)).count() == 5
+    bare = d.select("doc_id", "text")
+    assert Q.score(bare, Q.fit(bare, none)).count() == 5
+    kept = Q.keep_good(bare.withColumn("view_lang", bare.doc_id), Q.fit(x, spark.createDataFrame(labels, "doc_id long, quality int")))
+    assert kept.columns == ["doc_id", "text", "view_lang"] and kept.count() <= 5
+
+
+def plain_counts(rows, labels):
+    """Counts per class and bin of a view, by dictionaries."""
+    out = Counter()
+    for r, y in zip(rows, labels):
+        out.update((y, c) for c in r)
+    return out
+
+
+def test_training_against_brute_force(spark):
+    """Counts, log ratios and pseudo-labels of a small table, by loops over rows."""
+    docs, labels = corpus(160)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    known = dict(labels)
+    table = Q.features(d).collect()
+    r = Q.Rows.of(*map(list, zip(*((x[1], x[2], x[3], x[4]) for x in docs))))
+    by_id = {x.doc_id: x for x in table}
+    for k, (i, text, lang, source, n) in enumerate(docs):
+        words = {zlib.crc32(w.encode()) % Q.SLOTS for w in text.lower().split()}
+        assert set(by_id[i].words) == words and len(by_id[i].words) == len(words)
+        assert by_id[i].meta == [zlib.crc32(repr(x).encode()) % Q.VALUES for x in (lang, source, (lang, source), int(2 * math.log2(n + 1)))]
+        assert np.allclose(by_id[i].x, r.x[k])
+    edges = np.quantile(r.x, np.arange(1, Q.BINS) / Q.BINS, axis=0).T
+    text, meta = Q.TextView(edges), Q.MetaView()
+    y = np.array([known.get(i, -1) for i, *_ in docs])
+    cells = [set(by_id[i].words) | {Q.SLOTS + m * Q.BINS + sum(e <= x for e in edges[m]) for m, x in enumerate(r.x[k])} for k, (i, *_) in enumerate(docs)]
+    for view, rows in ((text, cells), (meta, [{m * Q.VALUES + v for m, v in enumerate(by_id[i].meta)} for i, *_ in docs])):
+        got, want = view.count(r, y), plain_counts(rows, y)
+        assert {(k, c): got[k, c] for k, c in np.argwhere(got)} == {x: n for x, n in want.items() if x[0] >= 0}
+    good, bad, all_good, all_bad = 7, 1, 40, 10
+    p = (good + Q.SHRINK * 0.8) / (good + bad + Q.SHRINK)
+    assert math.isclose(Q.log_ratio(np.array([7.0]), np.array([1.0]), all_good, all_bad)[0], math.log(p / (1 - p)) - math.log(4))
+
+    model = Q.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"), rounds=1)
+    free = [k for k, (i, *_) in enumerate(docs) if i not in known]
+    table = Q.materialize(Q.features(d), "test-features")
+    counted = Q._counted(table.where(~table.doc_id.isin(*known)), model, 0.9)
+    p = model.scores(r)
+    for (counts, totals), me, other in zip(counted, (1, 2), (2, 1)):
+        said = {k: 1 if p[k, other] >= 0.9 else 0 if p[k, other] <= 0.1 else -1 for k in free}
+        mine = {k: 1 if p[k, me] >= 0.9 else 0 if p[k, me] <= 0.1 else -1 for k in free}
+        taught = {k: v for k, v in said.items() if v >= 0 and mine[k] in (-1, v)}
+        assert totals.tolist() == [sum(v == c for v in taught.values()) for c in (0, 1)]
+        assert counts.sum(axis=1).tolist() == [sum((len(by_id[docs[k][0]].words) + Q.MEASURES if me == 1 else Q.META) for k, v in taught.items() if v == c) for c in (0, 1)]
+    # a text says more than its metadata here, and the order of scores follows the labels
+    whole = {i: s for (i, *_), s in zip(docs, p[:, 0])}
+    good, bad = [s for i, s in whole.items() if i % 4], [s for i, s in whole.items() if i % 4 == 0]
+    assert sum(a > b for a in good for b in bad) > 0.99 * len(good) * len(bad)
+
+
+def test_views_are_separate():
+    """Another text leaves the metadata score as it is, other metadata the text score."""
+    rows = Q.Rows.of(["a b", "c"], ["en", "en"], ["s", "s"], [3, 3])
+    assert (rows.meta[0] == rows.meta[1]).all() and set(rows.words[: rows.ends[0]]) != set(rows.words[rows.ends[0] :])
+    other = Q.Rows.of(["a b", "a b"], ["en", None], ["s", "t"], [3, None])
+    assert (other.x[0] == other.x[1]).all() and (other.meta[0] != other.meta[1]).any()
