@@ -5,17 +5,20 @@ judged on the input, overlaps count, and no string crosses documents.
 
 1. Documents are packed into compressed blocks, which are written once.
 2. Every 50-byte string has an anchor: its 16-byte gram of least hash, the leftmost on a tie. Equal strings have
-   equal anchors. Blocks post their anchors' hashes, each once a block, to buckets; a bucket tells each block
-   which of them other documents have too.
+   equal anchors. Blocks post their anchors' hashes, each once a block with its number of places, to buckets; a bucket
+   tells each block which of them other documents have too, and which have more than ``HOT`` places in all.
 3. Blocks cut out the context of every shared anchor (the strings that it stands for), each distinct context
-   once, under its least doc_id, and post it to the anchor's bucket.
+   once, under its least doc_id, and post it to the anchor's bucket. A hot anchor's strings are posted one by one,
+   to the buckets of their own hashes, so that no bucket holds all that surrounds a common gram.
 4. A bucket sorts the suffixes of its contexts to 50 bytes in two stages: suffixes smaller than their successors
    are sorted directly, the others are induced from them by scanning the buckets of first bytes in order.
-   Neighbours whose common prefix reaches 50 are one string, and the least doc_id among them is its owner.
+   Then the common prefixes of neighbours are computed; where one reaches 50, the two are one string, and the least doc_id
+   among such neighbours is its owner.
 5. Blocks get back a mask per context, mark the strings that a smaller doc_id owns, and cut.
 
-A context that a third of all documents repeat is posted once per block. Only hashes, shared contexts, masks and
-compressed blocks are shuffled, dealt out by bucket or by block; nothing is collected.
+A context that a third of all documents repeat is posted once per block. There are as many buckets as ``BUCKET`` bytes of text
+go into the input, and a task holds one at a time. Only hashes, shared contexts, masks and compressed blocks are
+shuffled, dealt out by bucket or by block; nothing is collected.
 
 Defined cases: a null text is empty; null ids are larger than all others; rows of equal doc_id don't remove from each
 other; documents under 50 bytes lose nothing; empty tables give empty results; other columns are ignored.
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import discard, dropping_shuffles, materialize, new_path, pick
+from sentrel.llm.common import discard, dropping_shuffles, materialize, new_path, pick, release
 
 LENGTH = 50
 GRAM = 16
@@ -42,13 +45,17 @@ SPAN = LENGTH - GRAM + 1
 BLOCK = 4 << 20
 #: Strings whose anchors are sought at a time.
 CHUNK = 1 << 19
-#: Anchor buckets per shuffle partition.
-FINER = 4
+#: Anchor buckets per shuffle partition at least, and bytes of text a bucket.
+FINER, BUCKET = 4, 4 << 20
+#: Places of an anchor beyond which its strings are posted one by one.
+HOT = 1 << 16
 LAST = (1 << 63) - 1
 _U = np.uint64
 _LOW = _U((1 << 27) - 1)
-#: Posted hashes keep their upper 47 bits; the bit below is a flag. More bits would only spare a few false candidates.
+#: Posted hashes keep their upper 47 bits; the bit below is a flag, and the others count places. More bits of the hash
+#: would only spare a few false candidates.
 _FLAG = _U(1 << 16)
+_COUNT = _FLAG - _U(1)
 _HASH = ~_U((1 << 17) - 1)
 
 
@@ -205,7 +212,7 @@ def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _post_hashes(n_buckets: int):
-    """A block's anchor hashes by bucket, each once; the flag says that documents of different ids here have it."""
+    """A block's anchor hashes by bucket, each once with its places; the flag says that documents of different ids here have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for block, _, _, blob in _rows(batches):
@@ -220,7 +227,7 @@ def _post_hashes(n_buckets: int):
             h, doc = h[order], doc[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             last = np.r_[first[1:], len(h)] - 1
-            keys = (h[first] & _HASH) | (doc[first] != doc[last]).astype(np.uint64) * _FLAG
+            keys = h[first] | (doc[first] != doc[last]).astype(np.uint64) * _FLAG | np.minimum(last - first + 1, int(_COUNT)).astype(np.uint64)
             for b, rows in _cut_buckets(_bucket_of(keys, n_buckets)):
                 yield _row(block, 0, b, _pack_keys(keys[rows]))
 
@@ -240,20 +247,41 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Per block, the hashes of its postings that occur in another document."""
-    for bucket, posts in _by_bucket(batches):
-        keys = [_unpack_keys(blob) for _, blob in posts]
-        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        every = np.concatenate(keys)
-        order = np.argsort(every & _HASH, kind="stable")
-        h = every[order] & _HASH
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        many = (np.diff(np.r_[first, len(h)]) > 1) | np.bitwise_or.reduceat(every[order] & _FLAG, first).astype(bool)
-        take = np.repeat(many, np.diff(np.r_[first, len(h)]))
-        h, owner = h[take], owner[order][take]
-        for k, rows in _cut_buckets(owner):
-            yield _row(posts[k][0], 0, bucket, _pack_keys(h[rows]))
+def _shared(hot: int):
+    """Per block, the hashes of its postings that occur in another document; the flag says that an anchor is hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for bucket, posts in _by_bucket(batches):
+            keys = [_unpack_keys(blob) for _, blob in posts]
+            owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            every = np.concatenate(keys)
+            order = np.argsort(every & _HASH, kind="stable")
+            every, owner = every[order], owner[order]
+            h = every & _HASH
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[first, len(h)])
+            many = (size > 1) | np.bitwise_or.reduceat(every & _FLAG, first).astype(bool)
+            often = np.add.reduceat(every & _COUNT, first) > _U(hot)
+            take = np.repeat(many, size)
+            h, owner = (h | np.repeat(often, size).astype(np.uint64) * _FLAG)[take], owner[take]
+            for k, rows in _cut_buckets(owner):
+                yield _row(posts[k][0], 0, bucket, _pack_keys(h[rows]))
+
+    return run
+
+
+def _string_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the strings that start at some places."""
+    out = np.empty(len(at), np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)
+    for left in range(0, len(at), 1 << 16):
+        w = np.zeros((len(at[left : left + (1 << 16)]), -(-LENGTH // 8) * 8), np.uint8)
+        w[:, :LENGTH] = windows[at[left : left + (1 << 16)]]
+        h = np.zeros(len(w), np.uint64)
+        for word in w.view("<u8").T:
+            h = _mix((h ^ word) * _U(0x9E3779B97F4A7C15))
+        out[left : left + (1 << 16)] = h
+    return out
 
 
 _CONTEXT = ("u1", "u1", "u1", "u1", "<i8", "u1")  # strings, positions before the seed, real seed, length, owner, bytes
@@ -268,11 +296,19 @@ def _contexts(n_buckets: int):
         ends = np.cumsum(sizes)
         h, at, count = _all_anchors(buf, ends)
         key = h & _HASH
-        spot = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-        live = shared[spot] == key
+        spot = np.minimum(np.searchsorted(shared & _HASH, key), len(shared) - 1)
+        live = shared[spot] & _HASH == key
+        hot = (shared[spot] & _FLAG)[live].astype(bool)
         key, at, count = key[live], at[live], count[live]
         if not len(key):
             return
+        # a hot anchor's strings go one by one
+        each = np.where(hot, count, 1)
+        row, step = np.repeat(np.arange(len(at)), each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        key, at, count, hot = key[row], at[row] + step, np.where(hot, 1, count)[row], hot[row]
+        bucket = _bucket_of(key, n_buckets)
+        if hot.any():
+            bucket[hot] = _bucket_of(_string_hashes(buf, at[hot]), n_buckets)
         doc = np.searchsorted(ends, at, "right")
         stop = ends[doc]
         # a suffix's type is that of the next differing pair; the last byte of a document is larger than its end
@@ -287,7 +323,6 @@ def _contexts(n_buckets: int):
         seed = np.minimum(up[final], np.minimum(final + LENGTH, stop))
         real = (seed < stop) & (up[final] == seed)
         size = np.minimum(seed + LENGTH, stop) - at
-        bucket = _bucket_of(key, n_buckets)
         number = np.empty(len(key), np.int32)
         raw = buf.tobytes()
         for b, rows in _cut_buckets(bucket):
@@ -365,6 +400,15 @@ def two_stage(text: np.ndarray, seeds: np.ndarray, real: np.ndarray) -> np.ndarr
     return rank.reshape(n, width)
 
 
+def common_prefixes(body: np.ndarray) -> np.ndarray:
+    """The bytes that each row of LENGTH bytes, given as zero-padded words, has in common with the row before."""
+    differ = body[1:] ^ body[:-1]
+    word = (differ != 0).argmax(axis=1)
+    x = differ[np.arange(len(differ)), word]
+    same = np.bitwise_count((x & (~x + _U(1))) - _U(1)) // 8  # 8 where no word differs
+    return np.r_[0, np.where(x == 0, LENGTH, 8 * word + same)]
+
+
 def owners(text: np.ndarray, strings: np.ndarray, seeds: np.ndarray, real: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Bit j of a row's mask: string j of the text also starts in a text of a smaller owner."""
     n, width = text.shape
@@ -372,9 +416,9 @@ def owners(text: np.ndarray, strings: np.ndarray, seeds: np.ndarray, real: np.nd
     row, j = np.nonzero(np.arange(int(strings.max()))[None, :] < strings[:, None])
     order = np.argsort(rank[row, j], kind="stable")
     row, j = row[order], j[order]
-    flat = text.ravel()
-    body = np.lib.stride_tricks.as_strided(flat, (len(flat) - LENGTH + 1, LENGTH), (1, 1))[row * width + j].view(f"S{LENGTH}").ravel()
-    first = np.flatnonzero(np.r_[True, body[1:] != body[:-1]])  # where the common prefix with the neighbour is shorter
+    body = np.zeros((len(row), -(-LENGTH // 8) * 8), np.uint8)
+    body[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(text.ravel(), LENGTH)[row * width + j]
+    first = np.flatnonzero(common_prefixes(body.view(np.uint64)) < LENGTH)
     least = np.repeat(np.minimum.reduceat(owner[row], first), np.diff(np.r_[first, len(row)]))
     mask = np.zeros(n, np.uint64)
     np.bitwise_or.at(mask, row, (least < owner[row]).astype(np.uint64) << j.astype(np.uint64))
@@ -447,20 +491,21 @@ def _cut(with_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, with_text: bool = False, block: int = BLOCK) -> DataFrame:
+def dedup_substrings(docs: DataFrame, with_text: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; ``with_text`` adds the kept bytes."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = FINER * n
     dealt = lambda df, *by: df.repartition(n, F.col(by[0])).sortWithinPartitions(*by)
     with dropping_shuffles(spark):
         blocks = materialize(_map(pick(docs, "doc_id", "text"), _to_blocks(block)), "blocks")
-        shared = materialize(_map(dealt(_map(blocks, _post_hashes(buckets)), "bucket"), _shared), "shared-anchors")
+        buckets = max(FINER * n, blocks.count() * block // BUCKET)
+        shared = materialize(_map(dealt(_map(blocks, _post_hashes(buckets)), "bucket"), _shared(hot)), "shared-anchors")
         at = new_path(spark, "contexts")
         _map(dealt(shared.unionByName(blocks), "block", "kind"), _contexts(buckets)).write.partitionBy("kind").option("compression", "zstd").parquet(at)
         cut = lambda kind: spark.read.schema(_ROW).parquet(at).where(F.col("kind") == kind).select(*_NAMES)
         masks = materialize(_map(dealt(cut(1), "bucket"), _judge), "masks")
     discard(spark, f"{at}/kind=1")  # the masks say all about them
+    release(shared)
     whole = cut(0).unionByName(masks).unionByName(blocks)
     return dealt(whole, "block", "kind").mapInArrow(_cut(with_text), _RESULT + (", kept binary" if with_text else ""))
 
