@@ -1,16 +1,17 @@
-"""Toxicity: a noisy-channel decoder restores disguised words, then the restored text is scored.
+"""Toxicity: a noisy-channel decoder restores disguised words, then a model scores the restored text.
 
 The channel: a letter may be written as a look-alike digit or sign, repeated, or set apart by spaces or
-signs. What was meant is decoded by Viterbi over the lattice of readings of a disguised token (or of a run of
-single letters), with a character trigram language model counted over all documents. Tokens of plain letters
-have one reading and skip the lattice.
+signs. What was meant is decoded by Viterbi over the lattice of readings of a token (or of a run of short tokens), with a
+character trigram language model counted over all documents. Tokens of plain letters, none of them doubled, have
+one reading. Tokens without any letter are read if they hold a look-alike sign; plain numbers stay numbers.
 
-The score: words, and their beginnings of four to six letters, that occur in toxic lines only by a
-likelihood-ratio test become the lexicon; a logistic model over the strongest hit and the number of
-hits gives a probability. Lines are counted once whatever their copies, and a line that clean documents have too
-is clean. Lexicon and model are fitted on at most ``LABELLED`` labelled rows, the first by a hash of doc_id.
+The model: words of the restored text, and their beginnings of four to six letters, get a shrunk log ratio of their distinct
+lines in toxic and in clean labelled documents; lines are counted once whatever their copies, and a line that clean documents
+have too is clean. Keys that lean to toxic make the lexicon, all of them; every word, whether it leans or not, also
+counts in a table of hashed slots. A logistic model over a text's strongest and second hit, the number of strong hits and the mean
+of its words' slots gives a probability. All are fitted on at most ``LABELLED`` labelled rows, the first by a hash of doc_id.
 
-Defined cases: null and empty texts have no hit and score like any hitless text; doc_id null counts as the
+Defined cases: null and empty texts have no hit and no words and score like any such text; doc_id null counts as the
 text ``null`` for the fold; rows that repeat are scored one by one; without labels every score is 0, with labels
 of one class its share; empty tables give empty results; other columns are ignored whatever their names.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,14 +29,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import pick
+from sentrel.llm.common import materialize, pick, release
 from sentrel.llm.quality import logistic, sigmoid
 
 LABELLED = 20_000
 THRESHOLD = 0.7
-#: Likelihood ratio (G2) that a lexicon entry needs, and how many lexicon entries are kept at most.
-EVIDENCE, LEXICON = 30.0, 20_000
+#: Lines that a log ratio is shrunk by, and the least log ratio of a lexicon key.
+SHRINK, LEANS = 50.0, 0.5
 PREFIXES = (4, 5, 6)
+#: Log ratio from which a hit counts as a strong one.
+STRONG = 2.0
+#: Slots of the words' table.
+SLOTS = 1 << 16
+#: Features of a text.
+FEATURES = 4
+#: Letters of a token that may be a part of a spaced word, and the least letters of such a word.
+CHUNK, SPACED = 3, 3
 #: Letters of the language model; all other characters are boundaries (class 0).
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäæçèéêëìíîïñòóôöùúûüœ"
 N = len(LETTERS) + 1
@@ -51,12 +61,12 @@ NO_LETTER = -6.0
 CACHE = 400_000
 _EDGE = re.compile(r"^(?:(?![@$€+|!(0-9])[\W_])+|[\W_]+$")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
-_RUN3 = re.compile(r"(.)\1\1", re.S)
+_TWICE = re.compile(r"(.)\1", re.S)
 _PARTS = re.compile(r"[^\W_]+")
 
 
 def trigram_counts(text: str) -> np.ndarray:
-    """Flat trigram classes of a text."""
+    """Flat trigram classes of a text; two boundaries on either side belong to it."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", errors="replace"), np.uint32)
     c = _CODE[np.where(cp < len(_CODE), cp, 0)]
     return (c[:-2] * N + c[1:-1]) * N + c[2:] if len(c) > 2 else np.zeros(0, np.int64)
@@ -69,7 +79,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
         total = np.zeros(N**3, np.int64)
         for whole in batches:
             for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                joined = "\n".join(x for x in b.column("text").to_pylist() if x)
+                joined = "\n\n" + "".join(f"{x}\n\n" for x in b.column("text").to_pylist() if x)  # no trigram holds letters of two texts
                 for left in range(0, len(joined), 1 << 20):
                     total += np.bincount(trigram_counts(joined[left : left + (1 << 20) + 2]), minlength=N**3)
         at = np.flatnonzero(total)
@@ -140,63 +150,103 @@ class Decoder:
         return " ".join("".join(reversed(out)).split())
 
 
-def pieces_of(word: str) -> list[str]:
+def keys_of(word: str) -> list[str]:
     """A word and its beginnings, as lexicon keys."""
     return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) >= k)]
 
 
+def slot_of(word: str) -> int:
+    return zlib.crc32(word.encode(errors="replace")) % SLOTS
+
+
 def plain_words(text: str) -> set[str]:
     return {w for w in _PARTS.findall(text.lower()) if not w.isdigit()}
 
 
 class Scorer:
-    """Scores texts with a lexicon {key: weight}, a decoder and the logistic weights."""
+    """Scores texts with a lexicon {key: weight}, the slots' table, a decoder and the logistic weights."""
 
-    def __init__(self, lexicon: dict[str, float], lm: np.ndarray, w: np.ndarray):
-        self.lexicon, self.w, self.decoder = lexicon, w, Decoder(lm)
-        self.known: dict[str, tuple[float, str] | None] = {}
+    def __init__(self, lexicon: dict[str, float], slots: np.ndarray, lm: np.ndarray, w: np.ndarray):
+        self.lexicon, self.slots, self.w, self.decoder = lexicon, slots, w, Decoder(lm)
+        self.starts = {k[:n] for k in lexicon if not k.endswith("~") for n in range(1, len(k) + 1)}
+        #: Per token: its hit as (weight, word) or None, and its words' slot weights, summed, and number.
+        self.known: dict[str, tuple[tuple[float, str] | None, float, int]] = {}
 
     def _look_up(self, words: list[str]) -> tuple[float, str] | None:
-        found = [(x, w) for w in words for k in pieces_of(w) if (x := self.lexicon.get(k)) is not None]
+        found = [(x, w) for w in words for k in keys_of(w) if (x := self.lexicon.get(k)) is not None]
         return max(found) if found else None
 
-    def _token(self, token: str) -> tuple[float, str] | None:
-        """The strongest hit of a token as (weight, word)."""
+    def _token(self, token: str) -> tuple[tuple[float, str] | None, float, int]:
         core = _EDGE.sub("", token)
-        words = _PARTS.findall(token)
-        if not (_PLAIN.match(core) and not _RUN3.search(core)) and any(c in CLASS for c in token):
-            words += self.decoder.restore(core).split()
+        words = [w for w in _PARTS.findall(token) if not w.isdigit()]
+        plain = _PLAIN.match(core) is not None
+        letters = any(c in CLASS for c in token)
         hit = self._look_up(words)
+        read = (letters and not plain) or (plain and hit is None and _TWICE.search(core)) or (not letters and len(core) > 2 and not core.isdigit() and all(c in LOOKS for c in core))
+        if read:
+            restored = self.decoder.restore(core).split()
+            hit = max((h for h in (hit, self._look_up(restored)) if h is not None), default=None)
+            words = restored or words
+        out = (hit, float(sum(self.slots[slot_of(w)] for w in words)), len(words))
         if len(token) <= 64:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            self.known[token] = hit
-        return hit
+            self.known[token] = out
+        return out
 
-    def hits(self, text: str) -> dict[str, float]:
-        """Distinct words of the text that the lexicon knows, with their weights."""
-        tokens = text.lower().split()
-        known, out = self.known, {}
-        for t in set(tokens):
-            h = known[t] if t in known else self._token(t)
-            if h is not None:
-                out[h[1]] = h[0]
-        single = [len(t) <= 2 and len(t.strip(".,-_*")) == 1 for t in tokens] if any(len(t) <= 2 for t in tokens) else []
-        i = 0
-        while i < len(single):
+    def _spaced(self, tokens: list[str]) -> Iterator[tuple[float, str]]:
+        """Hits among words that spaces set apart: runs of single letters, or of parts that make a lexicon word."""
+        short = [len(t) <= CHUNK + 2 for t in tokens]
+        i, n = 0, len(tokens)
+        while i < n:
+            if not short[i]:
+                i += 1
+                continue
             j = i
-            while j < len(single) and single[j]:
+            run = []
+            while j < n and short[j] and 0 < len(c := tokens[j].strip(".,-_*")) <= CHUNK:
+                run.append(c)
                 j += 1
-            if j - i >= 3 and len(set(tokens[i:j])) > 2:  # letters set apart by spaces
-                h = self._look_up(self.decoder.restore(" ".join(tokens[i:j])).split())
-                if h is not None:
-                    out[h[1]] = h[0]
-            i = j + 1
-        return out
+            single = [len(c) == 1 for c in run]
+            if len(run) > 1 and any(single):
+                a = 0
+                while a < len(run):  # single letters
+                    b = a
+                    while b < len(run) and single[b]:
+                        b += 1
+                    if b - a >= SPACED and len(set(run[a:b])) > 1 and (h := self._look_up(self.decoder.restore(" ".join(run[a:b])).split())):
+                        yield h
+                    a = b + 1
+            for a in range(len(run) - 1):
+                joined = run[a]
+                for b in range(a + 1, len(run)):
+                    if joined not in self.starts:
+                        break
+                    joined += run[b]
+                    if len(joined) >= SPACED and joined in self.lexicon and joined in self.decoder.restore(" ".join(run[a : b + 1])).split():
+                        yield self.lexicon[joined], joined
+            i = max(j, i + 1)
+
+    def read(self, text: str) -> tuple[dict[str, float], float]:
+        """Distinct words of the text that the lexicon knows, with their weights, and the mean of its words' slots."""
+        tokens = text.lower().split()
+        known, out, total, n = self.known, {}, 0.0, 0
+        for t in sorted(set(tokens)):
+            hit, s, k = known[t] if t in known else self._token(t)
+            total, n = total + s, n + k
+            if hit is not None:
+                out[hit[1]] = hit[0]
+        for weight, word in self._spaced(tokens):
+            out[word] = weight
+        return out, total / max(n, 1)
+
+    def hits(self, text: str) -> dict[str, float]:
+        return self.read(text)[0]
 
-    def features(self, text: str) -> tuple[float, float]:
-        h = self.hits(text)
-        return (max(h.values()), math.log1p(len(h))) if h else (0.0, 0.0)
+    def features(self, text: str) -> tuple[float, ...]:
+        h, mean = self.read(text)
+        top = sorted(h.values(), reverse=True)[:2]
+        return (*top, *[0.0] * (2 - len(top)), math.log1p(sum(w >= STRONG for w in h.values())), 4 * mean)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(np.column_stack([np.ones(len(x)), x]) @ self.w)
@@ -214,8 +264,23 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return pick(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """{key: weight} from rows (text, toxic), by distinct lines."""
+def log_ratio(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
+    """Log odds of toxic lines over those of all, shrunk towards 0 where there are few lines."""
+    p = (bad + SHRINK * share) / (bad + good + SHRINK)
+    return np.log(p / (1 - p)) - math.log(share / (1 - share))
+
+
+def prune(lexicon: dict[str, float]) -> dict[str, float]:
+    """Without beginnings that clean lines share where a longer key is purer."""
+    longer: dict[str, float] = {}
+    for k, w in lexicon.items():
+        for n in range(1, len(k.rstrip("~"))):
+            longer[k[:n]] = max(longer.get(k[:n], 0.0), w)
+    return {k: w for k, w in lexicon.items() if not k.endswith("~") or w >= longer.get(k[:-1], 0.0) - 1}
+
+
+def learn(rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+    """The lexicon {key: weight} and the slots' table from rows (text, toxic), by distinct lines."""
     lines = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("line"), "toxic").groupBy("line").agg(F.min("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,66 +295,64 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
         for b in batches:
             for line, toxic in zip(b.column("line").to_pylist(), b.column("toxic").to_pylist()):
-                n[1 if toxic else 0].update({k for w in plain_words(line) for k in pieces_of(w)} | {""})
+                words = plain_words(line)
+                n[1 if toxic else 0].update({k for w in words for k in keys_of(w)} | {f" {slot_of(w)}" for w in words} | {""})
                 if len(n[0]) + len(n[1]) > 300_000:
                     yield flush()
         yield flush()
 
     counts = lines.mapInArrow(run, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = materialize(counts, "word-counts")
     total = counts.where("key = ''").first()
+    slots = np.zeros(SLOTS, np.float32)
     if not total or not total.bad or not total.good:
-        return {}
-    all_bad, all_good = float(total.bad), float(total.good)
-    bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
-    share = all_bad / (all_bad + all_good)
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    g2 = 2 * (part(bad, (bad + good) * share) + part(good, (bad + good) * (1 - share)))
-    weight = F.log((bad + 0.5) / (all_bad + 1)) - F.log((good + 0.5) / (all_good + 1))
-    top = counts.where("key <> ''").select("key", weight.alias("w"), g2.alias("g2")).where((F.col("w") > 1) & (F.col("g2") >= EVIDENCE)).orderBy(F.desc("g2"), "key").limit(LEXICON)
-    lexicon = {r.key: r.w for r in top.collect()}
-    # a beginning that clean lines share goes where a longer one is purer
-    longer: dict[str, float] = {}
-    for k, w in lexicon.items():
-        for n in range(1, len(k.rstrip("~"))):
-            longer[k[:n]] = max(longer.get(k[:n], 0.0), w)
-    return {k: w for k, w in lexicon.items() if not k.endswith("~") or w >= longer.get(k[:-1], 0.0) - 1}
+        return {}, slots
+    share = total.bad / (total.bad + total.good)
+    table = counts.where("startswith(key, ' ')").toArrow()  # at most SLOTS rows
+    slots[[int(k) for k in table.column("key").to_pylist()]] = log_ratio(table.column("bad").to_numpy().astype(float), table.column("good").to_numpy().astype(float), share)
+    # a key of log ratio LEANS or more has this share of toxic lines at least
+    least = 1 / (1 + math.exp(-(LEANS + math.log(share / (1 - share)))))
+    leaning = counts.where((F.col("key") != "") & ~F.startswith("key", F.lit(" ")) & ((F.col("bad") + SHRINK * share) / (F.col("bad") + F.col("good") + SHRINK) >= least))
+    got = leaning.toArrow()  # keys of the labelled rows, of which there are at most LABELLED
+    lexicon = dict(zip(got.column("key").to_pylist(), log_ratio(got.column("bad").to_numpy().astype(float), got.column("good").to_numpy().astype(float), share).tolist()))
+    release(counts)
+    return prune(lexicon), slots
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Scorer:
-    """Language model over all documents; lexicon and weights over the labelled sample."""
+    """Language model over all documents; lexicon, slots and weights over the labelled sample."""
     rows = _labelled(docs, labels, most)
     # two thirds of the sample make the lexicon, the rest calibrates it on texts that it hasn't seen
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))
-    lexicon = learn_lexicon(rows.where(part != 2))
-    scorer = Scorer(lexicon, language_model(docs), np.zeros(3))
+    scorer = Scorer(*learn(rows.where(part != 2)), language_model(docs), np.zeros(FEATURES + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [scorer.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array([f[0] for f in x]), pa.array([f[1] for f in x])], names=["y", "strongest", "hits"])
+            x = [list(scorer.features(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = rows.where(part == 2).select("text", "toxic").mapInArrow(run, "y int, strongest double, hits double").groupBy("y", "strongest", "hits").count().toArrow().to_pydict()
-    y, n = np.array(got["y"], float), np.array(got["count"], int)
+    # a row per document, at most a third of the sample
+    held = rows.where(part == 2).mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").toArrow().to_pydict()
+    order = np.argsort(np.array(held["doc_id"], np.int64))
+    y, x = np.array(held["y"], float)[order], np.array(held["x"], float).reshape(-1, FEATURES)[order]
     if not len(y) or not 0 < y.sum() < len(y):
-        base = float(np.average(y, weights=n)) if len(y) else 0.0
-        scorer.w = np.array([math.log(max(base, 1e-9) / max(1 - base, 1e-9)), 0.0, 0.0])
+        base = float(y.mean()) if len(y) else 0.0
+        scorer.w[0] = math.log(max(base, 1e-9) / max(1 - base, 1e-9))
         return scorer
-    order = np.lexsort((got["hits"], got["strongest"], y))
-    x = np.repeat(np.column_stack([got["strongest"], got["hits"]])[order], n[order], axis=0)
-    scorer.w = logistic(np.column_stack([np.ones(len(x)), x]), np.repeat(y[order], n[order]), 0.05)
+    scorer.w = logistic(np.column_stack([np.ones(len(x)), x]), y, 0.05)
     return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_hits) of every row, over whole texts."""
+    """(doc_id, held_out, score, predicted, n_hits) of every row, over whole texts; n_hits counts the strong ones."""
     src = pick(docs, "doc_id", "text").select("doc_id", "text", (fold(F.col("doc_id")) == 1).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                x = np.array([scorer.features(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, 2)
+                x = np.array([scorer.features(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, FEATURES)
                 s = scorer.score(x)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(np.rint(np.expm1(x[:, 1])).astype(np.int64))], names=["doc_id", "held_out", "score", "predicted", "n_hits"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(np.rint(np.expm1(x[:, 2])).astype(np.int64))], names=["doc_id", "held_out", "score", "predicted", "n_hits"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, n_hits long")
 
