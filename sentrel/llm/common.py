@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +15,7 @@ from pyspark.sql import types as T
 from sentrel.session import cut_lineage as materialize
 from sentrel.session import discard, dropping_shuffles, new_path, release
 
-__all__ = ["BROADCAST_BYTES", "ascii_lower", "discard", "dropping_shuffles", "fresh", "materialize", "new_path", "pick", "release", "small_enough"]
+__all__ = ["BROADCAST_BYTES", "ascii_lower", "discard", "dropping_shuffles", "fresh", "lean", "materialize", "new_path", "pick", "release", "small_enough"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -56,3 +60,17 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a side, whose bytes are summed once, stays under the broadcast bound."""
     row = reduce(lambda a, b: a + b, map(_bytes_of, df.schema), F.lit(ROW_BYTES).cast("long"))
     return (df.agg(F.sum(row)).first()[0] or 0) <= limit
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function that hands freed memory back to the system after its task: idle workers stay beside the JVM."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return wrapped

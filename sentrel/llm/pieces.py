@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sentrel.llm.common import pick
+from sentrel.llm.common import lean, pick
 
 MODEL = os.environ.get("SENTREL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -373,7 +373,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, digest: bool = False)
     src = pick(docs, "doc_id", "text")
     kind = src.schema["doc_id"].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(load(model))  # half a megabyte
-    return src.mapInArrow(encoder(shipped, digest), f"doc_id {kind}, n_chars long, n_ids long, round_trip boolean, " + ("ids_sha256 string" if digest else "ids array<int>"))
+    return src.mapInArrow(lean(encoder(shipped, digest)), f"doc_id {kind}, n_chars long, n_ids long, round_trip boolean, " + ("ids_sha256 string" if digest else "ids array<int>"))
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import fresh, materialize, pick, release
+from sentrel.llm.common import fresh, lean, materialize, pick, release
 
 LABELLED = 4000
 ROUNDS = 3
@@ -42,8 +42,8 @@ BINS, SLOTS, VALUES = 10, 1 << 16, 1 << 10
 SHRINK = 4.0
 #: Score from which a document counts as good: losing a good document costs more than keeping a bad one.
 KEEP = 0.3
-#: Distinct words whose slots a worker keeps.
-CACHE = 400_000
+#: Distinct words whose slots a worker keeps, and rows of features that are scored at a time.
+CACHE, STEP = 100_000, 2048
 
 _CLASS = np.zeros((256, 5))  # upper, lower, digit, symbol, other letters
 _CLASS[65:91, 0] = _CLASS[97:123, 1] = _CLASS[48:58, 2] = 1
@@ -51,7 +51,32 @@ _CLASS[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"], 3] = 1
 _CLASS[0xC2:0xF5, 4] = 1
 #: Measures of a text, and values of the metadata.
 MEASURES, META = 15, 4
-_slots: dict[str, int] = {}
+
+
+class _Slots(dict):
+    """Slots of words, looked up once a word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        s = self[word] = zlib.crc32(word.encode(errors="replace")) % SLOTS
+        return s
+
+
+_slots = _Slots()
+
+
+class _Slots(dict):
+    """Slots of words, looked up once a word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        s = self[word] = zlib.crc32(word.encode(errors="replace")) % SLOTS
+        return s
+
+
+_slots = _Slots()
 
 
 def measures(text: str) -> list[float]:
@@ -72,18 +97,22 @@ def measures(text: str) -> list[float]:
         np.log1p(len(lines)), np.log1p(max(lines)), sum(1 for s in lines if not s) / len(lines), sum(1 for s in lines if s < 40) / len(lines)]
 
 
-def _slot(word: str) -> int:
-    s = _slots.get(word)
-    if s is None:
-        if len(_slots) >= CACHE:
-            _slots.clear()
-        s = _slots[word] = zlib.crc32(word.encode(errors="replace")) % SLOTS
-    return s
-
-
-def word_slots(text: str) -> np.ndarray:
-    """The distinct slots of a text's lower-cased words."""
-    return np.unique(np.fromiter(map(_slot, set(text.lower().split())), dtype=np.int32))
+def describe(text: str) -> tuple[list[float], set[int]]:
+    """Numbers that describe a text's words, characters and lines, and the slots of its words."""
+    words = text.split()
+    n = len(words)
+    if not n:
+        return [0.0] * MEASURES, set()
+    counts = Counter(words)
+    upper, lower, digit, symbol, other = np.bincount(np.frombuffer(text.encode(errors="replace"), np.uint8), minlength=256) @ _CLASS
+    letters, chars = max(upper + lower + other, 1.0), max(len(text), 1)
+    repeated = sum(map(operator.eq, words, words[1:]))
+    marked = sum(map(len, words))
+    lines = list(map(len, text.split("\n")))
+    return [
+        np.log1p(n), len(counts) / n, max(counts.values()) / n, repeated / n, upper / letters, digit / chars, symbol / chars, marked / n,
+        sum(1 for w in counts if not w[-1].isalnum()) / len(counts), text.count("!") / n, sum(1 for w in counts if len(w) == 1) / len(counts),
+        np.log1p(len(lines)), np.log1p(max(lines)), sum(1 for s in lines if not s) / len(lines), sum(1 for s in lines if s < 40) / len(lines)], set(map(_slots.__getitem__, counts))
 
 
 def meta_values(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
@@ -127,11 +156,11 @@ class Rows:
 
     @staticmethod
     def of(texts: list[str | None], lang: list, source: list, n_chars: list) -> Rows:
-        slots = [word_slots(t or "") for t in texts]
-        ends = np.cumsum([len(s) for s in slots], dtype=np.int64)
-        x = np.array([measures(t or "") for t in texts], np.float32).reshape(-1, MEASURES)
+        both = [describe(t or "") for t in texts]
+        ends = np.cumsum([len(s) for _, s in both], dtype=np.int64)
+        x = np.array([m for m, _ in both], np.float32).reshape(-1, MEASURES)
         meta = np.array([meta_values(*m) for m in zip(lang, source, n_chars)], np.int32).reshape(-1, META)
-        return Rows(x, np.concatenate([np.zeros(0, np.int32), *slots]), ends, meta)
+        return Rows(x, np.fromiter((k for _, s in both for k in s), np.int32), ends, meta)
 
     @staticmethod
     def read(b: pa.RecordBatch) -> Rows:
@@ -162,7 +191,7 @@ class View:
         raise NotImplementedError
 
     def count(self, r: Rows, label: np.ndarray) -> np.ndarray:
-        """Rows of class 0 and 1 per cell."""
+        """Rows of class 0 and 1 per cell; other labels don't count."""
         row, cell = self.cells_of(r)
         return np.stack([np.bincount(cell[label[row] == k], minlength=self.cells) for k in (0, 1)])
 
@@ -271,7 +300,7 @@ def features(docs: DataFrame) -> DataFrame:
                 out = [b.column("doc_id"), b.column("tag"), lists(r.x.ravel(), np.arange(1, n + 1) * MEASURES), lists(r.words, r.ends), lists(r.meta.ravel(), np.arange(1, n + 1) * META)]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "tag", "x", "words", "meta"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, tag long, x array<float>, words array<int>, meta array<int>")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, tag long, x array<float>, words array<int>, meta array<int>")
 
 
 def _counted(free: DataFrame, model: Model, sure: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -279,18 +308,18 @@ def _counted(free: DataFrame, model: Model, sure: float) -> list[tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((2, v.cells + 1), np.int64) for v in model.views]  # the last cell counts rows
-        for b in batches:
-            r = Rows.read(b)
-            for t, v, label in zip(total, model.views, model.pseudo_labels(r, sure)):
-                taught = np.flatnonzero(label >= 0)
-                t[:, :-1] += v.count(r.take(taught), label[taught])
-                t[:, -1] += np.bincount(label[taught], minlength=2)
+        for whole in batches:
+            for b in (whole.slice(i, STEP) for i in range(0, whole.num_rows, STEP)):
+                r = Rows.read(b)
+                for t, v, label in zip(total, model.views, model.pseudo_labels(r, sure)):
+                    t[:, :-1] += v.count(r, label)
+                    t[:, -1] += np.bincount(label[label >= 0], minlength=2)
         at = [np.argwhere(t) for t in total]
         view = np.repeat(np.arange(2, dtype=np.int32), [len(a) for a in at])
         kind, cell = np.concatenate(at).T
         yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(kind.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(np.concatenate([t[tuple(a.T)] for t, a in zip(total, at)]))], names=["view", "kind", "cell", "n"])
 
-    got = free.mapInArrow(run, "view int, kind int, cell int, n long").groupBy("view", "kind", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most the cells of the tables
+    got = free.mapInArrow(lean(run), "view int, kind int, cell int, n long").groupBy("view", "kind", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most the cells of the tables
     out = []
     for k, v in enumerate(model.views):
         t, own = np.zeros((2, v.cells + 1), np.int64), got.column("view").to_numpy() == k
@@ -357,7 +386,7 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP, ready: bool = False
             for b in _parts(whole):
                 yield _scored(b.column("doc_id"), model, Rows.read(b) if ready else _rows_of(b), keep)
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double, text_score double, meta_score double, predicted int")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double, text_score double, meta_score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
@@ -372,7 +401,7 @@ def keep_good(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
                 s = model.scores(Rows.of(*(b.column(n).to_pylist() for n in names)))
                 yield b.select(b.schema.names[: -len(names)]).filter(pa.array(s[:, 0] >= keep))
 
-    return src.mapInArrow(run, docs.schema)
+    return src.mapInArrow(lean(run), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import materialize, pick, release
+from sentrel.llm.common import lean, materialize, pick, release
 from sentrel.llm.components import components
 
 SHINGLE = 3
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(t or b"", size) for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _byte(p: int) -> int:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import materialize, pick, release
+from sentrel.llm.common import lean, materialize, pick, release
 from sentrel.llm.quality import logistic, sigmoid
 
 LABELLED = 20_000
@@ -85,7 +85,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    rows = pick(docs, "text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    rows = pick(docs, "text").mapInArrow(lean(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     table = rows.toArrow()  # at most N**3 rows
     count = np.zeros(N**3)
     count[table.column("at").to_numpy()] = table.column("n").to_numpy()
@@ -301,7 +301,7 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
                     yield flush()
         yield flush()
 
-    counts = lines.mapInArrow(run, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = lines.mapInArrow(lean(run), "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = materialize(counts, "word-counts")
     total = counts.where("key = ''").first()
     slots = np.zeros(SLOTS, np.float32)
@@ -332,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Scorer:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     # a row per document, at most a third of the sample
-    held = rows.where(part == 2).mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").toArrow().to_pydict()
+    held = rows.where(part == 2).mapInArrow(lean(run), "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").toArrow().to_pydict()
     order = np.argsort(np.array(held["doc_id"], np.int64))
     y, x = np.array(held["y"], float)[order], np.array(held["x"], float).reshape(-1, FEATURES)[order]
     if not len(y) or not 0 < y.sum() < len(y):
@@ -354,7 +354,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
                 s = scorer.score(x)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(np.rint(np.expm1(x[:, 2])).astype(np.int64))], names=["doc_id", "held_out", "score", "predicted", "n_hits"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, n_hits long")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, n_hits long")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
