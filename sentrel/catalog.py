@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sentrel.plans import audit, measures, records, text, walks
+from sentrel.plans import measures, records, text, trees, walks
 from sentrel.streaming import events
 
-_PLANS = (text, records, walks, measures, audit, events)
+_PLANS = (text, records, walks, measures, trees, events)
 
 QUERIES = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
 ORACLES = {k: q for p in _PLANS for k, q in p.ORACLES.items()}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrel.functions.expressions import severity_rank
+
 
 def confusion(rows: DataFrame, truth: Column, predicted: Column, sets: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
     """Confusion counts and ratios (4 digits, 0 for an empty denominator) at several grains in one pass."""
@@ -45,6 +49,45 @@ def verdict_of(raw: Column) -> Column:
     return F.when(low == "exploitable", "VERIFIED_EXPLOITABLE").when(low == "blocked", "BLOCKED").otherwise("UNCERTAIN")
 
 
+def confidence_of(raw: Column, confidence: Column) -> Column:
+    """The stated confidence; 0.5 where an answer states none, 0.3 where there is no answer."""
+    return F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", F.lit(0.3)).otherwise(F.coalesce(confidence, F.lit(0.5)))
+
+
+def serious(findings: DataFrame, least: float = 0.6) -> DataFrame:
+    """CRITICAL and HIGH findings from a confidence up."""
+    return findings.where(F.col("severity").isin("CRITICAL", "HIGH") & (F.col("confidence") >= least))
+
+
+def report_order(findings: DataFrame, ident: str) -> DataFrame:
+    """By severity, then by confidence from high to low, then by id."""
+    return findings.orderBy(severity_rank(F.col("severity")), F.desc("confidence"), ident)
+
+
+def tree_hash(rows: DataFrame, by: str, path: str, digest: str) -> DataFrame:
+    """(by, tree): SHA-256 over a group's sorted lines path:digest.
+
+    SHA-256 is sequential, so a group's lines meet in one task; they come sorted from the shuffle and are hashed as
+    they pass, so the task holds one Arrow batch, not the group.
+    """
+    lines = rows.select(F.col(by).cast("string").alias("g"), F.concat_ws(":", path, digest).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, first = None, None, True
+        for b in batches:
+            for g, line in zip(b.column("g").to_pylist(), b.column("line").to_pylist()):
+                if first or g != now:
+                    if not first:
+                        yield pa.RecordBatch.from_pydict({by: [now], "tree": [h.hexdigest()]})
+                    now, h, first = g, hashlib.sha256(line.encode()), False
+                else:
+                    h.update(b"\n" + line.encode())
+        if not first:
+            yield pa.RecordBatch.from_pydict({by: [now], "tree": [h.hexdigest()]})
+
+    return lines.repartition("g").sortWithinPartitions("g", "line").mapInArrow(run, f"{by} string, tree string")
+
+
 def verdict_summary(results: DataFrame) -> DataFrame:
     """Verdicts by analysis source; one column per verdict."""
     return results.groupBy("analysis_source").pivot("verdict", ["VERIFIED_EXPLOITABLE", "BLOCKED", "UNCERTAIN"]).count().na.fill(0)
@@ -65,9 +108,18 @@ def breakdown(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def budget_pack(rows: DataFrame, order: str, size: Column, budget: int, by: str) -> DataFrame:
-    """Rows in order whose running size stays within the budget, per group."""
-    from pyspark.sql import Window
+def budget_pack(rows: DataFrame, order: str, size: Column, budget: int, by: str, parts: int = 64) -> DataFrame:
+    """Rows in order whose running size stays within the budget, per group. Sizes are 0 or more.
 
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+    A group is summed by ranges of the order first, and only rows of ranges that the budget reaches are numbered: a window
+    sees a budget's worth of a group and the range that overflows it, not the group.
+    """
+    rows = rows.withColumn("_size", size)
+    bounds = sorted(set(rows.approxQuantile(order, [k / parts for k in range(1, parts)], 0.25 / parts)))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(order))) if bounds else F.lit(0)
+    rows = rows.withColumn("_part", at)
+    w = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = rows.groupBy(by, "_part").agg(F.sum("_size").alias("_sum")).select(by, "_part", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_before")).where(F.col("_before") <= budget)
+    near = rows.join(F.broadcast(before), [by, "_part"])
+    run = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn("running", F.sum("_size").over(run)).where(F.col("running") <= budget).drop("_size", "_part", "_before")

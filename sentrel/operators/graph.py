@@ -53,7 +53,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_nodes: int) -> Data
 
     A level keeps one path per (source, node), so the state never holds more than the pairs that are reached.
     """
-    e = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
+    e = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst")).distinct(), "edges")  # every level reads them
     level = sources.select(F.col("node").alias("src"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")).distinct()
     seen = level
     for depth in range(1, max_nodes):
@@ -68,7 +68,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_nodes: int) -> Data
 
 def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 50) -> DataFrame:
     """(node, depth): nodes that any source reaches, with the fewest steps."""
-    e = edges.select("src", "dst").distinct()
+    e = cut_lineage(edges.select("src", "dst").distinct(), "edges")
     level = sources.select("node").distinct().withColumn("depth", F.lit(0))
     seen = level
     for depth in range(1, max_depth + 1):
@@ -91,21 +91,50 @@ def entry_closure(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return entries.select("node").unionByName(hop).distinct()
 
 
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(node, n_callees, first_callee, last_callee, n_callers) of every node that calls; a hub is a row of numbers like any other."""
+    g = edges.select("src", "dst").distinct()
+    out = g.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_callees"), F.min("dst").alias("first_callee"), F.max("dst").alias("last_callee"))
+    into = g.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_callers"))
+    return out.join(into, "node", "left").withColumn("n_callers", F.coalesce("n_callers", F.lit(0)))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label): the least label that reaches a node along edges, until nothing changes or the rounds are over."""
-    e = edges.select("src", "dst").distinct()
-    state = seeds.groupBy("node").agg(F.min("label").alias("label"))
-    before = state.agg(F.count("*"), F.sum("label")).first()
+    """(node, label): the least label that reaches a node along edges, until no row changes or the rounds are over."""
+    e = cut_lineage(edges.select("src", "dst").distinct(), "edges")
+    state = cut_lineage(seeds.groupBy("node").agg(F.min("label").alias("label")), "labels-0")
+    changed = state
     for k in range(rounds):
-        moved = state.join(e, state["node"] == e["src"]).select(F.col("dst").alias("node"), "label")
-        state = cut_lineage(state.unionByName(moved).groupBy("node").agg(F.min("label").alias("label")), f"labels-{k}")
-        now = state.agg(F.count("*"), F.sum("label")).first()
-        if now == before:
+        moved = changed.join(e, changed["node"] == e["src"]).select(F.col("dst").alias("node"), "label").groupBy("node").agg(F.min("label").alias("label"))
+        old = state.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+        better = moved.join(old, F.col("node") == F.col("_node"), "left").where(F.col("_label").isNull() | (F.col("label") < F.col("_label"))).select("node", "label")
+        changed = cut_lineage(better, f"changed-{k}")
+        if changed.isEmpty():
             break
-        before = now
+        state = cut_lineage(state.unionByName(changed).groupBy("node").agg(F.min("label").alias("label")), f"labels-{k + 1}")
     return state
 
 
+def resolved_edges(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
+    """Call edges by receiver, scope and name: (src, dst).
+
+    calls: (src, file, name, receiver); functions: (dst, file, name, class_name); imports: (file, target). A call on a receiver
+    that names a class goes to that class's method; any other one to functions of its own file or an imported one.
+    """
+    on_class = calls.where("receiver IS NOT NULL").join(functions.where("class_name <> ''").select("dst", "name", F.col("class_name").alias("receiver")), ["name", "receiver"]).select("src", "dst")
+    named = functions.where("class_name <> ''").select(F.col("class_name").alias("receiver")).distinct()
+    loose = calls.join(named, "receiver", "left_anti")
+    return on_class.unionByName(scoped_edges(loose.select("src", "file", "name"), functions.select("dst", "file", "name"), imports)).distinct()
+
+
+def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, target): imported modules (file, module) meet the files (path) whose stem or dotted path they name."""
+    dotted = F.regexp_replace(F.regexp_replace("path", r"\.[A-Za-z]+$", ""), "/", ".")
+    known = files.select(F.col("path").alias("target"), F.explode(F.array_distinct(F.array(dotted, F.element_at(F.split(dotted, r"\."), -1)))).alias("module"))
+    module = F.regexp_replace(F.regexp_replace(F.regexp_replace("module", r"^(?:from|import)\s+|\s+import$", ""), r"^\./|\.[jt]sx?$", ""), "/", ".")
+    return imports.select("file", F.trim(module).alias("module")).join(known, "module").where(F.col("file") != F.col("target")).select("file", "target").distinct()
+
+
 def bind_arguments(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(src, callee, position, argument, param): arguments meet the callee's parameters by position."""
     args = calls.select("src", "callee", F.posexplode("arguments").alias("position", "argument"))

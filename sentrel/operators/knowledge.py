@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrel.functions import fixed
+
 
 def enrich(records: DataFrame, scores: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Left joins: scores are null where missing, ``known`` becomes a 0/1 flag."""
@@ -31,9 +37,21 @@ def dependency_score(known: Column, epss: Column, cvss: Column) -> Column:
     return zero(known) * 10000 + zero(epss) * 1000 + zero(cvss)
 
 
-def like_lookup(deps: DataFrame, records: DataFrame, on: str, name: str, package: str, order: Sequence, top: int, dep_id: str) -> DataFrame:
-    """Records of the same ``on`` whose package contains the dependency's name: the top ones per dependency."""
+def affects(ranges: Column, version: Column) -> Column:
+    """Whether a record's affected versions mention a version; unknown on either side means no."""
+    return F.coalesce((ranges != "") & (version != "") & ranges.contains(version), F.lit(False))
+
+
+def like_lookup(deps: DataFrame, records: DataFrame, on: str, name: str, package: str, order: Sequence, top: int, dep_id: str, version: tuple[str, str] | None = None) -> DataFrame:
+    """Records of the same ``on`` whose package contains the dependency's name: the top ones per dependency.
+
+    ``version`` names the records' affected versions and the dependency's version; a dependency that states one then only
+    keeps records that mention it.
+    """
     hits = deps.join(records, on).where(F.col(package).contains(F.col(name)))
+    if version:
+        ranges, own = version
+        hits = hits.where(F.col(own).isNull() | affects(F.col(ranges), F.col(own)))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(dep_id).orderBy(*order))).where(F.col("rank") <= top)
 
 
@@ -42,17 +60,41 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def keyword_search(docs: DataFrame, ident: str, text: str, query: Sequence[str], order: Sequence, limit: int) -> DataFrame:
-    """Documents with all query tokens; if none has, those with any token longer than one letter. Ranked, cut at ``limit``."""
+def keyword_search(docs: DataFrame, ident: str, text: str | Sequence[str], query: Sequence[str], order: Sequence, limit: int) -> DataFrame:
+    """Documents with all query tokens in their text columns; if none has, those with any token longer than one letter.
+
+    Ranked, cut at ``limit``. A text without a word of the query as a substring is never taken apart.
+    """
     words = [w.lower() for w in query]
-    body = docs.withColumn("_t", tokens(F.col(text)))
-    every = body.where(F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains("_t", w))) if words else body.limit(0)
+    columns = [text] if isinstance(text, str) else list(text)
+    whole = F.lower(F.concat_ws(" ", *columns))
+    held = lambda some, combine: reduce(combine, (whole.contains(w) for w in some), F.lit(combine is and_))
+    every = docs.where(held(words, and_)).where(F.size(F.array_except(F.array(*map(F.lit, words)), tokens(whole))) == 0) if words else docs.limit(0)
     any_of = [w for w in words if len(w) > 1]
-    some = body.where(F.arrays_overlap("_t", F.array(*map(F.lit, any_of)))) if any_of else body.limit(0)
+    some = docs.where(held(any_of, or_)).where(F.arrays_overlap(tokens(whole), F.array(*map(F.lit, any_of)))) if any_of else docs.limit(0)
     # the fallback only counts when the conjunction has no row: one scalar decides, not a second search
     hit = every.limit(1).agg(F.count("*").alias("_all"))
     rows = every.withColumn("matched", F.lit("all")).unionByName(some.crossJoin(F.broadcast(hit)).where("_all = 0").drop("_all").withColumn("matched", F.lit("any")))
-    return rows.drop("_t").orderBy(*order).limit(limit)
+    return rows.orderBy(*order).limit(limit)
+
+
+def filtered(found: DataFrame, score: Column, limit: int, ident: str = "id", min_epss: float | None = None, known_only: bool = False, tech: Sequence[str] = (), cwes: Sequence[str] = (), ecosystem: str | None = None) -> DataFrame:
+    """Search results that pass the filters, ranked again and cut.
+
+    found: (id, epss, known_flag, cpes, description, package, cwe_ids, ecosystem); only the columns of given filters are needed.
+    """
+    if min_epss is not None:
+        found = found.where(F.coalesce("epss", F.lit(0.0)) >= min_epss)
+    if known_only:
+        found = found.where(F.col("known_flag") == 1)
+    if tech:
+        text = F.lower(F.concat_ws(" ", "cpes", "description", "package"))
+        found = found.where(reduce(or_, (text.contains(t.lower()) for t in tech)))
+    if cwes:
+        found = found.where(F.coalesce(F.arrays_overlap("cwe_ids", F.array(*map(F.lit, cwes))), F.lit(False)))
+    if ecosystem is not None:
+        found = found.where(F.col("ecosystem") == ecosystem)
+    return found.withColumn("score", score).orderBy(F.desc("score"), ident).limit(limit)
 
 
 def inverted_index(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -66,37 +108,67 @@ def index_search(index: DataFrame, ident: str, query: Sequence[str]) -> DataFram
     return index.where(F.col("token").isin(*words)).groupBy(ident).agg(F.countDistinct("token").alias("n"), F.sum("tf").alias("tf")).where(F.col("n") == len(words)).drop("n")
 
 
-def normalised(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+#: Vectors of a block.
+BLOCK = 4096
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _blocks(rows: DataFrame, ident: str, vec: str, name: str) -> DataFrame:
+    """(name_ids, name_rows): vectors dealt to blocks of about BLOCK."""
+    n = max(1, -(-rows.count() // BLOCK))
+    part = F.pmod(F.xxhash64(ident), F.lit(n))
+    return rows.where(F.col(vec).isNotNull()).groupBy(part.alias("_part")).agg(F.collect_list(F.struct(F.col(ident).cast("long").alias("i"), F.col(vec).cast("array<double>").alias("v"))).alias("r")).select(F.transform("r", lambda x: x["i"]).alias(f"{name}_ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias(f"{name}_rows"))
 
 
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float, ident: str, vec: str) -> DataFrame:
     """Per query the k most similar vectors by cosine, from ``least`` up. queries: (query_id, q), a stated set.
 
-    The queries are broadcast while their number keeps them under 64 MB; beyond it both sides meet in blocks.
+    Blocks of queries meet blocks of vectors, so what meets is matrices of a bounded size, however many queries there are. A
+    meeting is one matrix product and gives the k best of each query; a query's best come from those.
     """
-    side = queries.withColumn("_q", normalised(F.col("q"))).drop("q")
-    side = F.broadcast(side) if side.count() * 16_384 <= 64 << 20 else side
-    rows = vectors.withColumn("_v", normalised(F.col(vec))).crossJoin(side)
-    rows = rows.withColumn("similarity", F.round(dot(F.col("_v"), F.col("_q")), 6)).where(F.col("similarity") >= least)
+    met = _blocks(vectors, ident, vec, "v").crossJoin(_blocks(queries, "query_id", "q", "q"))
+
+    def unit(rows: pa.Array, n: int) -> np.ndarray:
+        m = rows.to_numpy(zero_copy_only=False).reshape(n, -1)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                vid, qid = (b.column(f"{c}_ids")[row].values.to_numpy() for c in "vq")
+                v, q = (unit(b.column(f"{c}_rows")[row].values, len(i)) for c, i in (("v", vid), ("q", qid)))
+                by_id = np.argsort(vid, kind="stable")
+                for left in range(0, len(qid), 512):
+                    s = np.round(q[left : left + 512] @ v[by_id].T, 6)
+                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties go to the lower id
+                    best = np.take_along_axis(s, order, axis=1)
+                    i, j = np.nonzero(best >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[left + i]), pa.array(vid[by_id][order[i, j]]), pa.array(best[i, j])], names=["query_id", ident, "similarity"])
+
+    rows = met.mapInArrow(run, f"query_id long, {ident} long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), ident)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", ident, "similarity", "rank")
 
 
 def class_catalogue(records: DataFrame, classes: DataFrame, key: str, cls: str, good: Column, fallback: Column, order: Sequence, top: int) -> DataFrame:
-    """Per class the top records that meet ``good``; a class without any takes those that meet ``fallback``."""
-    rows = classes.join(records, key)
-    first = rows.where(good)
-    rest = rows.where(fallback).join(first.select(cls).distinct(), cls, "left_anti")
-    both = first.withColumn("how", F.lit("main")).unionByName(rest.withColumn("how", F.lit("fallback")))
+    """Per class the top records that meet ``good``; a class without any takes those that meet ``fallback``.
+
+    Classes of a key share its records, so the top ones are taken per key first and only those meet the classes.
+    """
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= top).drop("_r")
+
+    main, rest = best(records.where(good)), best(records.where(fallback))
+    rest = rest.join(main.select(key).distinct(), key, "left_anti")
+    both = classes.join(main.withColumn("how", F.lit("main")).unionByName(rest.withColumn("how", F.lit("fallback"))), key)
     return both.withColumn("rank", F.row_number().over(Window.partitionBy(cls).orderBy(*order))).where(F.col("rank") <= top)
 
 
+def cwe_classes(spark, table: dict[str, list[str]] | None = None) -> DataFrame:
+    """(cls, cwe): the exploit classes and the CWE ids that make a record one of theirs."""
+    return spark.createDataFrame([(c, w) for c, ws in (table or fixed.CLASS_CWES).items() for w in ws], "cls string, cwe string")
+
+
 def keyword_list(words: Column, n: int = 8) -> Column:
     return F.slice(F.array_distinct(words), 1, n)
 

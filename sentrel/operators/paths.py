@@ -41,6 +41,15 @@ def keep_first(rows: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def file_limited_counts(sources: DataFrame, sinks: DataFrame, local: Sequence[str], source: str, key: str = "file") -> DataFrame:
+    """Sinks with n_sources and first_source of file_limited_pairs(), without making the pairs."""
+    near = F.col("category").isin(*local)
+    sums = [F.count("*").alias("n_sources"), F.min(source).alias("first_source")]
+    own = sinks.where(near).join(sources.groupBy(key).agg(*sums), key)
+    every = sinks.where(~near).crossJoin(F.broadcast(sources.agg(*sums))).where("n_sources > 0")  # one row
+    return own.unionByName(every.select(*own.columns))
+
+
 def exploitable(blocked: Column, category: Column, sink_on_path: Column, steps: Column) -> Column:
     """Whether a path counts: blocked ones don't, timing and configuration ones do, the rest if the sink is on it."""
     return F.when(blocked, False).when(category.isin("race_condition", "security_misconfig", "toctou"), True).when((steps > 0) & ~sink_on_path, False).otherwise(True)
@@ -56,20 +65,3 @@ def fold_steps(steps: DataFrame, key: str, order: str, names: str) -> DataFrame:
         return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(F.struct(s["o"].cast("bigint").alias("o"), seen.alias("seen")))).alias("out"))
 
     return steps.groupBy(key).agg(ordered.alias("s")).select(key, F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.seen").alias("seen"))
-
-
-def intra_taint(functions: DataFrame) -> DataFrame:
-    """Taint within a function as one ordered fold: (key, tainted, reaches).
-
-    functions: (key, params, statements array<struct<line, target, expr, call>>). A target is tainted if its expression
-    names a tainted variable as a word; a call whose expression does is a reach.
-    """
-    zero = F.struct(F.col("params").alias("tainted"), F.array().cast("array<struct<line:int,call:string>>").alias("reaches"))
-
-    def step(acc: Column, s: Column) -> Column:
-        hot = F.exists(acc["tainted"], lambda v: F.array_contains(F.split(s["expr"], r"\W+"), v))
-        tainted = F.when(hot & s["target"].isNotNull(), F.array_union(acc["tainted"], F.array(s["target"]))).otherwise(acc["tainted"])
-        reach = F.when(hot & s["call"].isNotNull(), F.array(F.struct(s["line"].alias("line"), s["call"].alias("call")))).otherwise(F.array().cast("array<struct<line:int,call:string>>"))
-        return F.struct(tainted.alias("tainted"), F.concat(acc["reaches"], reach).alias("reaches"))
-
-    return functions.select("key", F.aggregate("statements", zero, step).alias("r")).select("key", "r.tainted", "r.reaches")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentrel.functions import fixed
 from sentrel.functions.expressions import lookup, severity_rank, weight_of
 from sentrel.operators.paths import keep_first
+from sentrel.session import cut_lineage
 
 
 def best_per_sink(rows: DataFrame, sink: Sequence[str], order: Sequence) -> DataFrame:
@@ -23,37 +24,48 @@ def adaptive_cap(n: Column, limit: int = 2000) -> Column:
     return F.when(n < 5000, F.lit(0)).when(n >= 50000, F.greatest(F.lit(limit), F.least(F.lit(5000), share))).when(n >= 30000, F.greatest(F.lit(limit), F.least(F.lit(4000), share))).otherwise(F.lit(limit))
 
 
+def numbered(rows: DataFrame, order: Sequence, name: str = "n") -> DataFrame:
+    """Rows with their number from 1 in an order, counted per sorted partition, so that no task numbers them all."""
+    at = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)})
+    at = cut_lineage(at, "sorted")
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    before = at.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_before"))
+    return at.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def tiered_budget(rows: DataFrame, ceiling: int, sink: Sequence[str], weights: Mapping[str, int] = fixed.WEIGHTS, ident: str = "id") -> DataFrame:
     """Rows (id, severity, category, direct, blocked, steps, sink keys) that fit a budget, with their tier.
 
     Tiers: 0 direct rows, 1 CRITICAL, 2 HIGH, 3 one row of each category that those leave out, 4 MEDIUM, 5 LOW.
     Direct and CRITICAL rows always stay, HIGH ones give way to the ceiling, MEDIUM and LOW fill what is left.
     Below the direct rows a sink counts once, by its best row. A ceiling of 0 keeps all.
+
+    The ranked rows are written once, as every tier reads them. What the ceiling cuts is a top-k of that size, so no task
+    sorts a whole tier; the ceiling is a bounded parameter.
     """
     rank, weight = severity_rank(F.col("severity")), weight_of(F.col("category"), weights)
+    kept, names = rows.columns, ["_rank", "_weight"]
     rows = rows.withColumns({"_rank": F.least(rank, F.lit(3)), "_weight": weight})
-    direct = rows.where("direct").withColumn("tier", F.lit(0))
-    best = keep_first(rows.where("NOT direct"), sink, [F.desc("_weight"), "blocked", "steps", ident])
     order = [F.desc("_weight"), F.col("blocked"), F.col("steps"), F.col(ident)]
-    place = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    ranked = place(best, "_rank")
-    top = ranked.where("_rank <= 1").withColumn("tier", F.col("_rank") + 1)
-    # tier sizes: one row of counts for the whole plan
-    size = direct.agg(F.count("*").alias("n_direct")).crossJoin(top.agg(F.count(F.when(F.col("tier") == 1, 1)).alias("n_critical")))
-    free = F.greatest(F.lit(ceiling) - F.col("n_direct") - F.col("n_critical"), F.lit(0))
-    kept = top.crossJoin(F.broadcast(size)).where((F.col("tier") == 1) | F.lit(ceiling == 0) | (F.col("_n") <= free)).drop("n_direct", "n_critical")
-    covered = direct.select("category").unionByName(kept.select("category")).distinct()
+    best = keep_first(rows.where("NOT direct"), sink, order)
+    ranked = cut_lineage(rows.where("direct").withColumn("_rank", F.lit(-1)).unionByName(best), "ranked")
+    tier = lambda k: ranked.where(F.col("_rank") == k)
+    top = ranked.where("_rank <= 0").withColumn("tier", F.col("_rank") + 1)
+    sizes = {r["_rank"]: r["n"] for r in ranked.where("_rank <= 0").groupBy("_rank").agg(F.count("*").alias("n")).collect()}  # two rows
+    high = tier(1)
+    if ceiling:
+        high = high.orderBy(*order).limit(max(ceiling - sum(sizes.values()), 0))
+    top = top.unionByName(high.withColumn("tier", F.lit(2)))
+    # the best row of each category that is left out: one per category and task goes to the shuffle
     rest = ranked.where("_rank >= 2")
-    first = rest.join(covered, "category", "left_anti").withColumn("_c", F.row_number().over(Window.partitionBy("category").orderBy("_rank", *order))).where("_c = 1")
-    extra = first.drop("_c").withColumn("tier", F.lit(3))
-    chosen = direct.withColumn("_n", F.lit(0)).unionByName(kept).unionByName(extra)
-    fill = rest.join(extra.select(ident), ident, "left_anti")
-    if ceiling:  # a top-k first, so that only ``ceiling`` rows are numbered in one task
-        fill = fill.orderBy("_rank", *order).limit(ceiling).withColumn("_f", F.row_number().over(Window.orderBy("_rank", *order)))
-        left = F.greatest(F.lit(ceiling) - F.col("n_chosen"), F.lit(0))
-        fill = fill.crossJoin(F.broadcast(chosen.agg(F.count("*").alias("n_chosen")))).where(F.col("_f") <= left).drop("n_chosen", "_f")
-    fill = fill.withColumn("tier", F.col("_rank") + 2)
-    return chosen.unionByName(fill).drop("_rank", "_weight", "_n")
+    missing = rest.join(F.broadcast(top.select("category").distinct()), "category", "left_anti")
+    lead = F.struct("_rank", -F.col("_weight"), "blocked", "steps", ident)
+    extra = missing.groupBy("category").agg(F.min_by(F.struct(*(F.col(c) for c in [*kept, *names])), lead).alias("r")).select("r.*").withColumn("tier", F.lit(3))
+    chosen = cut_lineage(top.unionByName(extra.select(*top.columns)), "chosen")
+    fill = rest.join(chosen.where("tier = 3").select(ident), ident, "left_anti")
+    if ceiling:
+        fill = fill.orderBy("_rank", *order).limit(max(ceiling - chosen.count(), 0))
+    return chosen.unionByName(fill.withColumn("tier", F.col("_rank") + 2).select(*chosen.columns)).select(*kept, "tier")
 
 
 def score(severity: Column, category: Column, steps: Column, sanitized: Column) -> Column:
@@ -64,8 +76,9 @@ def score(severity: Column, category: Column, steps: Column, sanitized: Column)
 
 def strategic_sample(rows: DataFrame, every: int, first_low: int, ident: str = "id") -> DataFrame:
     """All CRITICAL and HIGH rows, every k-th MEDIUM one and the first LOW ones, by id."""
-    n = F.row_number().over(Window.partitionBy("severity").orderBy(ident))
-    return rows.withColumn("_n", n).where(F.col("severity").isin("CRITICAL", "HIGH") | ((F.col("severity") == "MEDIUM") & ((F.col("_n") - 1) % every == 0)) | ((F.col("severity") == "LOW") & (F.col("_n") <= first_low))).drop("_n")
+    of = lambda *names: rows.where(F.col("severity").isin(*names))
+    medium = numbered(of("MEDIUM"), [ident], "_n").where((F.col("_n") - 1) % every == 0).drop("_n")
+    return of("CRITICAL", "HIGH").unionByName(medium.select(*rows.columns)).unionByName(of("LOW").orderBy(ident).limit(first_low))
 
 
 def coverage_plan(parts: Sequence[tuple[DataFrame, int | None]], key: str, order: str) -> DataFrame:

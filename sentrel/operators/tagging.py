@@ -16,13 +16,29 @@ def lines(texts: DataFrame, key: str, text: str = "text", keep: Sequence[str] =
     return texts.select(key, *keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "content")).withColumn("line", F.col("line") + 1)
 
 
+def any_match(line: Column, rules: Sequence[Rule], language: Column | None = None) -> Column:
+    """Whether some rule of the row's language matches."""
+    def joined(some: Sequence[Rule]) -> Column:
+        return line.rlike("|".join(f"(?:{r.pattern})" for r in some)) if some else F.lit(False)
+
+    if language is None:
+        return joined(rules)
+    every = [r for r in rules if r.language == "*"]
+    out = None
+    for name in sorted({r.language for r in rules} - {"*"}):
+        hit = joined([*every, *(r for r in rules if r.language == name)])
+        out = F.when(language == name, hit) if out is None else out.when(language == name, hit)
+    return joined(every) if out is None else out.otherwise(joined(every))
+
+
 def tag(rows: DataFrame, rules: Sequence[Rule], language: Column | None = None, content: str = "content") -> DataFrame:
     """A row per match: the rows' columns with ord, category, cwe, protects and value.
 
-    Each rule is one literal pattern in the projection, so a pattern is compiled once; rules of a language are
-    only tried on its rows.
+    A row first meets all patterns of its language joined into one, and only rows that match it are taken apart rule by
+    rule. Each rule is one literal pattern, so a pattern is compiled once.
     """
     line = F.col(content)
+    rows = rows.where(any_match(line, rules, language))
 
     def matches(k: int, r: Rule) -> Column:
         found = F.transform(
@@ -35,13 +51,24 @@ def tag(rows: DataFrame, rules: Sequence[Rule], language: Column | None = None,
 
 
 def tag_whole(texts: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
-    """As tag() for rules that span lines: over whole texts, with the line that each match starts on."""
-    out = None
+    """As tag() for rules that span lines: over whole texts, with the line that each match starts on.
+
+    A text is cut at its matches, so a match's line follows from the pieces before it and equal matches keep their own.
+    """
+    out, mark = None, "\ufdd0"  # a noncharacter
     for k, r in enumerate(rules):
         body = F.col(text)
-        hits = texts.select("*", F.explode(F.regexp_extract_all(body, F.lit(r.pattern), 0)).alias("value"))
-        at = F.expr(f"instr(`{text}`, value)")
-        hits = hits.withColumn("line", F.length(F.substring(body, F.lit(1), at)) - F.length(F.replace(F.substring(body, F.lit(1), at), F.lit("\n"), F.lit(""))) + 1)
+        rest = F.split(F.regexp_replace(body, r.pattern, mark), mark, -1)
+        found = F.regexp_extract_all(body, F.lit(r.pattern), 0)
+        breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+        pairs = F.arrays_zip(F.slice(rest, 1, F.size(found)).alias("before"), found.alias("value"))
+        zero = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,value:string>>").alias("hits"))
+
+        def step(acc: Column, x: Column) -> Column:
+            line = acc["line"] + breaks(x["before"])
+            return F.struct((line + breaks(x["value"])).alias("line"), F.concat(acc["hits"], F.array(F.struct(line.alias("line"), x["value"].alias("value")))).alias("hits"))
+
+        hits = texts.where(body.rlike(r.pattern)).select("*", F.explode(F.aggregate(pairs, zero, step, lambda a: a["hits"])).alias("hit")).select(*texts.columns, "hit.line", "hit.value")
         hits = hits.withColumns({"ord": F.lit(k), "category": F.lit(r.category), "cwe": F.lit(r.cwe)})
         out = hits if out is None else out.unionByName(hits)
     return out
@@ -77,12 +104,16 @@ def snippet(texts: DataFrame, at: str, before: int = 10, after: int = 5, text: s
     return texts.withColumn("snippet", F.array_join(F.slice(body, start, F.col(at) + after - start + 1), "\n"))
 
 
-def context(rows: DataFrame, key: str, before: int, after: int, content: str = "content") -> DataFrame:
-    """``context``: the lines before and after joined, as a window frame."""
-    from pyspark.sql import Window
+def context(texts: DataFrame, at: Column, before: int, after: int, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(*keep, line, content, context): the lines of a text where ``at`` holds of ``line``, with those around joined.
 
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(-before, after)
-    return rows.withColumn("context", F.array_join(F.collect_list(content).over(w), "\n"))
+    The lines stay an array in the scan's stage; only the wanted ones become rows.
+    """
+    body = texts.select(*keep, F.split(F.col(text), "\n", -1).alias("_all"))
+    rows = body.select(*keep, "_all", F.posexplode("_all").alias("line", "content")).where(at).withColumn("line", F.col("line") + 1)
+    start = F.greatest(F.col("line") - before, F.lit(1))
+    around = F.slice("_all", start, F.col("line") + after - start + 1)
+    return rows.select(*keep, "line", "content", F.array_join(around, "\n").alias("context"))
 
 
 def strip_comments(source: Column, language: str) -> Column:

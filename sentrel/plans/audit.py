@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrel.functions import fixed
 from sentrel.functions import rules as R
-from sentrel.functions.expressions import blockers_of
-from sentrel.operators import evaluate, graph, memory, paths, prioritize, tagging
+from sentrel.functions.expressions import blockers_of, severity_rank
+from sentrel.operators import chains, evaluate, graph, memory, paths, prioritize, tagging, taint
 from sentrel.session import cut_lineage
 from sentrel.sources import extract, feeds, files
 
@@ -22,6 +23,7 @@ class Audit:
     """The relations of an audit; all lazy but the parsed functions and the paths."""
 
     functions: DataFrame
+    calls: DataFrame
     edges: DataFrame
     sources: DataFrame
     sinks: DataFrame
@@ -41,25 +43,51 @@ class Audit:
             out = n if out is None else out.crossJoin(n)
         return out
 
+    def taint(self, rounds: int = 10) -> DataFrame:
+        """(key, tainted, reaches, returns): taint from the variables that sources are assigned to, over all calls."""
+        put = self.functions.select("file", "key", F.explode("statements").alias("s")).where("s.target IS NOT NULL").select("file", "key", F.col("s.line").alias("line"), F.col("s.target").alias("var"))
+        seeds = put.join(self.sources.select("file", "line").distinct(), ["file", "line"]).select("key", "var")
+        return taint.between(self.functions, self.calls, seeds, rounds)
+
+    def chains(self, verdicts: DataFrame, top: int = 50) -> DataFrame:
+        """Chains over the paths that verdicts (path_id, confidence) confirm."""
+        rank = 4 - severity_rank(F.col("severity"))
+        found = self.paths.join(verdicts, "path_id").select(F.col("path_id").alias("id"), chains.role_of(F.col("category")).alias("role"), F.greatest(rank, F.lit(1)).cast("int").alias("severity"), "confidence").where("role IS NOT NULL")
+        return chains.chains(found, chains.role_paths(self.paths.sparkSession, sorted(set(fixed.ROLES.values()))), top)
+
+    def write(self, path: str) -> None:
+        """Every relation as Parquet in a folder of its own."""
+        for f in fields(self):
+            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+
     def report(self) -> str:
-        return feeds.markdown("Audit", {"Summary": self.summary(), "Paths": self.selected, "Memory": evaluate.breakdown(self.memory, "severity"), "Dependencies": self.dependencies})
+        """Sections in order: counts, paths by severity, memory findings by severity and confidence, dependencies."""
+        worst = self.selected.orderBy(severity_rank(F.col("severity")), "tier", "source_file", "source_line", "sink")
+        severe = evaluate.report_order(self.memory, "file")
+        return feeds.markdown("Audit", {"Summary": self.summary(), "Paths": worst, "Memory": evaluate.breakdown(self.memory, "severity").orderBy(severity_rank(F.col("severity"))), "Memory findings": severe, "Dependencies": self.dependencies.orderBy("ecosystem", "name")})
 
 
-def audit_files(tree: DataFrame, ceiling: int = 0, sinks=R.SINKS, sources=R.SOURCES, sanitizers=R.SANITIZERS) -> Audit:
-    """Audit files (path, language, content)."""
+def audit_files(tree: DataFrame, ceiling: int = 0, sinks=R.SINKS, sources=R.SOURCES, sanitizers=R.SANITIZERS, resolve: str = "name") -> Audit:
+    """Audit files (path, language, content); calls are resolved by ``name`` or by receiver and ``import``."""
     lines = files.lines_of(tree)
     lang = F.col("language")
     fns = cut_lineage(extract.functions(tree), "functions")
-    edges = graph.call_edges(extract.call_sites(fns).select("src", "name"), fns.select(F.col("key").alias("dst"), "name"))
+    calls = cut_lineage(extract.call_sites(fns), "calls")
     src = tagging.tag(lines, sources, lang).select("file", "line", F.col("category").alias("source_type"), F.col("value").alias("variable"))
     snk = tagging.dedup_sinks(tagging.tag(lines, sinks, lang), "file")
     san = tagging.tag(lines, sanitizers, lang).select("file", "line", "category", "protects")
     entry = tagging.tag(lines, R.ENTRY_POINTS, lang).select("file", "line", F.col("category").alias("type"), F.col("value").alias("method"))
     imports = tagging.tag(lines, R.IMPORTS, lang).select("file", "line", F.col("value").alias("module"))
+    named = fns.select(F.col("key").alias("dst"), "file", "name", "class_name")
+    if resolve == "import":
+        edges = graph.resolved_edges(calls, named, graph.import_targets(imports, tree.select("path")))
+    else:
+        edges = graph.call_edges(calls.select("src", "name"), named)
+    edges = cut_lineage(edges, "call-edges")
     found = cut_lineage(_paths(fns, edges, src, snk, san), "audit-paths")
     ranked = found.select("path_id", F.col("path_id").alias("id"), "severity", "category", (F.size("functions") > 0).alias("direct"), "blocked", F.size("functions").alias("steps"), F.concat_ws(":", "sink_file", "sink_line").alias("sink"), "source_file", "source_line", "source_type")
     chosen = prioritize.tiered_budget(ranked, ceiling, ["sink", "category"]).select("path_id", "tier", "severity", "category", "sink", "source_type", "source_file", "source_line", "blocked")
-    return Audit(fns, edges, src, snk, san, entry, imports, feeds.dependencies(tree), memory.all_findings(lines.where(lang.isin("c", "cpp", "rust"))), found, chosen)
+    return Audit(fns, calls, edges, src, snk, san, entry, imports, feeds.dependencies(tree), memory.all_findings(lines.where(lang.isin("c", "cpp", "rust"))), found, chosen)
 
 
 def _paths(fns: DataFrame, edges: DataFrame, src: DataFrame, snk: DataFrame, san: DataFrame) -> DataFrame:
@@ -110,37 +138,5 @@ def _example(spark: SparkSession) -> Audit:
     return audit_files(_tree(spark))
 
 
-def audit_paths(spark, d):
-    return _example(spark).paths.drop("path_id")
-
-
-def audit_summary(spark, d):
-    return _example(spark).summary()
-
-
-def audit_selected(spark, d):
-    return _example(spark).selected
-
-
 def _tree(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EXAMPLE, "path string, language string, content string")
-
-
-def memory_findings(spark, d):
-    return memory.all_findings(files.lines_of(_tree(spark)).where("language IN ('c', 'cpp', 'rust')"))
-
-
-def dependency_list(spark, d):
-    return feeds.dependencies(_tree(spark))
-
-
-def function_list(spark, d):
-    return extract.functions(_tree(spark)).select("key", "name", "class_name", "line", "end_line", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"))
-
-
-def taint_reaches(spark, d):
-    return paths.intra_taint(extract.functions(_tree(spark))).select("key", F.array_join("tainted", ",").alias("tainted"), F.size("reaches").alias("n_reaches"))
-
-
-QUERIES = {f.__name__: f for f in (audit_paths, audit_summary, audit_selected, memory_findings, dependency_list, function_list, taint_reaches)}
-ORACLES: dict[str, str] = {}

@@ -30,8 +30,8 @@ def vote(spark, d):
 
 def inventory(spark, d):
     docs = table(spark, d, "documents")
-    head = F.substring("text", 1, 8192)
-    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.sum(F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).alias("line_breaks"), F.max_by("source", F.struct("n_chars", "doc_id")).alias("largest_source"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.sum(breaks).alias("line_breaks"), F.max_by("source", F.struct("n_chars", "doc_id")).alias("largest_source"))
 
 
 def source_sets(spark, d):
@@ -39,10 +39,9 @@ def source_sets(spark, d):
 
 
 def tree_hash(spark, d):
-    """A hash per source over the sorted lines id:hash of its documents, taken in a second level of 64 groups."""
-    rows = table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    part = rows.groupBy("source", (F.col("doc_id") % 64).alias("p")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["h"])), "\n"), 256).alias("h"))
-    return part.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n"), 256).alias("tree"))
+    """SHA-256 per source over the sorted lines id:hash of its documents."""
+    rows = table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("path"), F.sha2("text", 256).alias("hash"))
+    return V.tree_hash(rows, "source", "path", "hash").select("source", "tree")
 
 
 def path_summary(spark, d):
@@ -93,9 +92,9 @@ ORACLES = {
     "vote": """WITH f AS (SELECT user_id, arg_min(event_type, event_id) AS first_value FROM events GROUP BY 1), c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
       b AS (SELECT user_id, sum(n) AS runs, arg_max(event_type, row(n, event_type)) AS majority, max(n) AS top FROM c GROUP BY 1)
       SELECT user_id, first_value, round(n / runs, 4) AS agreement, n / runs >= 0.2 AS stable, majority, top / runs >= 2.0 / 3 AS by_two_thirds FROM b JOIN f USING (user_id) JOIN c ON c.user_id = b.user_id AND c.event_type = first_value""",
-    "inventory": "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, sum(length(substr(text, 1, 8192)) - length(replace(substr(text, 1, 8192), chr(10), '')))::BIGINT AS line_breaks, arg_max(source, row(n_chars, doc_id)) AS largest_source FROM documents GROUP BY 1",
+    "inventory": "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS line_breaks, arg_max(source, row(n_chars, doc_id)) AS largest_source FROM documents GROUP BY 1",
     "source_sets": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, count(DISTINCT lang) AS n_langs FROM documents GROUP BY 1",
-    "tree_hash": "WITH p AS (SELECT source, doc_id % 64 AS p, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(h, chr(10) ORDER BY p)) AS tree FROM p GROUP BY 1",
+    "tree_hash": "SELECT source, sha256(string_agg(lpad(doc_id::VARCHAR, 20, '0') || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS tree FROM documents GROUP BY 1",
     "path_summary": "SELECT count(*) AS paths, count(*) FILTER (l_returnflag = 'R') AS blocked, count(*) FILTER (l_returnflag <> 'R' AND l_quantity > 10) AS exploitable, count(DISTINCT (l_orderkey, l_linenumber)) AS sources, count(DISTINCT (l_partkey, l_suppkey)) AS sinks FROM lineitem",
     "verdict_summary": "SELECT l_linestatus AS analysis_source, count(*) FILTER (l_returnflag = 'A') AS \"VERIFIED_EXPLOITABLE\", count(*) FILTER (l_returnflag = 'R') AS \"BLOCKED\", count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS \"UNCERTAIN\" FROM lineitem GROUP BY 1",
     "severity_breakdown": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1",

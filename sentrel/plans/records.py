@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.expressions import lookup
+from sentrel.operators import evaluate as V
 from sentrel.operators import knowledge as K
+from sentrel.operators import memory as M
 from sentrel.operators import paths as P
 from sentrel.operators import prioritize as Z
 from sentrel.session import table
@@ -35,7 +37,7 @@ def file_limited_pairs(spark, d):
     nation = table(spark, d, "nation")
     sinks = nation.select("n_nationkey", F.col("n_regionkey").alias("file"), F.concat(F.lit("C"), (F.col("n_nationkey") % 4).cast("string")).alias("category"))
     sources = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("file"))
-    return P.file_limited_pairs(sources, sinks, ["C1", "C2"]).groupBy("n_nationkey", "category").agg(F.count("*").alias("n_sources"), F.min("s_suppkey").alias("first_source"))
+    return P.file_limited_counts(sources, sinks, ["C1", "C2"], "s_suppkey").select("n_nationkey", "category", "n_sources", "first_source")
 
 
 def enrich_left(spark, d):
@@ -185,7 +187,66 @@ def top_records(spark, d):
     return K.top_list(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), F.col("p_size") >= 40, [F.desc("p_size"), F.desc("p_retailprice"), "p_partkey"], 25)
 
 
-QUERIES = {f.__name__: f for f in (compat_pairs, file_limited_pairs, enrich_left, knowledge_stats, rank_records, upsert_last, like_lookup_top, keyword_search, keyword_fallback, index_search, semantic_topk, class_catalog, coverage_anti, resume_anti, dep_rank, best_per_sink, tiered_budget, score_prioritise, strategic_sample, coverage_plan, keep_first, adaptive_config, estimate, exploitable_paths, path_context, top_records)}
+def _records(spark, d) -> DataFrame:
+    """Parts as vulnerability records."""
+    p = table(spark, d, "part")
+    cwe = lambda k: F.concat(F.lit("CWE-"), (F.col("p_partkey") % k).cast("string"))
+    return p.select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 10, F.col("p_size") / 50).alias("epss"), (F.col("p_brand") == "Brand#1").cast("int").alias("known_flag"), (F.col("p_size") / 5).alias("cvss"),
+        F.col("p_name").alias("description"), F.col("p_type").alias("cpes"), F.col("p_brand").alias("package"), F.array(cwe(140), cwe(95)).alias("cwe_ids"), F.when(F.col("p_size") % 2 == 0, "pypi").otherwise("npm").alias("ecosystem"),
+        F.concat_ws(" ", F.lit("before"), F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")).alias("affected"))
+
+
+def search_filters(spark, d):
+    """Records that pass every filter, ranked again."""
+    score = F.round(K.rank_score(F.col("known_flag"), F.col("epss"), F.col("cvss"), F.lit(0)), 4)
+    found = K.filtered(_records(spark, d), score, 100, min_epss=0.3, tech=["SMALL", "large", "brand#2"], cwes=[f"CWE-{k}" for k in range(40, 90)], ecosystem="pypi")
+    return found.select("id", "score", "ecosystem")
+
+
+def known_filter(spark, d):
+    return K.filtered(_records(spark, d), F.col("cvss"), 50, known_only=True).select("id", "score")
+
+
+def version_lookup(spark, d):
+    """Dependencies that state a version keep the records that mention it, the others all of their package."""
+    deps = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dep"), F.concat(F.lit("Brand#"), F.col("s_nationkey")).alias("name"), F.when(F.col("s_suppkey") % 3 > 0, (F.col("s_suppkey") % 60).cast("string")).alias("version"), F.when(F.col("s_suppkey") % 2 == 0, "pypi").otherwise("npm").alias("ecosystem"))
+    hits = K.like_lookup(deps, _records(spark, d), "ecosystem", "name", "package", [F.desc("cvss"), "id"], 5, "dep", version=("affected", "version"))
+    return hits.select("dep", "id", "rank")
+
+
+def cwe_catalogue(spark, d):
+    """Per exploit class the five best records that carry one of its CWE ids."""
+    rows = _records(spark, d).select("id", "cvss", F.explode("cwe_ids").alias("cwe")).join(F.broadcast(K.cwe_classes(spark)), "cwe").select("cls", "id", "cvss").distinct()
+    w = Window.partitionBy("cls").orderBy(F.desc("cvss"), "id")
+    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("cls", "id", "rank")
+
+
+def keyword_words(spark, d):
+    """The first eight distinct words of a name."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(K.keyword_list(F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ")), " ").alias("words"))
+
+
+def serious_findings(spark, d):
+    """Findings that a report shows, in its order."""
+    f = _findings(spark, d).select("id", "severity", "category", (F.col("sink") % 100 / 100).alias("confidence"))
+    return V.report_order(V.serious(f), "id").limit(200).select("id", "severity", "confidence")
+
+
+def stated_confidence(spark, d):
+    raw = F.when(F.col("l_returnflag") == "A", "exploitable").when(F.col("l_returnflag") == "R", "")
+    li = table(spark, d, "lineitem").select("l_returnflag", V.confidence_of(raw, F.when(F.col("l_linestatus") == "F", F.col("l_discount"))).alias("confidence"))
+    return li.groupBy("l_returnflag").agg(F.round(F.sum("confidence"), 2).alias("confidence"), F.count("*").alias("n"))
+
+
+def confirmed_findings(spark, d):
+    """Severe findings need the verdict REAL or none; the others stay."""
+    f = _findings(spark, d).select("id", "severity")
+    verdicts = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "REAL").otherwise("FALSE").alias("verdict"))
+    return M.confirmed(f, verdicts, ["id"]).groupBy("severity").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (search_filters, known_filter, version_lookup, cwe_catalogue, keyword_words, serious_findings, stated_confidence, confirmed_findings, compat_pairs, file_limited_pairs, enrich_left, knowledge_stats, rank_records, upsert_last, like_lookup_top, keyword_search, keyword_fallback, index_search, semantic_topk, class_catalog, coverage_anti, resume_anti, dep_rank, best_per_sink, tiered_budget, score_prioritise, strategic_sample, coverage_plan, keep_first, adaptive_config, estimate, exploitable_paths, path_context, top_records)}
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _F = """f AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
@@ -193,7 +254,22 @@ _F = """f AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN
   o_totalprice > 495000 AS direct, o_orderstatus = 'F' AS blocked, (o_custkey % 7)::INT AS steps, o_custkey AS sink FROM orders JOIN customer ON c_custkey = o_custkey)"""
 _SCORE = "(p_brand = 'Brand#1')::INT * 1000 + coalesce(CASE WHEN p_size > 10 THEN p_size / 50 END, 0) * 500 + p_size / 5 * 5 + (p_type = 'SMALL')::INT * 100"
 
+_R = """rec AS (SELECT p_partkey AS id, CASE WHEN p_size > 10 THEN p_size / 50 END AS epss, (p_brand = 'Brand#1')::INT AS known, p_size / 5 AS cvss, lower(p_type || ' ' || p_name || ' ' || p_brand) AS txt, p_brand AS package,
+  ['CWE-' || p_partkey % 140, 'CWE-' || p_partkey % 95] AS cwes, CASE WHEN p_size % 2 = 0 THEN 'pypi' ELSE 'npm' END AS ecosystem, 'before ' || p_size || ' ' || (p_size + 1) AS affected FROM part)"""
+_CLASSES = ", ".join(f"('{c}', '{w}')" for c, ws in fixed.CLASS_CWES.items() for w in ws)
 ORACLES = {
+    "search_filters": f"""WITH {_R} SELECT id, round(known * 1000 + coalesce(epss, 0) * 500 + cvss * 5, 4) AS score, ecosystem FROM rec WHERE coalesce(epss, 0) >= 0.3 AND (contains(txt, 'small') OR contains(txt, 'large') OR contains(txt, 'brand#2'))
+      AND list_has_any(cwes, [{', '.join(f"'CWE-{k}'" for k in range(40, 90))}]) AND ecosystem = 'pypi' ORDER BY score DESC, id LIMIT 100""",
+    "known_filter": f"WITH {_R} SELECT id, cvss AS score FROM rec WHERE known = 1 ORDER BY cvss DESC, id LIMIT 50",
+    "version_lookup": f"""WITH {_R}, dep AS (SELECT s_suppkey AS dep, 'Brand#' || s_nationkey AS name, CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 60)::VARCHAR END AS version, CASE WHEN s_suppkey % 2 = 0 THEN 'pypi' ELSE 'npm' END AS ecosystem FROM supplier)
+      SELECT dep, id, row_number() OVER (PARTITION BY dep ORDER BY cvss DESC, id) AS rank FROM dep JOIN rec USING (ecosystem) WHERE contains(package, name) AND (version IS NULL OR contains(affected, version)) QUALIFY rank <= 5""",
+    "cwe_catalogue": f"""WITH {_R}, c(cls, cwe) AS (VALUES {_CLASSES}), x AS (SELECT DISTINCT cls, id, cvss FROM (SELECT id, cvss, unnest(cwes) AS cwe FROM rec) JOIN c USING (cwe))
+      SELECT cls, id, row_number() OVER (PARTITION BY cls ORDER BY cvss DESC, id) AS rank FROM x QUALIFY rank <= 5""",
+    "keyword_words": """WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_name, ' ') AS ws FROM part), u AS (SELECT p_partkey, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+      f AS (SELECT p_partkey, x, min(i) AS i FROM u GROUP BY ALL) SELECT p_partkey, array_to_string(list(x ORDER BY i)[:8], ' ') AS words FROM f GROUP BY 1""",
+    "serious_findings": f"WITH {_F} SELECT id, severity, sink % 100 / 100 AS confidence FROM f WHERE severity IN ('CRITICAL', 'HIGH') AND sink % 100 / 100 >= 0.6 ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 ELSE 1 END, confidence DESC, id LIMIT 200",
+    "stated_confidence": "SELECT l_returnflag, round(sum(CASE WHEN l_returnflag <> 'A' THEN 0.3::DOUBLE WHEN l_linestatus = 'F' THEN l_discount ELSE 0.5::DOUBLE END), 2) AS confidence, count(*) AS n FROM lineitem GROUP BY 1",
+    "confirmed_findings": f"WITH {_F} SELECT severity, count(*) AS n, max(id) AS last FROM f JOIN orders ON o_orderkey = id WHERE severity NOT IN ('CRITICAL', 'HIGH') OR o_orderstatus IN ('P', 'F') GROUP BY 1",
     "compat_pairs": """WITH s AS (SELECT s_suppkey, 'T' || s_nationkey % 5 AS source_type FROM supplier), k AS (SELECT n_nationkey, 'C' || n_regionkey AS category FROM nation),
       m(source_type, category) AS (VALUES ('T0','C0'),('T0','C1'),('T1','C2'),('T2','C3'),('T2','C4'),('T3','C0'),('T3','C4'))
       SELECT s_suppkey, n_nationkey, source_type, category FROM s, k WHERE (source_type, category) IN (SELECT (source_type, category) FROM m) OR source_type NOT IN (SELECT source_type FROM m)""",

@@ -16,16 +16,18 @@ SECRET = r'(?:token|secret|api_key) = "([0-9A-Za-z]{8,})"'
 PAGE_SINKS = [R.Rule("*", r"<script", "xss", "CWE-79"), R.Rule("*", r"href=\"http:", "ssrf", "CWE-918"), R.Rule("*", r"<a href", "csrf", "CWE-352")]
 
 
-def _lines(spark: SparkSession, d: str, keep=()) -> DataFrame:
-    return tagging.lines(table(spark, d, "documents"), "doc_id", keep=keep)
+def _lines(spark: SparkSession, d: str, rules) -> DataFrame:
+    """Lines of the documents that some rule matches; no rule here spans lines."""
+    docs = table(spark, d, "documents")
+    return tagging.lines(docs.where(tagging.any_match(F.col("text"), rules)), "doc_id")
 
 
 def _sinks(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.dedup_sinks(tagging.tag(_lines(spark, d), R.TEXT_SINKS), "doc_id")
+    return tagging.dedup_sinks(tagging.tag(_lines(spark, d, R.TEXT_SINKS), R.TEXT_SINKS), "doc_id")
 
 
 def tag_sources(spark, d):
-    return tagging.tag(_lines(spark, d), R.TEXT_SOURCES).select("doc_id", "line", "category", "value")
+    return tagging.tag(_lines(spark, d, R.TEXT_SOURCES), R.TEXT_SOURCES).select("doc_id", "line", "category", "value")
 
 
 def tag_sinks_dedup(spark, d):
@@ -45,24 +47,26 @@ def sanitizer_block(spark, d):
 
 
 def secret_entropy(spark, d):
-    return tagging.secrets(_lines(spark, d), SECRET, 3.0).select("doc_id", "line", "secret", "entropy")
+    return tagging.secrets(_lines(spark, d, [R.Rule("*", SECRET, "secret")]), SECRET, 3.0).select("doc_id", "line", "secret", "entropy")
 
 
 def _spans(spark, d, *widths: int) -> DataFrame:
-    n = F.size(F.split("text", "\n", -1))
+    """Blocks of some lines of the documents that have a sink."""
+    docs = table(spark, d, "documents").where(tagging.any_match(F.col("text"), R.TEXT_SINKS))
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     out = None
     for w in widths:
-        s = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), n, F.lit(w))).alias("start")).select("doc_id", "start", (F.col("start") + w - 1).alias("end"))
+        s = docs.select("doc_id", F.explode(F.sequence(F.lit(1), n, F.lit(w))).alias("start")).select("doc_id", "start", (F.col("start") + w - 1).alias("end"))
         out = s if out is None else out.unionByName(s)
     return out
 
 
 def enclosing_block(spark, d):
+    """The innermost block of every sink, and how many blocks it is in: one join and one aggregate."""
     hits = _sinks(spark, d).select("doc_id", "line", "category")
     joined = graph.enclosing(hits, _spans(spark, d, BLOCK, WIDE), "doc_id", "line", "start", "end")
-    inner = graph.innermost(joined, ["doc_id", "line", "category"], [F.col("end") - F.col("start"), F.desc("start")])
-    n = joined.groupBy("doc_id", "line", "category").agg(F.count("*").alias("n_spans"))
-    return inner.join(n, ["doc_id", "line", "category"]).select("doc_id", "line", "category", "start", "end", "n_spans")
+    inner = F.min_by(F.struct("start", "end"), F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("b")
+    return joined.groupBy("doc_id", "line", "category").agg(inner, F.count("*").alias("n_spans")).select("doc_id", "line", "category", "b.start", "b.end", "n_spans")
 
 
 def risk_report(spark, d):
@@ -80,13 +84,13 @@ def hot_files(spark, d):
 
 def context_window(spark, d):
     """Secret lines without a license word within five lines."""
-    rows = tagging.context(_lines(spark, d), "doc_id", 4, 5)
-    hit = rows.where(F.col("content").rlike(SECRET))
-    return hit.select("doc_id", "line", F.length("context").alias("n_context"), F.col("context").rlike("[Ll]icensed under").alias("guarded"))
+    docs = table(spark, d, "documents").where(F.col("text").rlike(SECRET))
+    rows = tagging.context(docs, F.col("content").rlike(SECRET), 4, 5, keep=["doc_id"])
+    return rows.select("doc_id", "line", F.length("context").alias("n_context"), F.col("context").rlike("[Ll]icensed under").alias("guarded"))
 
 
 def snippet(spark, d):
-    at = _lines(spark, d).where(F.col("content").rlike(SECRET)).groupBy("doc_id").agg(F.min("line").alias("at_line"))
+    at = _lines(spark, d, [R.Rule("*", SECRET, "secret")]).where(F.col("content").rlike(SECRET)).groupBy("doc_id").agg(F.min("line").alias("at_line"))
     docs = table(spark, d, "documents").select("doc_id", "text").join(at, "doc_id")
     return tagging.snippet(docs, "at_line", 2, 1).select("doc_id", "at_line", "snippet")
 

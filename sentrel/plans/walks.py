@@ -12,7 +12,8 @@ from sentrel.operators import memory as M
 from sentrel.operators import paths as P
 from sentrel.session import table
 
-DEPTH, LEVELS = 6, 4
+#: The operators' own bounds: nodes of a path, levels of a reach, levels of a closure.
+NODES, REACH, CLOSURE = 8, 50, 10
 ENTRY = "p_brand = 'Brand#7' AND p_size >= 40"
 
 
@@ -65,15 +66,15 @@ def _starts(spark, d) -> DataFrame:
 
 
 def shortest_paths(spark, d):
-    return G.shortest_paths(_graph(spark, d), _starts(spark, d), DEPTH).select("src", "node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.shortest_paths(_graph(spark, d), _starts(spark, d), NODES).select("src", "node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def reachable(spark, d):
-    return G.reachable(_graph(spark, d), _starts(spark, d), LEVELS)
+    return G.reachable(_graph(spark, d), _starts(spark, d), REACH)
 
 
 def closure(spark, d):
-    return G.closure(_graph(spark, d), _starts(spark, d), LEVELS).groupBy("src").agg(F.count("*").alias("n_callees"), F.max("node").alias("last"))
+    return G.closure(_graph(spark, d), _starts(spark, d), CLOSURE).groupBy("src").agg(F.count("*").alias("n_callees"), F.max("node").alias("last"))
 
 
 def entry_closure(spark, d):
@@ -81,11 +82,8 @@ def entry_closure(spark, d):
 
 
 def neighbours(spark, d):
-    """Callers and callees per node."""
-    g = _graph(spark, d).distinct()
-    out = g.groupBy(F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("callees"))
-    into = g.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_callers"))
-    return out.join(into, "node", "left").select("node", "callees", F.coalesce("n_callers", F.lit(0)).alias("n_callers"))
+    """Callers and callees per node: their number, the first and the last."""
+    return G.neighbours(_graph(spark, d))
 
 
 def taint_fixpoint(spark, d):
@@ -128,6 +126,25 @@ def chain_synthesis(spark, d):
 
 QUERIES = {f.__name__: f for f in (decorator_fallback, interval_bucketed, call_edges_by_name, scoped_call_edges, shortest_paths, reachable, closure, entry_closure, neighbours, taint_fixpoint, bind_arguments, path_fold, lifetime_pairs, chain_synthesis)}
 
+def _chain_sql() -> str:
+    """All pairs of ends over the roles' paths, the best 50."""
+    roles = sorted(set(fixed.ROLES.values()))
+    names = ", ".join(f"'{r}'" for r in roles)
+    legs = ", ".join(f"('{a}', '{b}', '{label}', [{', '.join(repr(r) for r in path[1:-1])}]::VARCHAR[])" for a, b, path, label in C.least_paths(roles))
+    return f"""WITH f AS (SELECT s_suppkey AS id, ([{names}])[s_nationkey % {len(roles)} + 1] AS role, s_suppkey % 4 + 1 AS sev, 0.5::DOUBLE + (s_suppkey % 50) / 100.0::DOUBLE AS conf FROM supplier),
+      l(src, dst, label, mids) AS (VALUES {legs}),
+      rep AS (SELECT role, arg_min(row(id, sev, conf), id) AS r FROM f GROUP BY 1),
+      m AS (SELECT src, dst, label, len(mids) + 2 AS size, (SELECT list(r ORDER BY role) FROM rep WHERE list_contains(mids, role)) AS reps, mids FROM l),
+      ok AS (SELECT * FROM m WHERE coalesce(len(reps), 0) = len(mids)),
+      p AS (SELECT label, size, list_sort(list_concat([a.id, b.id], coalesce(list_transform(reps, lambda x: x[1]), []))) AS ids,
+              list_max(list_concat([a.sev, b.sev], coalesce(list_transform(reps, lambda x: x[2]), []))) AS severity,
+              round(list_min(list_concat([a.conf, b.conf], coalesce(list_transform(reps, lambda x: x[3]), []))) * pow(0.8, size - 1), 2) AS confidence
+            FROM ok JOIN f a ON a.role = src JOIN f b ON b.role = dst WHERE a.id <> b.id),
+      u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY ids ORDER BY confidence DESC, label) = 1 ORDER BY confidence DESC, ids LIMIT 50)
+      SELECT label AS name, array_to_string(ids, ',') AS ids, size::INT AS size, severity::INT AS severity, confidence,
+        CASE severity WHEN 4 THEN 'Remote Code Execution' WHEN 3 THEN 'Privilege Escalation' ELSE 'Data Exposure' END AS impact FROM u"""
+
+
 _G = """n AS (SELECT count(*) AS n FROM part), g AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % n AS dst FROM part, n UNION SELECT p_partkey, (p_partkey + p_size) % n FROM part, n)"""
 _E = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events)"
 ORACLES = {
@@ -139,12 +156,13 @@ ORACLES = {
     "scoped_call_edges": """WITH t AS (SELECT p_type, arg_min(p_brand, p_partkey) AS target FROM part GROUP BY 1), i AS (SELECT DISTINCT p_brand AS file, target FROM part JOIN t USING (p_type) WHERE p_size < 5 UNION SELECT p_brand, p_brand FROM part)
       SELECT a.p_partkey AS src, count(DISTINCT b.p_partkey) AS n_callees FROM part a JOIN i ON i.file = a.p_brand JOIN part b ON b.p_brand = i.target AND b.p_name = a.p_name GROUP BY 1""",
     "shortest_paths": f"""WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS src, p_partkey AS node, 0 AS depth, [p_partkey] AS path FROM part WHERE {ENTRY}
-        UNION ALL SELECT w.src, g.dst, depth + 1, list_append(path, g.dst) FROM w JOIN g ON g.src = w.node WHERE depth < {DEPTH - 1})
+        UNION ALL SELECT w.src, g.dst, depth + 1, list_append(path, g.dst) FROM w JOIN g ON g.src = w.node WHERE depth < {NODES - 1})
       SELECT src, node, depth, array_to_string(path, '>') AS path FROM w QUALIFY row_number() OVER (PARTITION BY src, node ORDER BY depth, path) = 1""",
-    "reachable": f"WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE {ENTRY} UNION SELECT g.dst, depth + 1 FROM w JOIN g ON g.src = w.node WHERE depth < {LEVELS}) SELECT node, min(depth) AS depth FROM w GROUP BY 1",
-    "closure": f"WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS src, p_partkey AS node, 0 AS depth FROM part WHERE {ENTRY} UNION SELECT w.src, g.dst, depth + 1 FROM w JOIN g ON g.src = w.node WHERE depth < {LEVELS}) SELECT src, count(DISTINCT node) AS n_callees, max(node) AS last FROM w WHERE src <> node GROUP BY 1",
+    "reachable": f"WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE {ENTRY} UNION SELECT g.dst, depth + 1 FROM w JOIN g ON g.src = w.node WHERE depth < {REACH}) SELECT node, min(depth) AS depth FROM w GROUP BY 1",
+    "closure": f"WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS src, p_partkey AS node, 0 AS depth FROM part WHERE {ENTRY} UNION SELECT w.src, g.dst, depth + 1 FROM w JOIN g ON g.src = w.node WHERE depth < {CLOSURE}) SELECT src, count(DISTINCT node) AS n_callees, max(node) AS last FROM w WHERE src <> node GROUP BY 1",
     "entry_closure": f"WITH {_G} SELECT p_partkey AS node FROM part WHERE {ENTRY} UNION SELECT dst FROM g WHERE src IN (SELECT p_partkey FROM part WHERE {ENTRY})",
-    "neighbours": f"WITH {_G}, i AS (SELECT dst AS node, count(*) AS n_callers FROM g GROUP BY 1), o AS (SELECT src AS node, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS callees FROM g GROUP BY 1) SELECT node, callees, coalesce(n_callers, 0) AS n_callers FROM o LEFT JOIN i USING (node)",
+    "neighbours": f"WITH {_G}, i AS (SELECT dst AS node, count(*) AS n_callers FROM g GROUP BY 1), o AS (SELECT src AS node, count(*) AS n_callees, min(dst) AS first_callee, max(dst) AS last_callee FROM g GROUP BY 1) SELECT node, n_callees, first_callee, last_callee, coalesce(n_callers, 0) AS n_callers FROM o LEFT JOIN i USING (node)",
+    "chain_synthesis": _chain_sql(),
     "taint_fixpoint": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), g AS (SELECT p_partkey AS src, (p_partkey + p_size) % n AS dst FROM part, n),
       w AS (SELECT p_partkey AS node, p_partkey AS label, 0 AS k FROM part WHERE p_size >= 48 UNION SELECT g.dst, label, k + 1 FROM w JOIN g ON g.src = w.node WHERE k < 10) SELECT node, min(label) AS label FROM w GROUP BY 1""",
     "bind_arguments": "SELECT position, CASE position WHEN 0 THEN l_returnflag ELSE l_linestatus END AS argument, CASE position WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS param, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES (0), (1)) v(position) GROUP BY ALL",

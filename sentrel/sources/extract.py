@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FUNCTIONS = "file string, language string, key string, name string, class_name string, line int, end_line int, params array<string>, calls array<struct<line:int,name:string,receiver:string,arguments:array<string>>>, statements array<struct<line:int,target:string,expr:string,call:string>>"
+FUNCTIONS = "file string, language string, key string, name string, class_name string, line int, end_line int, params array<string>, calls array<struct<line:int,name:string,receiver:string,arguments:array<string>>>, statements array<struct<line:int,target:string,expr:string,call:string,returned:boolean>>"
 _HEADS = {
     "go": re.compile(r"^\s*func\s*(?:\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)"), "rust": re.compile(r"\bfn\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)"),
     "javascript": re.compile(r"\bfunction\s+(\w+)\s*\(([^)]*)\)|\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>"),
@@ -24,6 +24,7 @@ _HEADS["typescript"] = _HEADS["javascript"]
 _GENERIC = re.compile(r"^[\w\s<>,*&:\[\]@.]*?\b(\w+)\s*\(([^;{}()]*)\)\s*(?:const\s*|throws\s+[\w, ]+)?\{?\s*$")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "else", "do", "sizeof", "new", "synchronized", "using", "lock"}
 _CALL = re.compile(r"(?:(\w+)(?:\.|->|::))?\b(\w+)\s*\(([^()]*)\)?")
+_RETURN = re.compile(r"^\s*return\b\s*(.*?);?\s*$")
 _ASSIGN = re.compile(r"^\s*(?:[\w<>\[\]*&:]+\s+)*?[*&$]?(\w+)\s*(?::=|=)(?!=)\s*(.+)$")
 
 
@@ -83,7 +84,7 @@ def python_functions(source: str) -> list[dict]:
                     target = n.targets[0] if isinstance(n, ast.Assign) else getattr(n, "target", None)
                     inner = next((c for c in ast.walk(n.value) if isinstance(c, ast.Call)), None)
                     called = inner and (inner.func.attr if isinstance(inner.func, ast.Attribute) else getattr(inner.func, "id", None))
-                    statements.append({"line": n.lineno, "target": target.id if isinstance(target, ast.Name) else None, "expr": ast.unparse(n.value), "call": called or None})
+                    statements.append({"line": n.lineno, "target": target.id if isinstance(target, ast.Name) else None, "expr": ast.unparse(n.value), "call": called or None, "returned": isinstance(n, ast.Return)})
                 out.append({"name": child.name, "class_name": owner, "line": child.lineno, "end_line": child.end_lineno or child.lineno, "params": params, "calls": calls, "statements": statements})
                 visit(child, owner)
             else:
@@ -119,9 +120,10 @@ def brace_functions(source: str, language: str) -> list[dict]:
             for receiver, called, args in _CALL.findall(lines[j]):
                 if called not in _KEYWORDS:
                     calls.append({"line": j + 1, "name": called[:100], "receiver": receiver or None, "arguments": split_arguments(args)})
-            a, called = _ASSIGN.match(lines[j]), _CALL.search(lines[j])
-            if a or called:
-                statements.append({"line": j + 1, "target": a[1] if a else None, "expr": a[2] if a else lines[j].strip(), "call": called[2] if called and called[2] not in _KEYWORDS else None})
+            a, called, back = _ASSIGN.match(lines[j]), _CALL.search(lines[j]), _RETURN.match(lines[j])
+            if a or called or back:
+                expr = back[1] if back else a[2] if a else lines[j].strip()
+                statements.append({"line": j + 1, "target": a[1] if a and not back else None, "expr": expr, "call": called[2] if called and called[2] not in _KEYWORDS else None, "returned": bool(back)})
         out.append({"name": name, "class_name": owner, "line": k + 1, "end_line": end + 1, "params": parameter_names(params), "calls": calls, "statements": statements})
     return out
 
@@ -131,7 +133,7 @@ def functions(files: DataFrame) -> DataFrame:
     names = [x.strip().split(" ")[0] for x in ("file", "language", "key", "name", "class_name", "line", "end_line", "params", "calls", "statements")]
 
     call = pa.struct([("line", pa.int32()), ("name", pa.string()), ("receiver", pa.string()), ("arguments", pa.list_(pa.string()))])
-    statement = pa.struct([("line", pa.int32()), ("target", pa.string()), ("expr", pa.string()), ("call", pa.string())])
+    statement = pa.struct([("line", pa.int32()), ("target", pa.string()), ("expr", pa.string()), ("call", pa.string()), ("returned", pa.bool_())])
     schema = pa.schema([("file", pa.string()), ("language", pa.string()), ("key", pa.string()), ("name", pa.string()), ("class_name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("params", pa.list_(pa.string())), ("calls", pa.list_(call)), ("statements", pa.list_(statement))])
     assert names == schema.names
 
@@ -147,8 +149,16 @@ def functions(files: DataFrame) -> DataFrame:
 
 
 def call_sites(fns: DataFrame) -> DataFrame:
-    """(src, file, line, name, receiver, arguments)."""
-    return fns.select(F.col("key").alias("src"), "file", F.explode("calls").alias("c")).select("src", "file", "c.line", "c.name", "c.receiver", "c.arguments")
+    """(src, file, line, name, receiver, arguments), a name once a line and function: its first call there."""
+    rows = fns.select(F.col("key").alias("src"), "file", F.posexplode("calls").alias("_at", "c")).select("src", "file", "_at", "c.line", "c.name", "c.receiver", "c.arguments")
+    return rows.groupBy("src", "file", "line", "name").agg(F.min_by(F.struct("receiver", "arguments"), "_at").alias("r")).select("src", "file", "line", "name", "r.receiver", "r.arguments")
+
+
+def variables(fns: DataFrame) -> DataFrame:
+    """(file, scope, name, line, assigned_from, is_param): parameters and assigned variables of functions, each at its first place."""
+    own = fns.select("file", F.col("key").alias("scope"), F.col("line").alias("at"), F.explode("params").alias("name")).select("file", "scope", "name", F.col("at").alias("line"), F.lit(None).cast("string").alias("assigned_from"), F.lit(True).alias("is_param"))
+    put = fns.select("file", F.col("key").alias("scope"), F.explode("statements").alias("s")).where("s.target IS NOT NULL").select("file", "scope", F.col("s.target").alias("name"), "s.line", F.col("s.expr").alias("assigned_from"), F.lit(False).alias("is_param"))
+    return own.unionByName(put).groupBy("file", "scope", "name").agg(F.min_by(F.struct("line", "assigned_from", "is_param"), F.struct("line", F.col("is_param").cast("int"))).alias("r")).select("file", "scope", "name", "r.*")
 
 
 def classes(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sentrel.functions import fixed
 from sentrel.functions import rules as R
 from sentrel.functions.expressions import blockers_of, language_of, severity_of
-from sentrel.operators import chains, evaluate, graph, knowledge, memory, paths, prioritize, tagging
+from sentrel.operators import chains, evaluate, graph, knowledge, memory, paths, prioritize, tagging, taint
 
 
 def rows(df, *cols):
@@ -31,6 +31,8 @@ def test_tag_with_group_and_whole_text(spark):
     t = spark.createDataFrame([("m.java", "java", 'String a = q.getParameter("id");\nfoo(\n  bar)')], "file string, language string, text string")
     assert rows(tagging.tag(tagging.lines(t, "file", keep=["language"]), R.SOURCES, F.col("language")), "category", "value") == [("HTTP_PARAM", "id")]
     assert rows(tagging.tag_whole(t, [R.Rule("*", r"foo\(\s*bar\)", "call")]), "line", "category") == [(2, "call")]
+    again = spark.createDataFrame([("a", "x(\n1)\n\nx(\n1) x(2)\n"), ("b", "none")], "file string, text string")
+    assert rows(tagging.tag_whole(again, [R.Rule("*", r"x\(\s*\d\)", "call")]), "file", "line", "value") == [("a", 1, "x(\n1)"), ("a", 4, "x(\n1)"), ("a", 5, "x(2)")]
 
 
 def test_severity_blockers_language(spark):
@@ -127,6 +129,85 @@ def budget_model(items, ceiling):
     return sorted(out + [(x["id"], rank[x["severity"]] + 2) for x in left], key=str)
 
 
+def test_numbers_in_order(spark):
+    df = spark.createDataFrame([((i * 37) % 101, i) for i in range(101)], "k long, v long").repartition(7)
+    got = prioritize.numbered(df, ["k"], "n").collect()
+    assert sorted((r.n, r.k) for r in got) == [(k + 1, k) for k in range(101)]
+
+
+def test_budget_pack_model(spark):
+    rnd = random.Random(4)
+    items = [(i, rnd.choice("ab"), rnd.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(items, "id long, g string, size long")
+    for budget in (0, 40, 10_000):
+        want, total = [], {"a": 0, "b": 0}
+        for i, g, n in items:
+            total[g] += n
+            want += [(i, total[g])] if total[g] <= budget else []
+        assert rows(evaluate.budget_pack(df, "id", F.col("size"), budget, "g", parts=8), "id", "running") == sorted(want, key=str)
+
+
+def test_serious_and_ordered(spark):
+    f = spark.createDataFrame([(1, "LOW", 0.9), (2, "HIGH", 0.6), (3, "CRITICAL", 0.5), (4, "CRITICAL", 0.8), (5, "HIGH", 0.9)], "id int, severity string, confidence double")
+    assert [r.id for r in evaluate.report_order(evaluate.serious(f), "id").collect()] == [4, 5, 2]
+    raw = spark.createDataFrame([("", 0.9), (None, None), ("x", None), ("x", 0.7)], "raw string, c double")
+    assert [r[0] for r in raw.select(evaluate.confidence_of(F.col("raw"), F.col("c"))).collect()] == [0.3, 0.3, 0.5, 0.7]
+
+
+def test_taint_within_and_between(spark):
+    st = "array<struct<line:int,target:string,expr:string,call:string,returned:boolean>>"
+    fns = spark.createDataFrame([
+        ("a", "run", [], [(1, "c", "read()", "read", False), (2, "d", "helper(c)", "helper", False), (3, None, "print(d)", "print", False), (4, None, "send(d)", "send", False), (5, None, "send(shlex.quote(d))", "send", False), (6, None, "send(dd)", "send", False)]),
+        ("b", "helper", ["x"], [(8, "y", "x + 1", None, False), (9, None, "y", None, True)]),
+        ("c", "safe", ["x"], [(11, None, "shlex.quote(x)", "quote", True)])], f"key string, name string, params array<string>, statements {st}")
+    one = {r.key: r for r in taint.within(fns).collect()}
+    assert one["b"].tainted == ["x", "y"] and one["b"].returns and one["a"].tainted == [] and not one["c"].returns
+    assert [(r.call, r.sanitized) for r in one["c"].reaches] == [("quote", True)]
+    calls = spark.createDataFrame([("a", "helper", 2, ["c"]), ("a", "read", 1, [])], "src string, name string, line int, arguments array<string>")
+    seeds = spark.createDataFrame([("a", "c")], "key string, var string")
+    got = {r.key: r for r in taint.between(fns, calls, seeds).collect()}
+    assert sorted(got["a"].tainted) == ["c", "d"] and got["b"].returns and got["c"].tainted == []
+    assert [(r.line, r.call, r.sanitized) for r in got["a"].reaches] == [(2, "helper", False), (4, "send", False), (5, "send", True)]  # print is noise, dd another word
+    none = {r.key: r.tainted for r in taint.between(fns, calls, seeds.limit(0)).collect()}
+    assert none == {"a": [], "b": [], "c": []}
+    path = spark.createDataFrame([("p", 1, ["x"], 8, ["x", "y"], [(9, "f", False)]), ("p", 2, ["z"], 8, [], [(12, "g", False)])], "path string, o int, params array<string>, sink int, tainted array<string>, reaches array<struct<line:int,call:string,sanitized:boolean>>")
+    assert rows(taint.fold_path(path, "path", "o", "sink"), "o", "tainted", "reach") == [(1, ["x", "y"], True), (2, ["x", "y", "z"], False)]
+
+
+def test_resolved_edges(spark):
+    fns = spark.createDataFrame([("s.get", "s.py", "get", "Store"), ("o.get", "o.py", "get", ""), ("m.run", "m.py", "run", "")], "dst string, file string, name string, class_name string")
+    calls = spark.createDataFrame([("m.run", "m.py", "get", "Store"), ("m.run", "m.py", "get", None), ("m.run", "m.py", "get", "other")], "src string, file string, name string, receiver string")
+    files = spark.createDataFrame([("pkg/o.py",), ("s.py",)], "path string")
+    imports = spark.createDataFrame([("m.py", "from pkg.o import"), ("m.py", "import os")], "file string, module string")
+    targets = graph.import_targets(imports, files)
+    assert rows(targets, "file", "target") == [("m.py", "pkg/o.py")]
+    near = spark.createDataFrame([("m.py", "o.py")], "file string, target string")
+    assert rows(graph.resolved_edges(calls, fns, near), "src", "dst") == [("m.run", "o.get"), ("m.run", "s.get")]
+    assert rows(graph.resolved_edges(calls, fns, near.limit(0)), "src", "dst") == [("m.run", "s.get")]
+
+
+def test_filters_and_versions(spark):
+    r = spark.createDataFrame([(1, 0.5, 1, "cpe:x:django", "sql", "django", ["CWE-89"], "pypi"), (2, None, 0, "", "flask app", "flask", None, "pypi"), (3, 0.9, 0, "", "other", "left-pad", ["CWE-79"], "npm")], "id int, epss double, known_flag int, cpes string, description string, package string, cwe_ids array<string>, ecosystem string")
+    ids = lambda **how: [x.id for x in knowledge.filtered(r, F.coalesce("epss", F.lit(0.0)), 10, **how).collect()]
+    assert ids() == [3, 1, 2] and ids(min_epss=0.6) == [3] and ids(known_only=True) == [1] and ids(tech=["FLASK", "django"]) == [1, 2]
+    assert ids(cwes=["CWE-89"]) == [1] and ids(ecosystem="npm") == [3]
+    v = spark.createDataFrame([("before 1.2", "1.2"), ("", "1"), ("1", None), (None, "1"), ("2.0", "1")], "a string, v string")
+    assert [x[0] for x in v.select(knowledge.affects(F.col("a"), F.col("v"))).collect()] == [True, False, False, False, False]
+
+
+def test_chains_keep_ties(spark):
+    """Equal values are common, as a middle finding caps them: the least ids win, whatever the ends' own confidence."""
+    f = [(1000, "a", 1, 0.9)] + [(2000 + i, "c", 1, 0.9) for i in range(60)] + [(100 + i, "c", 1, 0.5) for i in range(10)] + [(5, "b", 4, 0.3)]
+    df = spark.createDataFrame(f, "id long, role string, severity int, confidence double")
+    steps = [("a", "b", "x"), ("b", "c", "y")]
+    paths_ = chains.role_paths(spark, ["a", "b", "c"], steps)
+    got = [r.ids for r in chains.chains(df, paths_, 50).collect()]
+    every = [r.ids for r in chains.chains(df, paths_, 5000).collect()]
+    assert got == every[:50] and "5,100,1000" in every
+    best = [r.ids for r in chains.chains(df.where("role <> 'b' OR id > 5").unionByName(spark.createDataFrame([(500, "b", 4, 0.3)], df.schema)), paths_, 12).collect()]
+    assert best[:10] == ["100,500"] + [f"{100 + i},500" for i in range(1, 10)]
+
+
 @pytest.mark.parametrize("ceiling", [0, 3, 12, 40])
 def test_tiered_budget_model(spark, ceiling):
     rnd = random.Random(ceiling)

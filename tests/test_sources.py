@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from sentrel.plans import audit as A
 from sentrel.sources import extract, feeds, files
 from sentrel.streaming import events as E
@@ -15,6 +17,16 @@ def test_scan_skips_folders_and_large_files(spark, tmp_path):
     assert [(r.path.strip("/"), r.language, r.content) for r in got] == [("a/x.py", "python", "import os\n")]
 
 
+def test_scan_replaces_bad_bytes_and_filters(spark, tmp_path):
+    for p, body in {"a/x.py": b"ok = '\xff\xfe caf\xc3\xa9'\n", ".hidden/y.py": b"z", "Tests/t.py": b"t", "m.min.js": b"q", "n.js": b"r"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(body)
+    got = {r.path.strip("/"): r.content for r in files.scan(spark, str(tmp_path), skip_tests=True, skip_hidden=True, ignore=[".min.js"]).collect()}
+    assert set(got) == {"a/x.py", "n.js"} and "\ufffd" in got["a/x.py"] and "café" in got["a/x.py"]
+    (tmp_path / "c.csv").write_text("cve_id,repo_url,commit_hash,lang\nCVE-1,u,abc,c\nCVE-1,u,abc,c\n")
+    assert [tuple(r) for r in files.commit_cases(spark, str(tmp_path / "c.csv")).collect()] == [("CVE-1", "u", "abc", "c", "commits")]
+
+
 def test_functions_of_python_and_braces():
     f = extract.python_functions("class C:\n    @dec\n    def m(self, a, b=1):\n        x = f(a, g(b))\n        return x\n")
     assert [(x["name"], x["class_name"], x["params"], x["end_line"]) for x in f] == [("m", "C", ["a", "b"], 5)]
@@ -27,7 +39,7 @@ def test_functions_of_python_and_braces():
 
 
 def test_manifests(spark):
-    got = {(r.ecosystem, r.name, r.version) for r in A.dependency_list(spark, "").collect()}
+    got = {(r.ecosystem, r.name, r.version) for r in feeds.dependencies(A._tree(spark)).collect()}
     assert got == {("pypi", "flask", "2.0.1"), ("pypi", "requests", "2.5"), ("pypi", "plain", None), ("npm", "left-pad", "^1.0"), ("npm", "jest", "29"), ("go", "github.com/a/b", "v1.2.3"), ("cargo", "serde", "1.0"), ("cargo", "rand", "0.8")}
 
 
@@ -45,13 +57,18 @@ def test_feeds(spark, tmp_path):
     assert [r.id for r in feeds.resumed(spark, spark.createDataFrame([("a",), ("b",)], "id string"), str(tmp_path / "done.jsonl"), "id").collect()] == ["b"]
 
 
-def test_audit_finds_flow_and_sanitizer(spark):
+def test_audit_finds_flow_and_sanitizer(spark, tmp_path):
     a = A._example(spark)
     got = {(r.source_file, r.source_line, r.sink_line, r.category): r for r in a.paths.collect()}
     flow = got["app/web.py", 6, 10, "command_execution"]
     assert [f.split("::")[1].split("@")[0] for f in flow.functions] == ["run", "launch"] and not flow.blocked
     assert got["app/web.py", 18, 14, "command_execution"].blocked
-    assert "| Paths" not in a.report() and "## Paths" in a.report()
+    report = a.report()
+    assert [x[3:] for x in report.split("\n") if x.startswith("## ")] == ["Summary", "Paths", "Memory", "Memory findings", "Dependencies"]
+    verdicts = a.paths.select("path_id").withColumn("confidence", F.lit(0.9))
+    assert a.chains(verdicts).columns == ["name", "ids", "size", "severity", "confidence", "impact"]
+    a.write(f"{tmp_path}/audit")
+    assert spark.read.parquet(f"{tmp_path}/audit/paths").count() == a.paths.count()
     assert a.summary().first().functions == 9
 
 
