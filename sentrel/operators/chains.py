@@ -68,6 +68,7 @@ def chains(findings: DataFrame, paths: DataFrame, top: int = 50) -> DataFrame:
     mid = paths.select("leg", F.posexplode(F.slice("path", 2, F.size("path") - 2)).alias("pos", "role"))
     mid = mid.join(F.broadcast(best), "role").groupBy("leg").agg(F.sort_array(F.collect_list(F.struct("pos", "rep"))).alias("m"))
     legs = paths.join(mid, "leg", "left").select("leg", "src", "dst", "label", F.size("path").alias("size"), F.coalesce(F.transform("m", lambda x: x["rep"]), F.array().cast(f"array<{_LINK}>")).alias("mids"))
+    legs = legs.where(F.size("mids") == F.col("size") - 2)  # a role on the way without a finding makes no chain
     value = lambda c, mids, size: F.round(F.least(c, F.coalesce(F.array_min(F.transform(mids, lambda m: m["confidence"])), c)) * F.pow(F.lit(0.8), size - 1), 2)
     sides = legs.select("leg", "size", "mids", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("src").alias("role")), F.struct(F.lit("b").alias("side"), F.col("dst").alias("role")))).alias("s")).select("leg", "size", "mids", "s.*")
     link = F.struct(F.col("id").cast("long").alias("id"), F.col("severity").cast("int").alias("severity"), F.col("confidence").cast("double").alias("confidence"))
