@@ -33,8 +33,10 @@ LEAST = 5
 LINES, VERSIONS = 1 << 31, 1 << 24
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), " ", -1), "")
+def _normal(line: Column) -> Column:
+    """The lower-cased words, parted by single spaces."""
+    low = F.lower(line)
+    return F.trim(F.when(F.contains(low, F.lit("  ")), F.regexp_replace(low, " +", " ")).otherwise(low))
 
 
 def _whole(x: int) -> Column:
@@ -53,20 +55,25 @@ def _text() -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, pos, w): every line with its words; doc orders documents."""
+    """(doc_id, doc, pos, words): every line with its words; doc orders documents."""
     src = pick(docs, "doc_id", "text").select("doc_id", _text().alias("text"))
     src = src.select("doc_id", _document(F.col("doc_id"), F.col("text")).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return src.select("doc_id", "doc", "pos", _words(F.col("line")).alias("w"))
+    return src.select("doc_id", "doc", "pos", _normal(F.col("line")).alias("words"))
+
+
+def _hashes(words: Column) -> tuple[Column, Column]:
+    return F.xxhash64(words), F.xxhash64(F.lit(1), words)
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """Lines by position (ord), 128-bit hash (h1, h2) and the hashes of their halves; no text."""
-    n, w = F.size("w"), F.col("w")
-    a, b = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    front = lambda k: F.xxhash64(F.lit("front"), F.slice(w, F.lit(1), F.greatest(k, F.lit(0))))
-    back = lambda k: F.xxhash64(F.lit("back"), F.slice(w, F.greatest(n - k + 1, F.lit(1)), F.greatest(k, F.lit(0))))
+    words = F.col("words")
+    lines = lines.withColumn("n", F.when(words == "", 0).otherwise(F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit(""))) + 1))
+    half = lambda side, k, sign="": F.xxhash64(F.lit(side), F.expr(f"substring_index(words, ' ', {sign}CAST({k} AS INT))"))
+    a, b = "greatest(n - 1, 0) div 2", "n div 2"
+    h1, h2 = _hashes(words)
     place = (F.col("doc") * _whole(LINES) + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
-    return lines.select("doc_id", place.alias("ord"), n.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), front(a).alias("fa"), front(b).alias("fb"), back(a).alias("ba"), back(b).alias("bb"))
+    return lines.select("doc_id", place.alias("ord"), "n", h1.alias("h1"), h2.alias("h2"), half("front", a).alias("fa"), half("front", b).alias("fb"), half("back", a, "-").alias("ba"), half("back", b, "-").alias("bb"))
 
 
 def _place(ord_: Column) -> tuple[Column, Column]:
@@ -142,10 +149,12 @@ def _candidate_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     wanted = wanted.groupBy("doc").agg(F.collect_list("c").alias("cs"))  # a document's own lines
     texts = pick(docs, "doc_id", "text").where("text IS NOT NULL").select(_document(F.col("doc_id"), F.col("text")).alias("doc"), "text")
     held = texts.join(wanted, "doc").select("cs", F.split("text", "\n", -1).alias("lines"))
-    found = held.select(F.explode(F.transform("cs", lambda c: F.struct(c.alias("c"), F.get("lines", c["pos"]).alias("line")))).alias("x")).select("x.c.*", _words(F.coalesce("x.line", F.lit(""))).alias("w"))
+    found = held.select(F.explode(F.transform("cs", lambda c: F.struct(c.alias("c"), F.get("lines", c["pos"]).alias("line")))).alias("x")).select("x.c.*", _normal(F.coalesce("x.line", F.lit(""))).alias("words"))
+    h1, h2 = _hashes(F.col("words"))
     # a row per copy of the document; texts that share the document's hash bits are told apart by the line's own
-    found = found.where((F.xxhash64("w") == F.col("h1")) & (F.xxhash64(F.lit(1), "w") == F.col("h2"))).dropDuplicates(["ord", "h1"])
-    return found.select("ord", "h1", "h2", "front", "back", F.size("w").alias("n"), "w")
+    found = found.where((h1 == F.col("h1")) & (h2 == F.col("h2"))).dropDuplicates(["ord", "h1"])
+    w = F.split("words", " ", -1)
+    return found.select("ord", "h1", "h2", "front", "back", F.size(w).alias("n"), w.alias("w"))
 
 
 def judge_lines(docs: DataFrame) -> DataFrame:
@@ -188,10 +197,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct document's lines judged: their number, how many go and which."""
-    judged = judge_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = F.length(_text()) - F.length(F.replace(_text(), F.lit("\n"), F.lit(""))) + 1
+    every = docs.select("doc_id", _document(F.col("doc_id"), _text()).alias("doc"), size.cast("long").alias("n_lines")).groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_lines").alias("n_lines"))
     of = lambda *kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("pos")))
-    gone = F.array_join(F.transform(F.array_sort(of("exact", "near")), lambda p: p.cast("string")), ",")
-    return judged.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), (F.max("pos") + 1).cast("long").alias("n_lines"), F.size(of("exact")).cast("long").alias("n_exact"), F.size(of("near")).cast("long").alias("n_near"), gone.alias("gone")).drop("doc")
+    text = F.array_join(F.transform(F.array_sort(of("exact", "near")), lambda p: p.cast("string")), ",")
+    gone = judge_lines(docs).where("kind <> 'keep'").groupBy("doc").agg(F.size(of("exact")).cast("long").alias("n_exact"), F.size(of("near")).cast("long").alias("n_near"), text.alias("gone"))
+    none = {"n_exact": F.lit(0), "n_near": F.lit(0), "gone": F.lit("")}
+    return every.join(gone, "doc", "left").select("doc_id", "n_lines", *(F.coalesce(c, z).alias(c) for c, z in none.items()))
 
 
 ORACLE = f"""
