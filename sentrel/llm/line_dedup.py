@@ -57,7 +57,9 @@ def _text() -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, pos, words): every line with its words; doc orders documents."""
     src = pick(docs, "doc_id", "text").select("doc_id", _text().alias("text"))
-    src = src.select("doc_id", _document(F.col("doc_id"), F.col("text")).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # the place comes first: beside the explode it would be computed for every line
+    src = src.select("doc_id", _document(F.col("doc_id"), F.col("text")).alias("doc"), "text")
+    src = src.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return src.select("doc_id", "doc", "pos", _normal(F.col("line")).alias("words"))
 
 
