@@ -35,6 +35,20 @@ def test_tag_with_group_and_whole_text(spark):
     assert rows(tagging.tag_whole(again, [R.Rule("*", r"x\(\s*\d\)", "call")]), "file", "line", "value") == [("a", 1, "x(\n1)"), ("a", 4, "x(\n1)"), ("a", 5, "x(2)")]
 
 
+def test_rules_of_all_languages(spark):
+    code = {
+        "python": ("x = request.args['a']", "HTTP_REQUEST"), "javascript": ("const a = req.query.id", "HTTP_REQUEST"), "java": ('q.getParameter("a b")', "HTTP_PARAM"), "c": ("puts(argv[1]);", "CLI_ARG"),
+        "go": ("os.Getenv(k)", "ENV_VAR"), "rust": ("std::env::args()", "CLI_ARG"), "csharp": ("var a = Request.Query[k];", "HTTP_REQUEST"), "php": ("$a = $_GET['a'];", "HTTP_REQUEST"), "ruby": ("x = params[key]", "HTTP_PARAM"),
+        "powershell": ("echo $env:PATH", "PS_ENV_VAR"), "shell": ('rm "$1"', "CLI_ARG"), "kotlin": ("call.receive()", "HTTP_REQUEST"), "scala": ("request.body", "HTTP_REQUEST"), "swift": ("CommandLine.arguments", "CLI_ARG")}
+    df = spark.createDataFrame([(lang, 1, line) for lang, (line, _) in code.items()] + [(lang, 2, "plain words") for lang in code], "language string, line int, content string")
+    got = {(r.language, r.category) for r in tagging.tag(df, R.SOURCES, F.col("language")).collect()}
+    assert got >= {(lang, category) for lang, (_, category) in code.items()}
+    for rules in (R.SINKS, R.SANITIZERS, R.ENTRY_POINTS, R.IMPORTS):
+        assert tagging.tag(df.where("line = 2"), rules, F.col("language")).count() == 0
+    entry = spark.createDataFrame([("ruby", "get '/x' do"), ("php", "Route::post('/x')"), ("kotlin", "fun main() {"), ("scala", "object A extends App"), ("swift", "@main"), ("shell", "#!/bin/sh")], "language string, content string")
+    assert sorted(r.language for r in tagging.tag(entry, R.ENTRY_POINTS, F.col("language")).collect()) == ["kotlin", "php", "ruby", "scala", "shell", "swift"]
+
+
 def test_severity_blockers_language(spark):
     df = spark.createDataFrame([("sql_injection", "x/a.TS"), ("other", "b.unknown")], "c string, p string")
     got = df.select(severity_of(F.col("c")).alias("s"), blockers_of(F.col("c")).alias("b"), language_of(F.col("p")).alias("l")).collect()
