@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.session import shared_folder
+from sentrel.session import exists, shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -45,11 +45,8 @@ def append_new(stream: DataFrame, out: str, checkpoint: str, key: str) -> None:
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
-        try:
+        if exists(spark, out):
             rows = rows.join(spark.read.parquet(out).select(key), key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         rows.write.mode("append").parquet(out)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -93,3 +93,22 @@ def test_frameworks_cases_and_answers(spark):
     df = spark.createDataFrame([('<think>{"a":0}</think> ok ```json\n{"a": {"b": 1}}\n``` bye', 501, 47.2)], "t string, n int, r double")
     assert tuple(df.select(json_body(F.col("t")), chunk_of(F.col("n")), hypotheses(F.col("r"))).first()) == ('{"a": {"b": 1}}', 1, 4)
     assert files.architecture(t.where("language IS NOT NULL")).first().architecture == "library"
+
+
+def test_sessions_scanner_reports_and_comments(spark, tmp_path):
+    import datetime as dt
+
+    from sentrel.operators.tagging import strip_comments
+
+    at = dt.datetime(2024, 1, 1, 5)
+    ev = spark.createDataFrame([(u, at + dt.timedelta(minutes=m)) for u, m in ((1, 0), (1, 20), (1, 90), (2, 5))], "user_id long, ts timestamp")
+    assert sorted((r.user_id, r.n) for r in E.sessions(ev).collect()) == [(1, 1), (1, 2), (2, 1)]
+    one = {"check_id": "r1", "path": "a.py", "start": {"line": 3, "col": 1}, "end": {"line": 4, "col": 2}, "extra": {"message": "m", "severity": "error", "metadata": "{}"}}
+    (tmp_path / "scan.json").write_text(json.dumps({"results": [one]}))
+    assert [(r.rule_id, r.file, r.line, r.end_line, r.severity) for r in feeds.scanner_findings(spark, str(tmp_path / "scan.json")).collect()] == [("r1", "a.py", 3, 4, "ERROR")]
+    code = spark.createDataFrame([("x = 1 # one\ny = 2", "a(); // b\n/* c\nd */ e();")], "p string, c string")
+    assert tuple(code.select(strip_comments(F.col("p"), "python"), strip_comments(F.col("c"), "c")).first()) == ("x = 1 \ny = 2", "a(); \n e();")
+    rows = [(i, at, 1, "a", 1.0) for i in (1, 2, 2, 3)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/s/events.parquet")
+    E.drain(E.distinct_events(E.event_stream(spark, f"{tmp_path}/s/events.parquet"), ["event_id"]), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
