@@ -67,9 +67,23 @@ def first_match(rules: Iterable[tuple[Column, str]], default: str) -> Column:
 
 
 def json_body(text: Column) -> Column:
-    """The JSON object inside a model's answer: think blocks and fences go, then from the first brace to the last."""
+    """The first JSON object or list inside a model's answer, null where there is none that parses.
+
+    Think blocks and fences go, then brackets are matched from the first one on, but for those in strings.
+    """
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    return F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    body = F.regexp_extract(bare, r"(?s)([{\[].*)", 1)
+    state = F.struct(*(F.lit(x).alias(n) for n, x in (("depth", 0), ("at", 0), ("end", 0), ("quoted", False), ("escaped", False))))
+
+    def step(s: Column, c: Column) -> Column:
+        free = ~s["quoted"]
+        depth = s["depth"] + F.when(free & c.isin("{", "["), 1).when(free & c.isin("}", "]"), -1).otherwise(0)
+        end = F.when((s["end"] == 0) & (s["depth"] == 1) & (depth == 0), s["at"] + 1).otherwise(s["end"])
+        quoted = F.when((c == '"') & ~s["escaped"], free).otherwise(s["quoted"])
+        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), end.alias("end"), quoted.alias("quoted"), (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"))
+
+    found = F.substring(body, F.lit(1), F.aggregate(F.split(body, ""), state, step, lambda s: s["end"]))
+    return F.when(F.try_parse_json(found).isNotNull(), found)
 
 
 def chunk_of(position: Column, size: int = 500) -> Column:

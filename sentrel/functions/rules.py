@@ -28,6 +28,53 @@ def calls(language: str, category: str, cwe: str, *names: str) -> list[Rule]:
     return [Rule(language, rf"(?<![\w.])(?:{body})\s*\(", category, cwe)]
 
 
+def _any(names: Iterable[str]) -> str:
+    return "(?:" + "|".join(re.escape(n) for n in names) + ")"
+
+
+def members(language: str, category: str, owner: str, *names: str, protects: tuple[str, ...] = (), cwe: str = "") -> Rule:
+    """A rule for members of a named object."""
+    return Rule(language, rf"\b{re.escape(owner)}\.{_any(names)}\b", category, cwe, protects=protects)
+
+
+def methods(language: str, category: str, *names: str, protects: tuple[str, ...] = (), cwe: str = "") -> Rule:
+    """A rule for method calls on any object."""
+    return Rule(language, rf"\.{_any(names)}\s*\(", category, cwe, protects=protects)
+
+
+def guards(language: str, category: str, protects: tuple[str, ...], *names: str) -> Rule:
+    """A rule for calls of functions that protect."""
+    return Rule(language, rf"(?<![\w.]){_any(names)}\s*\(", category, protects=protects)
+
+
+def marks(language: str, category: str, *names: str, group: int = 0) -> Rule:
+    """A rule for annotations and attributes by their names."""
+    return Rule(language, rf"[@\[]({_any(names)})\b", category, group=group)
+
+
+def routes(language: str, category: str, *owners: str) -> Rule:
+    """A rule for routes that are registered on an application object; the value is the method."""
+    return Rule(language, rf"\b{_any(owners)}\.({_any(VERBS)})\s*\(", category, group=1)
+
+
+def variables(language: str, category: str, *names: str) -> Rule:
+    """A rule for variables that a language gives its programs; a name that ends in a letter ends there."""
+    return Rule(language, "|".join(re.escape(n) + (r"(?!\w)" if n[-1].isalnum() else "") for n in names), category)
+
+
+def made(language: str, category: str, cwe: str, *names: str) -> Rule:
+    """A rule for objects that are made of a class."""
+    return Rule(language, rf"\bnew\s+{_any(names)}\s*[(<{{]", category, cwe)
+
+
+def commands(language: str, category: str, cwe: str, *names: str) -> Rule:
+    """A rule for commands by their names, whatever the case: at a line's start or after a pipe, a bracket or an assignment."""
+    return Rule(language, rf"(?i)(?:^|[|;&(={{])\s*{_any(names)}(?![\w-])", category, cwe)
+
+
+VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
+_SCRIPTS, _NATIVE, _JVM = ("javascript", "typescript"), ("c", "cpp"), ("java", "kotlin", "scala")
+
 SINKS = [
     *calls("python", "command_execution", "CWE-78", "os.system", "os.popen", "subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output"),
     *calls("python", "code_execution", "CWE-95", "eval", "exec", "compile", "__import__"),
@@ -48,13 +95,21 @@ SINKS = [
         Rule(lang, r"\b(?:fetch|axios\.\w+)\s*\(\s*[^'\"`\s]", "ssrf", "CWE-918"),
         Rule(lang, r"__proto__|Object\.assign\s*\(|\bmerge\s*\(", "prototype_pollution", "CWE-1321"),
         Rule(lang, r"\bMath\.random\s*\(", "weak_random", "CWE-338"))],
-    Rule("java", r"Runtime\.getRuntime\(\)\.exec\s*\(|new\s+ProcessBuilder\s*\(", "command_execution", "CWE-78"),
-    Rule("java", r"\.(?:executeQuery|executeUpdate|createQuery)\s*\(\s*[^)]*\+", "sql_injection", "CWE-89"),
-    Rule("java", r"\breadObject\s*\(|new\s+XMLDecoder\s*\(", "deserialization", "CWE-502"),
-    Rule("java", r"\bDocumentBuilderFactory\.newInstance\s*\(|SAXParserFactory\.newInstance\s*\(", "xxe", "CWE-611"),
-    Rule("java", r"\bparseExpression\s*\(", "spel_injection", "CWE-917"),
-    Rule("java", r"new\s+(?:File|FileInputStream|FileReader)\s*\(\s*[^\"\s]", "path_traversal", "CWE-22"),
-    Rule("java", r"MessageDigest\.getInstance\s*\(\s*\"(?:MD5|SHA-?1)\"", "weak_crypto", "CWE-328"),
+    *[r for lang in _JVM for r in (
+        Rule(lang, r"Runtime\.getRuntime\(\)\.exec\s*\(|new\s+ProcessBuilder\s*\(", "command_execution", "CWE-78"),
+        Rule(lang, r"\.(?:executeQuery|executeUpdate|createQuery)\s*\(\s*[^)]*\+", "sql_injection", "CWE-89"),
+        Rule(lang, r"\breadObject\s*\(|new\s+XMLDecoder\s*\(", "deserialization", "CWE-502"),
+        Rule(lang, r"\bDocumentBuilderFactory\.newInstance\s*\(|SAXParserFactory\.newInstance\s*\(", "xxe", "CWE-611"),
+        Rule(lang, r"\bparseExpression\s*\(", "spel_injection", "CWE-917"),
+        Rule(lang, r"new\s+(?:File|FileInputStream|FileReader)\s*\(\s*[^\"\s]", "path_traversal", "CWE-22"),
+        Rule(lang, r"MessageDigest\.getInstance\s*\(\s*\"(?:MD5|SHA-?1)\"", "weak_crypto", "CWE-328"),
+        made(lang, "deserialization", "CWE-502", "ObjectInputStream"), methods(lang, "deserialization", "fromXML", "enableDefaultTyping", cwe="CWE-502"),
+        methods(lang, "sql_injection", "createNativeQuery", "createSQLQuery", "nativeSQL", "addBatch", cwe="CWE-89"),
+        methods(lang, "open_redirect", "sendRedirect", cwe="CWE-601"), methods(lang, "ssrf", "openConnection", "openStream", "getForObject", "getForEntity", "postForObject", cwe="CWE-918"),
+        *calls(lang, "reflection_invoke", "CWE-470", "Class.forName"), methods(lang, "reflection_invoke", "getDeclaredMethod", "newInstance", cwe="CWE-470"),
+        made(lang, "weak_random", "CWE-338", "Random"), Rule(lang, r"Cipher\.getInstance\s*\(\s*\"(?:DES|RC4|[A-Z]+/ECB)", "weak_crypto", "CWE-327"),
+        made(lang, "ldap_injection", "CWE-90", "InitialDirContext", "InitialLdapContext"), Rule(lang, r"\bXPath\w*\.(?:compile|evaluate)\s*\(", "xpath_injection", "CWE-643"),
+        Rule(lang, r"\bScriptEngine\b|\bOgnl\.getValue\s*\(|\bMVEL\.eval\s*\(", "code_execution", "CWE-95"), made(lang, "file_write", "CWE-73", "FileOutputStream", "FileWriter", "RandomAccessFile"))],
     *[r for lang in ("c", "cpp") for r in (
         *calls(lang, "buffer_overflow", "CWE-120", "strcpy", "strcat", "sprintf", "gets", "memcpy", "memmove"),
         Rule(lang, r"\b(?:printf|syslog)\s*\(\s*[A-Za-z_]\w*\s*[,)]", "format_string", "CWE-134"),
@@ -70,49 +125,47 @@ SINKS = [
     Rule("php", r"\b(?:mysql_query|mysqli_query)\s*\(|->query\s*\(", "sql_injection", "CWE-89"),
     Rule("php", r"\bunserialize\s*\(", "object_injection", "CWE-502"), Rule("php", r"\b(?:include|require)(?:_once)?\s*\(?\s*\$", "file_inclusion", "CWE-98"),
     Rule("ruby", r"\b(?:system|exec|eval|instance_eval)\s*[( ]|`[^`]*#\{", "command_execution", "CWE-78"), Rule("ruby", r"\bMarshal\.load\b|YAML\.load\b", "deserialization", "CWE-502"),
-    Rule("kotlin", r"Runtime\.getRuntime\(\)\.exec\s*\(", "command_execution", "CWE-78"), Rule("scala", r"\bsys\.process\b|Process\s*\(", "command_execution", "CWE-78"),
+    Rule("scala", r"\bsys\.process\b|Process\s*\(", "command_execution", "CWE-78"),
     Rule("swift", r"\bNSTask\b|\bProcess\s*\(\s*\)", "command_execution", "CWE-78"), Rule("powershell", r"(?i)\bInvoke-Expression\b|\biex\b", "code_execution", "CWE-95"),
     Rule("shell", r"\beval\s", "code_execution", "CWE-95"),
+    *calls("python", "command_execution", "CWE-78", "subprocess.getoutput", "subprocess.getstatusoutput", "os.execv", "os.execve", "os.execvp", "os.spawnl", "os.spawnv", "os.posix_spawn", "pty.spawn", "asyncio.create_subprocess_shell"),
+    *calls("python", "deserialization", "CWE-502", "dill.load", "dill.loads", "shelve.open", "jsonpickle.decode", "joblib.load", "torch.load", "pandas.read_pickle", "pd.read_pickle"),
+    *calls("python", "path_traversal", "CWE-22", "send_file", "os.remove", "os.unlink", "os.rename", "shutil.copy", "shutil.move", "shutil.rmtree", "shutil.unpack_archive"), methods("python", "path_traversal", "extractall", cwe="CWE-22"),
+    *calls("python", "reflection_invoke", "CWE-470", "importlib.import_module", "getattr", "setattr"), *calls("python", "open_redirect", "CWE-601", "redirect"), *calls("python", "xss", "CWE-79", "Markup", "mark_safe"),
+    methods("python", "ldap_injection", "search_s", "search_ext_s", cwe="CWE-90"), methods("python", "xpath_injection", "xpath", cwe="CWE-643"), *calls("python", "toctou", "CWE-367", "tempfile.mktemp", "os.access"), Rule("python", r"\bverify\s*=\s*False\b", "security_misconfig", "CWE-295"),
+    *[r for lang in _SCRIPTS for r in (
+        *calls(lang, "code_execution", "CWE-95", "vm.runInNewContext", "vm.runInThisContext"), Rule(lang, r"\bset(?:Timeout|Interval)\s*\(\s*['\"`]", "code_execution", "CWE-95"),
+        *calls(lang, "path_traversal", "CWE-22", "fs.readFile", "fs.readFileSync", "fs.createReadStream", "fs.unlink", "fs.readdir"), methods(lang, "path_traversal", "sendFile", cwe="CWE-22"), *calls(lang, "file_write", "CWE-73", "fs.writeFile", "fs.writeFileSync", "fs.appendFile", "fs.createWriteStream"),
+        methods(lang, "open_redirect", "redirect", cwe="CWE-601"), methods(lang, "xss", "insertAdjacentHTML", "writeln", cwe="CWE-79"), Rule(lang, r"\bouterHTML\s*=", "xss", "CWE-79"), methods(lang, "deserialization", "unserialize", cwe="CWE-502"), Rule(lang, r"\$where\b|\$expr\b", "nosql_injection", "CWE-943"),
+        Rule(lang, r"\brequire\s*\(\s*[^'\"`\s)]", "dynamic_require", "CWE-829"), Rule(lang, r"createHash\s*\(\s*['\"](?:md5|sha1)['\"]", "weak_crypto", "CWE-328"), Rule(lang, r"\brejectUnauthorized\s*:\s*false\b", "security_misconfig", "CWE-295"))],
+    *[r for lang in _NATIVE for r in (
+        *calls(lang, "buffer_overflow", "CWE-120", "vsprintf", "strncat", "wcscpy", "wcscat", "stpcpy", "bcopy", "scanf", "sscanf"), *calls(lang, "command_execution", "CWE-78", "execlp", "execv", "execve", "execvpe", "posix_spawn"), *calls(lang, "code_execution", "CWE-114", "dlopen", "LoadLibrary"),
+        *calls(lang, "weak_random", "CWE-338", "rand", "srand", "random", "drand48"), *calls(lang, "weak_crypto", "CWE-328", "MD5", "MD5_Init", "SHA1", "SHA1_Init", "DES_ecb_encrypt", "RC4"), *calls(lang, "toctou", "CWE-367", "stat", "lstat", "chmod", "chown", "tempnam"), *calls(lang, "path_traversal", "CWE-22", "fopen", "freopen", "unlink"))],
+    Rule("cpp", r"\breinterpret_cast\s*<", "type_confusion", "CWE-843"), Rule("cpp", r"\bdelete\s*\[\s*\]", "delete_array", "CWE-415"), Rule("cpp", r"\bstd::rand\s*\(", "weak_random", "CWE-338"),
+    *calls("go", "path_traversal", "CWE-22", "os.Open", "os.OpenFile", "os.ReadFile", "os.Remove", "os.RemoveAll", "ioutil.ReadFile", "http.ServeFile"), *calls("go", "file_write", "CWE-73", "os.Create", "os.WriteFile", "ioutil.WriteFile"), *calls("go", "ssrf", "CWE-918", "http.Get", "http.Post", "http.PostForm", "http.NewRequest"),
+    *calls("go", "command_execution", "CWE-78", "exec.CommandContext", "syscall.Exec", "os.StartProcess"), *calls("go", "xss", "CWE-79", "template.HTML", "template.JS", "template.URL"), *calls("go", "deserialization", "CWE-502", "gob.NewDecoder"), *calls("go", "open_redirect", "CWE-601", "http.Redirect"),
+    *calls("go", "weak_crypto", "CWE-328", "md5.New", "md5.Sum", "sha1.New", "sha1.Sum", "des.NewCipher", "rc4.NewCipher"), *calls("go", "weak_random", "CWE-338", "rand.Int", "rand.Intn", "rand.Float64"), *calls("go", "code_execution", "CWE-114", "plugin.Open"), Rule("go", r"\bunsafe\.Pointer\b", "raw_pointer", "CWE-787"), Rule("go", r"\bInsecureSkipVerify\s*:\s*true\b", "security_misconfig", "CWE-295"),
+    Rule("rust", r"\b(?:fs::(?:read|read_to_string|remove_file|remove_dir_all)|File::open)\s*\(", "path_traversal", "CWE-22"), Rule("rust", r"\b(?:fs::write|File::create)\s*\(", "file_write", "CWE-73"), Rule("rust", r"\breqwest::(?:blocking::)?get\s*\(", "ssrf", "CWE-918"), Rule("rust", r"\b(?:sql_query|query|execute)\s*\(\s*&?format!", "sql_injection", "CWE-89"),
+    Rule("rust", r"\b(?:bincode::deserialize|serde_yaml::from_str|rmp_serde::from_slice)\b", "deserialization", "CWE-502"), Rule("rust", r"\b(?:from_raw_parts(?:_mut)?|get_unchecked(?:_mut)?|from_utf8_unchecked|from_raw)\s*\(", "raw_pointer", "CWE-787"), Rule("rust", r"\bextern\s+\"C\"", "ffi", "CWE-676"), Rule("rust", r"\b(?:Md5|Sha1)::new\s*\(", "weak_crypto", "CWE-328"),
+    made("csharp", "deserialization", "CWE-502", "LosFormatter", "SoapFormatter", "NetDataContractSerializer", "ObjectStateFormatter", "JavaScriptSerializer"), methods("csharp", "sql_injection", "FromSqlRaw", "ExecuteSqlRaw", "ExecuteSqlCommand", cwe="CWE-89"), made("csharp", "ldap_injection", "CWE-90", "DirectorySearcher"),
+    *calls("csharp", "path_traversal", "CWE-22", "File.ReadAllText", "File.ReadAllBytes", "File.Open", "File.OpenRead", "File.Delete", "Directory.Delete"), *calls("csharp", "file_write", "CWE-73", "File.WriteAllText", "File.WriteAllBytes", "File.AppendAllText"), methods("csharp", "ssrf", "GetAsync", "PostAsync", "GetStringAsync", "DownloadString", cwe="CWE-918"),
+    *calls("csharp", "xss", "CWE-79", "Html.Raw"), made("csharp", "xxe", "CWE-611", "XmlDocument", "XmlTextReader"), methods("csharp", "xpath_injection", "SelectNodes", "SelectSingleNode", cwe="CWE-643"), *calls("csharp", "weak_crypto", "CWE-328", "MD5.Create", "SHA1.Create", "DES.Create"), made("csharp", "weak_random", "CWE-338", "Random"),
+    *calls("csharp", "reflection_invoke", "CWE-470", "Assembly.Load", "Assembly.LoadFrom", "Activator.CreateInstance", "Type.GetType"), *calls("csharp", "open_redirect", "CWE-601", "Redirect", "Response.Redirect"),
+    *calls("php", "code_execution", "CWE-95", "eval", "assert", "create_function"), *calls("php", "command_execution", "CWE-78", "proc_open", "pcntl_exec"), *calls("php", "path_traversal", "CWE-22", "file_get_contents", "fopen", "readfile", "file", "unlink", "opendir"), *calls("php", "file_write", "CWE-73", "file_put_contents", "move_uploaded_file"),
+    *calls("php", "ssrf", "CWE-918", "curl_init", "curl_exec", "fsockopen"), *calls("php", "xxe", "CWE-611", "simplexml_load_string", "simplexml_load_file"), methods("php", "xxe", "loadXML", cwe="CWE-611"), *calls("php", "weak_crypto", "CWE-328", "md5", "sha1"), *calls("php", "weak_random", "CWE-338", "rand", "mt_rand", "uniqid"),
+    *calls("php", "variable_overwrite", "CWE-621", "extract", "parse_str"), *calls("php", "ldap_injection", "CWE-90", "ldap_search", "ldap_list"), Rule("php", r"\b(?:echo|print)\b[^;]*\$_(?:GET|POST|REQUEST|COOKIE)\b", "xss", "CWE-79"), Rule("php", r"\bheader\s*\(\s*['\"]Location:", "open_redirect", "CWE-601"), *calls("php", "information_disclosure", "CWE-200", "phpinfo", "var_dump", "print_r"),
+    *calls("ruby", "command_execution", "CWE-78", "IO.popen", "Open3.capture2", "Open3.capture3", "Open3.popen3", "Process.spawn", "Kernel.system"), methods("ruby", "code_execution", "class_eval", "module_eval", cwe="CWE-95"), methods("ruby", "sql_injection", "find_by_sql", "exec_query", cwe="CWE-89"), Rule("ruby", r"\.(?:where|order|joins)\s*\(\s*\"[^\"]*#\{", "sql_injection", "CWE-89"),
+    *calls("ruby", "path_traversal", "CWE-22", "File.open", "File.read", "File.delete", "IO.read", "send_file"), Rule("ruby", r"\bNet::HTTP\.(?:get|post)\w*\b|\bURI\.open\s*\(", "ssrf", "CWE-918"), Rule("ruby", r"\.html_safe\b|\braw\s*\(", "xss", "CWE-79"), Rule("ruby", r"\.constantize\b|\.(?:public_)?send\s*\(", "reflection_invoke", "CWE-470"), *calls("ruby", "open_redirect", "CWE-601", "redirect_to"), Rule("ruby", r"\bDigest::(?:MD5|SHA1)\b", "weak_crypto", "CWE-328"),
+    Rule("scala", r"\bsql\"[^\"]*#\$", "sql_injection", "CWE-89"), Rule("kotlin", r"\.(?:rawQuery|execSQL)\s*\(", "sql_injection", "CWE-89"), methods("kotlin", "xss", "loadUrl", "evaluateJavascript", cwe="CWE-79"), *calls("kotlin", "path_traversal", "CWE-22", "File"),
+    *calls("swift", "sql_injection", "CWE-89", "sqlite3_exec", "sqlite3_prepare_v2"), Rule("swift", r"\bNSKeyedUnarchiver\.unarchive\w*\s*\(", "deserialization", "CWE-502"), methods("swift", "xss", "evaluateJavaScript", "loadHTMLString", cwe="CWE-79"), Rule("swift", r"\bcontentsOf(?:File|URL)?\s*:", "path_traversal", "CWE-22"), methods("swift", "ssrf", "dataTask", "downloadTask", cwe="CWE-918"),
+    Rule("swift", r"\bUnsafe(?:Mutable)?(?:Raw)?(?:Buffer)?Pointer\b", "raw_pointer", "CWE-787"), Rule("swift", r"\bInsecure\.(?:MD5|SHA1)\b", "weak_crypto", "CWE-328"), *calls("swift", "weak_crypto", "CWE-328", "CC_MD5", "CC_SHA1"),
+    commands("powershell", "command_execution", "CWE-78", "Start-Process", "Invoke-Command", "Invoke-WmiMethod", "Invoke-CimMethod"), commands("powershell", "code_execution", "CWE-95", "Add-Type"), commands("powershell", "ssrf", "CWE-918", "Invoke-WebRequest", "Invoke-RestMethod", "iwr", "irm", "Start-BitsTransfer"), commands("powershell", "sql_injection", "CWE-89", "Invoke-Sqlcmd"),
+    commands("powershell", "deserialization", "CWE-502", "Import-Clixml"), commands("powershell", "path_traversal", "CWE-22", "Remove-Item", "Copy-Item", "Move-Item"), commands("powershell", "file_write", "CWE-73", "Set-Content", "Out-File", "Add-Content"), Rule("powershell", r"(?i)-AsPlainText\b", "hardcoded_secret", "CWE-798"),
+    Rule("shell", r"\b(?:ba|z|k)?sh\s+-c\s", "command_execution", "CWE-78"), Rule("shell", r"\|\s*(?:sudo\s+)?(?:ba|z|k)?sh\b", "code_execution", "CWE-494"), Rule("shell", r"(?:^|[;&|]\s*)(?:source|\.)\s+\"?\$", "file_inclusion", "CWE-98"), Rule("shell", r"\brm\s+(?:-\w+\s+)*\"?\$", "path_traversal", "CWE-22"),
+    Rule("shell", r"\b(?:curl|wget)\b[^|;]*\$", "ssrf", "CWE-918"), Rule("shell", r"\bchmod\s+(?:-R\s+)?0?777\b", "security_misconfig", "CWE-732"), Rule("shell", r"\bmktemp\s+-u\b", "toctou", "CWE-367"), Rule("shell", r"\$\([^)]*\$[1-9@*]", "command_substitution", "CWE-78"),
     Rule("*", r"(?i)(?:secret|password|api_key|token)\s*=\s*['\"][^'\"\s]{8,}['\"]", "hardcoded_secret", "CWE-798"),
 ]
 
-def _any(names: Iterable[str]) -> str:
-    return "(?:" + "|".join(re.escape(n) for n in names) + ")"
-
-
-def members(language: str, category: str, owner: str, *names: str, protects: tuple[str, ...] = ()) -> Rule:
-    """A rule for members of a named object."""
-    return Rule(language, rf"\b{re.escape(owner)}\.{_any(names)}\b", category, protects=protects)
-
-
-def methods(language: str, category: str, *names: str, protects: tuple[str, ...] = ()) -> Rule:
-    """A rule for method calls on any object."""
-    return Rule(language, rf"\.{_any(names)}\s*\(", category, protects=protects)
-
-
-def guards(language: str, category: str, protects: tuple[str, ...], *names: str) -> Rule:
-    """A rule for calls of functions that protect."""
-    return Rule(language, rf"(?<![\w.]){_any(names)}\s*\(", category, protects=protects)
-
-
-def marks(language: str, category: str, *names: str, group: int = 0) -> Rule:
-    """A rule for annotations and attributes by their names."""
-    return Rule(language, rf"[@\[]({_any(names)})\b", category, group=group)
-
-
-def routes(language: str, category: str, *owners: str) -> Rule:
-    """A rule for routes that are registered on an application object; the value is the method."""
-    return Rule(language, rf"\b{_any(owners)}\.({_any(VERBS)})\s*\(", category, group=1)
-
-
-def variables(language: str, category: str, *names: str) -> Rule:
-    """A rule for variables that a language gives its programs; a name that ends in a letter ends there."""
-    return Rule(language, "|".join(re.escape(n) + (r"(?!\w)" if n[-1].isalnum() else "") for n in names), category)
-
-
-VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
-_SCRIPTS, _NATIVE, _JVM = ("javascript", "typescript"), ("c", "cpp"), ("java", "kotlin", "scala")
-
 SOURCES = [
     members("python", "HTTP_REQUEST", "request", "args", "form", "json", "data", "files", "headers", "cookies", "values", "GET", "POST"),
     Rule("python", rf"@\w+\.{_any(('route', *VERBS))}\s*\(", "HTTP_ROUTE"),
@@ -160,7 +213,9 @@ ENTRY_POINTS = [
 IMPORTS = [
     Rule("python", r"^\s*(?:from\s+([\w.]+)\s+import|import\s+[\w.]+)", "import", group=0), Rule("javascript", r"(?:require\s*\(|from\s+)\s*['\"]([^'\"]+)['\"]", "import", group=1), Rule("typescript", r"from\s+['\"]([^'\"]+)['\"]", "import", group=1),
     Rule("java", r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", "import", group=1), Rule("c", r"^\s*#\s*include\s*[<\"]([^>\"]+)", "import", group=1), Rule("cpp", r"^\s*#\s*include\s*[<\"]([^>\"]+)", "import", group=1),
-    Rule("go", r"^\s*(?:import\s+)?\"([\w./-]+)\"\s*$", "import", group=1), Rule("rust", r"^\s*use\s+([\w:]+)", "import", group=1), Rule("csharp", r"^\s*using\s+([\w.]+)\s*;", "import", group=1), Rule("php", r"^\s*use\s+([\w\\]+)", "import", group=1), Rule("ruby", r"^\s*require\s+['\"]([^'\"]+)", "import", group=1),
+    Rule("go", r"^\s*(?:import\s+)?\"([\w./-]+)\"\s*$", "import", group=1), Rule("rust", r"^\s*use\s+([\w:]+)", "import", group=1), Rule("csharp", r"^\s*using\s+([\w.]+)\s*;", "import", group=1), Rule("php", r"^\s*use\s+([\w\\]+)", "import", group=1), Rule("ruby", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)", "import", group=1),
+    Rule("kotlin", r"^\s*import\s+([\w.*]+)", "import", group=1), Rule("scala", r"^\s*import\s+([\w.]+)", "import", group=1), Rule("swift", r"^\s*import\s+([\w.]+)", "import", group=1),
+    Rule("shell", r"^\s*(?:source|\.)\s+([^\s;$]+)", "import", group=1), Rule("powershell", r"(?i)^\s*(?:Import-Module|using\s+module|using\s+namespace)\s+([\w./\\-]+)", "import", group=1),
 ]
 
 #: Rules for plain text: personal data as sources, secrets and the like as sinks, markup as sanitizers.
@@ -179,7 +234,3 @@ def load(path: str) -> list[Rule]:
     """Rules from a JSON list of objects with the fields of Rule."""
     with open(path, encoding="utf-8") as f:
         return [Rule(**(x | {"protects": tuple(x.get("protects", ()))})) for x in json.load(f)]
-
-
-def for_language(rules: Iterable[Rule], language: str) -> list[Rule]:
-    return [r for r in rules if r.language in ("*", language)]

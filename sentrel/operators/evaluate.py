@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrel.functions.expressions import severity_rank
+from sentrel.functions.expressions import hypotheses, severity_rank
 
 
 def confusion(rows: DataFrame, truth: Column, predicted: Column, sets: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
@@ -123,3 +123,17 @@ def budget_pack(rows: DataFrame, order: str, size: Column, budget: int, by: str,
     near = rows.join(F.broadcast(before), [by, "_part"])
     run = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return near.withColumn("running", F.sum("_size").over(run)).where(F.col("running") <= budget).drop("_size", "_part", "_before")
+
+
+def unsent(rows: DataFrame, key: list[str], order: str, sent: DataFrame | None = None) -> DataFrame:
+    """Rows that are still to be packed: the first of each key by ``order``, without keys that were sent before."""
+    names = rows.columns
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*names), order).alias("_r")).select("_r.*")
+    return first if sent is None else first.join(sent.select(*key).distinct(), key, "left_anti").select(*names)
+
+
+def best_setting(tests: DataFrame, setting: str, rate: str) -> DataFrame:
+    """One row (setting, rate, hypotheses): the setting of the highest rate, the least of equal ones; without a rate 30 a second."""
+    best = F.max_by(F.struct(setting, rate), F.struct(F.coalesce(rate, F.lit(0.0)), -F.col(setting)))
+    one = tests.agg(best.alias("b")).select(F.coalesce(f"b.{setting}", F.lit(0)).alias(setting), F.coalesce(f"b.{rate}", F.lit(30.0)).alias(rate))
+    return one.withColumn("hypotheses", hypotheses(F.col(rate)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,11 +74,12 @@ def audit_files(tree: DataFrame, ceiling: int = 0, sinks=R.SINKS, sources=R.SOUR
     lang = F.col("language")
     fns = cut_lineage(extract.functions(tree), "functions")
     calls = cut_lineage(extract.call_sites(fns), "calls")
-    src = tagging.tag(lines, sources, lang).select("file", "line", F.col("category").alias("source_type"), F.col("value").alias("variable"))
-    snk = tagging.dedup_sinks(tagging.tag(lines, sinks, lang), "file")
-    san = tagging.tag(lines, sanitizers, lang).select("file", "line", "category", "protects")
-    entry = tagging.tag(lines, R.ENTRY_POINTS, lang).select("file", "line", F.col("category").alias("type"), F.col("value").alias("method"))
-    imports = tagging.tag(lines, R.IMPORTS, lang).select("file", "line", F.col("value").alias("module"))
+    src, hits, san, entry, imports = _tags(lines, sources, sinks, sanitizers, R.ENTRY_POINTS, R.IMPORTS)
+    src = src.select("file", "line", F.col("category").alias("source_type"), F.col("value").alias("variable"))
+    snk = cut_lineage(tagging.dedup_sinks(hits, "file"), "audit-sinks")
+    san = san.select("file", "line", "category", "protects")
+    entry = entry.select("file", "line", F.col("category").alias("type"), F.col("value").alias("method"))
+    imports = imports.select("file", "line", F.col("value").alias("module"))
     named = fns.select(F.col("key").alias("dst"), "file", "name", "class_name")
     if resolve == "import":
         edges = graph.resolved_edges(calls, named, graph.import_targets(imports, tree.select("path")))
@@ -90,6 +92,14 @@ def audit_files(tree: DataFrame, ceiling: int = 0, sinks=R.SINKS, sources=R.SOUR
     return Audit(fns, calls, edges, src, snk, san, entry, imports, feeds.dependencies(tree), memory.all_findings(lines.where(lang.isin("c", "cpp", "rust"))), found, chosen)
 
 
+def _tags(lines: DataFrame, *tables) -> list[DataFrame]:
+    """The hits of each rule table. The text is read and matched once for all of them, and only hits are written."""
+    every = [r for t in tables for r in t]
+    hits = cut_lineage(tagging.tag(lines, every, F.col("language")).drop("content"), "tags")
+    ends = list(itertools.accumulate(map(len, tables)))
+    return [hits.where(F.col("ord").between(end - len(t), end - 1)) for end, t in zip(ends, tables)]
+
+
 def _paths(fns: DataFrame, edges: DataFrame, src: DataFrame, snk: DataFrame, san: DataFrame) -> DataFrame:
     """One path per source, sink and category: the least shortest call path, or the file itself outside functions."""
     spark = fns.sparkSession

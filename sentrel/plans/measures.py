@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sentrel.functions.expressions import json_body, tokens_of
 from sentrel.operators import evaluate as V
 from sentrel.session import table
 
@@ -55,6 +56,27 @@ def verdict_summary(spark, d):
     return V.verdict_summary(li)
 
 
+def best_setting(spark, d):
+    """The setting of the highest rate, and how many answers it leaves time for."""
+    e = table(spark, d, "events").groupBy((F.col("user_id") % 5 * 8).cast("int").alias("setting")).agg(F.round(F.avg("value"), 4).alias("rate"))
+    return V.best_setting(e, "setting", "rate")
+
+
+def answer_bodies(spark, d):
+    """JSON inside answers: fenced, thought about, followed by more brackets, with brackets in strings, cut off or absent."""
+    k = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit('{"a": {"id": '), k, F.lit('}, "b": ["}", "\\\\"]}'))
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("<think>{no}</think> so\n```json\n"), body, F.lit("\n``` or {x}"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("say ["), k, F.lit(", {}] and ]"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("cut "), F.substring(body, 1, 12))).otherwise(F.lit("none"))
+    return table(spark, d, "orders").select("o_orderkey", json_body(text).alias("body"))
+
+
+def unsent_pack(spark, d):
+    """Texts that fit in the budget of a source, each once, without those that went out before."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("digest"), tokens_of(F.col("text")).alias("n"))
+    sent = docs.where("doc_id % 7 = 0")
+    return V.budget_pack(V.unsent(docs, ["source", "digest"], "doc_id", sent), "doc_id", F.col("n"), 20000, "source").select("doc_id", "source", "running")
+
+
 def severity_breakdown(spark, d):
     return V.breakdown(table(spark, d, "orders"), "o_orderpriority")
 
@@ -80,7 +102,7 @@ def event_windows(spark, d):
     return e.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (confusion, anomaly, vote, inventory, source_sets, tree_hash, path_summary, verdict_summary, severity_breakdown, calibrate, json_extract, budget_pack, event_windows)}
+QUERIES = {f.__name__: f for f in (confusion, anomaly, vote, inventory, source_sets, tree_hash, path_summary, verdict_summary, severity_breakdown, calibrate, json_extract, answer_bodies, best_setting, unsent_pack, budget_pack, event_windows)}
 
 ORACLES = {
     "confusion": f"""WITH r AS (SELECT lang, source, toxic = 1 AS t, regexp_matches(lower(text), '{BAD}') AS p FROM documents JOIN labels USING (doc_id)),
@@ -101,6 +123,10 @@ ORACLES = {
     "calibrate": """WITH p AS (SELECT l_suppkey, avg((l_returnflag = 'A')::DOUBLE::DOUBLE) AS p FROM lineitem GROUP BY 1)
       SELECT l_suppkey, round(p, 6) AS precision, round(least(0.95, greatest(0.3, 0.6 + CASE WHEN p * 3 < 0.3 THEN 0.15 WHEN p * 3 < 0.5 THEN 0.1 WHEN p * 3 < 0.7 THEN 0.05 WHEN p * 3 > 0.9 THEN -0.05 ELSE 0 END)), 4)::DOUBLE AS threshold FROM p""",
     "json_extract": "SELECT event_type, sum((props::JSON->>'k')::INT)::BIGINT AS k, count(*) FILTER ((props::JSON->>'k')::INT > 50) AS large FROM events GROUP BY 1",
+    "best_setting": "WITH t AS (SELECT (user_id % 5 * 8)::INT AS setting, round(avg(value), 4) AS rate FROM events GROUP BY 1) SELECT setting, rate, least(10, greatest(1, floor(rate * 180 / 2048)))::BIGINT AS hypotheses FROM t ORDER BY rate DESC, setting LIMIT 1",
+    "answer_bodies": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '{"a": {"id": ' || o_orderkey || '}, "b": ["}", "\\\\"]}' WHEN 1 THEN '[' || o_orderkey || ', {}]' END AS body FROM orders""",
+    "unsent_pack": """WITH d AS (SELECT doc_id, source, md5(text) AS h, length(text) AS n FROM documents), u AS (SELECT source, h, min(doc_id) AS doc_id, min(n) AS n FROM d GROUP BY ALL HAVING NOT bool_or(doc_id % 7 = 0)),
+      r AS (SELECT doc_id, source, sum(n // 4) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS running FROM u) SELECT * FROM r WHERE running <= 20000""",
     "budget_pack": "SELECT * FROM (SELECT doc_id, source || '/' || lang AS grp, sum(n_chars // 4) OVER (PARTITION BY source, lang ORDER BY doc_id)::BIGINT AS running FROM documents) WHERE running <= 4000",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

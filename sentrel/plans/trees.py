@@ -30,6 +30,15 @@ int copy{k}(char *input, int n) {{
 MODULE = "import os, shlex\nfrom flask import request\n\ndef run{k}():\n    cmd = {read}\n    return step{n}(cmd)\n\ndef step{k}(x):\n    y = x\n    {end}\n"
 NEEDS = "lib{s}=={v}.0  # pinned\nplain{r}\n"
 
+#: A file of each further language; names carry the part's key.
+OTHERS = {
+    "go": ("go", 'package p\n\nimport "os/exec"\n\nfunc (s *Store{k}) Run{k}(a, b string) error {\n\treturn exec.Command(a, b).Run()\n}\n'),
+    "java": ("java", 'import java.util.List;\n\npublic class Shop{k} {\n    public Shop{k}(int size) {\n        init(size);\n    }\n\n    @Override\n    public static List<String> find{k}(\n            @Param("id") String id,\n            int most) throws Error {\n        return st.executeQuery("select " + id); // find(id)\n    }\n}\n'),
+    "ruby": ("rb", "require 'json'\n\nclass Job{k}\n  def run{k}(name, most = 1)\n    items.each do |i|\n      system(name)\n    end\n  end\nend\n"),
+    "scala": ("scala", "import sys.process\n\nobject Main{k} {\n  def load{k}(x: Int): Int = parse(x)\n}\n"),
+    "rust": ("rs", "use std::fs;\n\nstruct Kit{k};\nimpl<'a> Kit{k} {\n    fn read{k}(s: &'a str, c: char) -> bool {\n        c == '{' && fs::read(s)\n    }\n}\n"),
+    "shell": ("sh", '#!/bin/sh\nsource lib.sh\nfunction clean{k} {\n  rm -rf "$1" # }\n}\n')}
+
 
 def _text(template: str, **parts: Column) -> Column:
     """A template with columns in place of its names."""
@@ -55,6 +64,14 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(p.where(s % 10 == 0).select(_text("deps/m{k}/requirements.txt", k=k).alias("path"), F.lit(None).cast("string").alias("language"), needs.alias("content")))
 
 
+def other_tree(spark: SparkSession, d: str) -> DataFrame:
+    """(path, language, content): a file of one of OTHERS per part."""
+    k, n = F.col("p_partkey"), len(OTHERS)
+    filled = lambda text: F.replace(F.lit(text), F.lit("{k}"), k.cast("string"))
+    rows = [F.when(k % n == i, F.struct(filled(f"src/{name}{{k}}.{end}").alias("path"), F.lit(name).alias("language"), filled(body).alias("content"))) for i, (name, (end, body)) in enumerate(OTHERS.items())]
+    return table(spark, d, "part").select(F.coalesce(*rows).alias("f")).select("f.*")
+
+
 def _audit(spark, d, **how) -> A.Audit:
     return A.audit_files(tree(spark, d), **how)
 
@@ -98,6 +115,22 @@ def function_list(spark, d):
     return extract.functions(tree(spark, d)).select("key", "name", "class_name", "line", "end_line", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"))
 
 
+def other_functions(spark, d):
+    """Functions of the languages that are read by blocks."""
+    fns = extract.functions(other_tree(spark, d))
+    return fns.select("key", "name", "class_name", "line", "end_line", "is_constructor", "is_static", F.array_join("params", ",").alias("params"), F.array_join(F.transform("calls", lambda c: c["name"]), ",").alias("calls"))
+
+
+def other_sinks(spark, d):
+    hits = tagging.tag(files.lines_of(other_tree(spark, d)), rules.SINKS, F.col("language"))
+    return tagging.dedup_sinks(hits, "file").groupBy("line", "category", "severity").agg(F.count("*").alias("n"))
+
+
+def other_imports(spark, d):
+    hits = tagging.tag(files.lines_of(other_tree(spark, d)), rules.IMPORTS, F.col("language"))
+    return hits.groupBy("language", "line", "value").agg(F.count("*").alias("n"))
+
+
 def call_list(spark, d):
     """Call sites with their arguments."""
     calls = extract.call_sites(_functions(spark, d, "python"))
@@ -132,7 +165,7 @@ def callers_in_spans(spark, d):
     return graph.innermost(joined, ["file", "line", "name"], [F.desc("start")]).select("file", "line", "name", "key")
 
 
-QUERIES = {f.__name__: f for f in (audit_paths, audit_imports, audit_summary, audit_selected, taint_flows, memory_findings, dependency_list, function_list, call_list, variable_list, import_list, tree_layout, tree_inventory, callers_in_spans)}
+QUERIES = {f.__name__: f for f in (audit_paths, audit_imports, audit_summary, audit_selected, taint_flows, memory_findings, dependency_list, function_list, other_functions, other_sinks, other_imports, call_list, variable_list, import_list, tree_layout, tree_inventory, callers_in_spans)}
 
 _P = "n AS (SELECT count(*) AS n FROM part), p AS (SELECT p_partkey AS k, p_size AS s, (7 * p_partkey + 3) % n AS n1, (p_partkey + p_size) % n AS n2 FROM part, n)"
 _RUN, _STEP = "'src/m' || {0} || '.py::run' || {0} || '@4'", "'src/m' || {0} || '.py::step' || {0} || '@8'"
@@ -147,6 +180,10 @@ _CALLS = """c AS (SELECT 'src/m' || k || '.py' AS file, '::run' || k || '@4' AS
   UNION ALL SELECT 'src/m' || k || '.py', '::step' || k || '@8', 10, 'step' || n2, NULL, 'y' FROM p WHERE s % 4 >= 2)"""
 _MEMORY = "(5, 'allocation_size', 'HIGH', 0.7, 'CWE-190', 'allocation'), (4, 'unbounded_write', 'CRITICAL', 0.95, 'CWE-120', 'buffer'), (7, 'use_after_free', 'CRITICAL', 0.8, 'CWE-416', 'lifetime'), (2, 'integer_overflow', 'HIGH', 0.7, 'CWE-190', 'int_overflow'), (5, 'integer_overflow', 'HIGH', 0.7, 'CWE-190', 'int_overflow'), (8, 'format_string', 'CRITICAL', 0.85, 'CWE-134', 'format')"
 _SIZE = {"python": len(MODULE.format(k="", read="", n="", end="")), "c": len(C_FILE.format(k="")), "needs": len(NEEDS.format(s="", v="", r=""))}
+_OTHERS = """(0, 'go', 'go', 'Store', 'Run', 5, 7, false, false, 'a,b', 'Command,Run'), (1, 'java', 'java', 'Shop', 'Shop', 4, 6, true, false, 'size', 'init'), (1, 'java', 'java', 'Shop', 'find', 9, 13, false, true, 'id,most', 'executeQuery'),
+  (2, 'ruby', 'rb', 'Job', 'run', 4, 8, false, false, 'name,most', 'system'), (3, 'scala', 'scala', 'Main', 'load', 4, 4, false, false, 'x', 'parse'), (4, 'rust', 'rs', 'Kit', 'read', 5, 7, false, false, 's,c', 'read'), (5, 'shell', 'sh', '', 'clean', 3, 5, false, false, '', '')"""
+_SINKS = "(0, 6, 'command_execution', 'CRITICAL'), (1, 12, 'sql_injection', 'CRITICAL'), (2, 6, 'command_execution', 'CRITICAL'), (3, 1, 'command_execution', 'CRITICAL'), (4, 6, 'path_traversal', 'HIGH'), (5, 4, 'path_traversal', 'HIGH')"
+_NEEDED = "(1, 'java', 1, 'java.util.List'), (0, 'go', 3, 'os/exec'), (2, 'ruby', 1, 'json'), (3, 'scala', 1, 'sys.process'), (4, 'rust', 1, 'std::fs'), (5, 'shell', 2, 'lib.sh')"
 ORACLES = {
     "audit_paths": f"WITH RECURSIVE {_W} SELECT * FROM f",
     # no module imports another, so a call only reaches its own file
@@ -162,6 +199,10 @@ ORACLES = {
       UNION ALL SELECT 'plain' || p_partkey % 5, NULL, 'deps/m' || p_partkey || '/requirements.txt' FROM part WHERE p_size % 10 = 0) SELECT 'pypi' AS ecosystem, name, version, min(file) AS file FROM d GROUP BY ALL""",
     "function_list": f"""WITH {_P} SELECT {_RUN.format('k')} AS key, 'run' || k AS name, '' AS class_name, 4 AS line, 6 AS end_line, 0 AS n_params, 1 + (s % 3 = 0)::INT AS n_calls FROM p
       UNION ALL SELECT {_STEP.format('k')}, 'step' || k, '', 8, 10, 1, 1 + (s % 4 = 1)::INT FROM p UNION ALL SELECT 'src/c' || k || '.c::copy' || k || '@2', 'copy' || k, '', 2, 10, 2, 4 FROM p WHERE s % 5 = 0""",
+    "other_functions": f"""SELECT 'src/' || language || p_partkey || '.' || ext || '::' || CASE WHEN class_name = '' THEN '' ELSE class_name || p_partkey || '.' END || name || p_partkey || '@' || line AS key, name || p_partkey AS name,
+      CASE WHEN class_name = '' THEN '' ELSE class_name || p_partkey END AS class_name, line, end_line, is_constructor, is_static, params, calls FROM part JOIN (VALUES {_OTHERS}) v(i, language, ext, class_name, name, line, end_line, is_constructor, is_static, params, calls) ON i = p_partkey % {len(OTHERS)}""",
+    "other_sinks": f"SELECT line, category, severity, count(*) AS n FROM part JOIN (VALUES {_SINKS}) v(i, line, category, severity) ON i = p_partkey % {len(OTHERS)} GROUP BY ALL",
+    "other_imports": f"SELECT language, line, value, count(*) AS n FROM part JOIN (VALUES {_NEEDED}) v(i, language, line, value) ON i = p_partkey % {len(OTHERS)} GROUP BY ALL",
     "call_list": f"WITH {_P}, {_CALLS} SELECT file || f AS src, line, name, receiver, arguments FROM c",
     "variable_list": f"""WITH {_P} SELECT 'cmd' AS name, false AS is_param, count(*) AS n, 5 AS first, count(DISTINCT s % 3 = 0) AS n_forms FROM p UNION ALL SELECT 'x', true, count(*), 8, 0 FROM p UNION ALL SELECT 'y', false, count(*), 9, 1 FROM p""",
     "import_list": "SELECT 1 AS line, 'import os' AS module, count(*) AS n FROM part UNION ALL SELECT 2, 'from flask import', count(*) FROM part UNION ALL SELECT 1, 'string.h', count(*) FROM part WHERE p_size % 5 = 0",

@@ -14,18 +14,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FUNCTIONS = "file string, language string, key string, name string, class_name string, line int, end_line int, params array<string>, calls array<struct<line:int,name:string,receiver:string,arguments:array<string>>>, statements array<struct<line:int,target:string,expr:string,call:string,returned:boolean>>"
+FUNCTIONS = "file string, language string, key string, name string, class_name string, line int, end_line int, is_constructor boolean, is_static boolean, params array<string>, calls array<struct<line:int,name:string,receiver:string,arguments:array<string>>>, statements array<struct<line:int,target:string,expr:string,call:string,returned:boolean>>"
+#: Function heads by language: the first pair of groups that matched is (name, parameters).
 _HEADS = {
-    "go": re.compile(r"^\s*func\s*(?:\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)"), "rust": re.compile(r"\bfn\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)"),
-    "javascript": re.compile(r"\bfunction\s+(\w+)\s*\(([^)]*)\)|\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>"),
-    "php": re.compile(r"\bfunction\s+(\w+)\s*\(([^)]*)\)"), "kotlin": re.compile(r"\bfun\s+(\w+)\s*\(([^)]*)\)"), "swift": re.compile(r"\bfunc\s+(\w+)\s*\(([^)]*)\)"),
-    "scala": re.compile(r"\bdef\s+(\w+)\s*\(([^)]*)\)"), "shell": re.compile(r"^\s*(?:function\s+)?(\w+)\s*\(\s*()\)"), "powershell": re.compile(r"(?i)\bfunction\s+([\w-]+)\s*(?:\(([^)]*)\))?")}
+    "go": re.compile(r"^\s*func\s*(?:\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?\(([^)]*)\)"), "rust": re.compile(r"\bfn\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)"),
+    "javascript": re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\(([^)]*)\)|\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>"),
+    "php": re.compile(r"\bfunction\s+&?(\w+)\s*\(([^)]*)\)"), "kotlin": re.compile(r"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*\(([^)]*)\)"), "swift": re.compile(r"\bfunc\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)"),
+    "scala": re.compile(r"\bdef\s+(\w+)\s*(?:\[[^\]]*\]\s*)?\(([^)]*)\)"), "ruby": re.compile(r"^\s*def\s+(?:self\.)?(\w+[?!=]?)\s*(?:\(([^)]*)\))?"),
+    "shell": re.compile(r"^\s*function\s+([\w-]+)()\s*(?:\(\s*\))?|^\s*(\w+)\s*\(\s*()\)"), "powershell": re.compile(r"(?i)^\s*(?:function|filter|workflow)\s+(?:\w+:)?([\w-]+)\s*(?:\(([^)]*)\))?")}
 _HEADS["typescript"] = _HEADS["javascript"]
-_GENERIC = re.compile(r"^[\w\s<>,*&:\[\]@.]*?\b(\w+)\s*\(([^;{}()]*)\)\s*(?:const\s*|throws\s+[\w, ]+)?\{?\s*$")
-_KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "else", "do", "sizeof", "new", "synchronized", "using", "lock"}
-_CALL = re.compile(r"(?:(\w+)(?:\.|->|::))?\b(\w+)\s*\(([^()]*)\)?")
+_GENERIC = re.compile(r"^[\w\s<>,*&:~\[\]@.]*?\b(\w+)\s*\(([^;{}()]*)\)\s*(?:const\s*|override\s*|noexcept\s*|throws\s+[\w, .]+|where\s+[^{;]*)*(?::[^;{}]*)?\s*(?:\{.*)?$")
+_TYPES = re.compile(r"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)|\bstruct\s+(\w+)\s*(?:<[^>]*>)?\s*(?:[:{]|$)|\b(?:enum\s+class|class|interface|object|trait|module|enum)\s+(\w+)")
+_RECEIVER = re.compile(r"^\s*func\s*\(\s*(?:\w+\s+)?\*?(\w+)|\b(\w+)::~?\w+\s*\(")
+_KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "else", "elif", "elsif", "do", "sizeof", "new", "synchronized", "using", "lock", "unless", "until", "foreach", "match"}
+_CALL = re.compile(r"(?:\b(\w+)(?:\.|->|::))?\b(\w+)\s*\(")
+_ANNOTATION = re.compile(r"@[\w.]+\s*\([^()]*\)")
 _RETURN = re.compile(r"^\s*return\b\s*(.*?);?\s*$")
 _ASSIGN = re.compile(r"^\s*(?:[\w<>\[\]*&:]+\s+)*?[*&$]?(\w+)\s*(?::=|=)(?!=)\s*(.+)$")
+_DOUBLE, _SLASHES, _HASH = r"\"(?:\\.|[^\"\\\n])*\"", r"//[^\n]*|/\*.*?\*/", r"(?<![\w$\{&])#[^\n]*"
+_SINGLE, _LETTER = r"'(?:\\.|[^'\\\n])*'", r"'(?:\\[^\n]{1,8}?|[^'\\\n])'"
+_HIDDEN = {"rust": re.compile(f"{_DOUBLE}|{_LETTER}|{_SLASHES}", re.S)} | {x: re.compile(f"{_DOUBLE}|{_SINGLE}|{_HASH}", re.S) for x in ("ruby", "shell", "powershell")}
+_HIDDEN_ELSE = re.compile(f"{_DOUBLE}|{_SINGLE}|{_SLASHES}", re.S)
+#: What opens and closes a block of Ruby: a word that begins a line, or a ``do`` that ends it.
+_RUBY_OPEN = re.compile(r"^\s*(?:def|class|module|if|unless|while|until|case|begin|for)\b|\bdo\s*(?:\|[^|]*\|)?\s*$")
+_RUBY_CLOSE = re.compile(r"^\s*end\b")
+#: Lines after which a body without a block ends.
+_REACH, _REACH_SCALA = 200, 20
 
 
 def split_arguments(text: str) -> list[str]:
@@ -48,23 +62,29 @@ def split_arguments(text: str) -> list[str]:
     return [*out, part.strip()] if part.strip() else out
 
 
-def parameter_names(text: str) -> list[str]:
-    """Identifiers of a parameter list, whether the type comes first or last."""
+def parameter_names(text: str, language: str = "") -> list[str]:
+    """Identifiers of a parameter list, whether the type comes first or last; in Go the name does."""
     names = []
-    for p in split_arguments(text):
+    while "<" in text and (bare := re.sub(r"<[^<>]*>", "", text)) != text:
+        text = bare
+    for p in split_arguments(re.sub(r"'\w+\b(?!')", "", text)):
         p = p.split("=")[0].strip()
         word = re.findall(r"[A-Za-z_]\w*", p.split(":")[0] if ":" in p and "::" not in p else p)
-        if word and word[-1] not in ("void", "self", "this"):
-            names.append(word[-1])
+        name = word and word[0 if language == "go" else -1]
+        if name and name not in ("void", "self", "this"):
+            names.append(name)
     return names
 
 
 def python_functions(source: str) -> list[dict]:
-    """Functions of a Python file; an unparsable file has none."""
+    """Functions of a Python file; one that can't be parsed, or nests too deeply for the parser, has none."""
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+        return _python_functions(ast.parse(source))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
+
+
+def _python_functions(tree: ast.AST) -> list[dict]:
     out = []
 
     def visit(node: ast.AST, owner: str) -> None:
@@ -85,7 +105,8 @@ def python_functions(source: str) -> list[dict]:
                     inner = next((c for c in ast.walk(n.value) if isinstance(c, ast.Call)), None)
                     called = inner and (inner.func.attr if isinstance(inner.func, ast.Attribute) else getattr(inner.func, "id", None))
                     statements.append({"line": n.lineno, "target": target.id if isinstance(target, ast.Name) else None, "expr": ast.unparse(n.value), "call": called or None, "returned": isinstance(n, ast.Return)})
-                out.append({"name": child.name, "class_name": owner, "line": child.lineno, "end_line": child.end_lineno or child.lineno, "params": params, "calls": calls, "statements": statements})
+                static = any(isinstance(d, ast.Name) and d.id in ("staticmethod", "classmethod") for d in child.decorator_list)
+                out.append({"name": child.name, "class_name": owner, "line": child.lineno, "end_line": child.end_lineno or child.lineno, "is_constructor": child.name == "__init__", "is_static": static, "params": params, "calls": calls, "statements": statements})
                 visit(child, owner)
             else:
                 visit(child, child.name if isinstance(child, ast.ClassDef) else owner)
@@ -94,47 +115,109 @@ def python_functions(source: str) -> list[dict]:
     return out
 
 
+def _hide(source: str, language: str) -> str:
+    """The source with blanks in place of strings and comments; lines and columns stay."""
+    return _HIDDEN.get(language, _HIDDEN_ELSE).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+
+
+def _block_ends(code: list[str], language: str) -> dict[int, int]:
+    """The line on which the first block that a line opens is closed, in one pass over hidden lines."""
+    ends, stack = {}, []
+    for k, text in enumerate(code):
+        if language == "ruby":
+            if _RUBY_OPEN.search(text) and not re.search(r"\bend\s*$", text):
+                stack.append(k)
+            elif _RUBY_CLOSE.search(text) and stack:
+                ends[stack.pop()] = k
+            continue
+        for c in re.findall(r"[{}]", text):
+            if c == "{":
+                stack.append(k)
+            elif stack:
+                ends[stack.pop()] = k  # the outermost of a line is closed last
+    return ends
+
+
+def _line_calls(line: str, code: str, at: int) -> list[dict]:
+    """Calls of a line from a place on; arguments go to the bracket that closes them, or to the next one if the line has none."""
+    closed, stack, out = {}, [], []
+    for b in re.finditer(r"[()]", code):
+        if b[0] == "(":
+            stack.append(b.start())
+        elif stack:
+            closed[stack.pop()] = b.start()
+    for c in _CALL.finditer(line, at):
+        if c[2] not in _KEYWORDS and code[c.start(2) : c.end(2)] == c[2]:
+            stop = closed.get(c.end() - 1)
+            arguments = line[c.end() : stop] if stop is not None else re.match(r"[^()]*", line[c.end() : c.end() + 4096])[0]
+            out.append({"name": c[2][:100], "receiver": c[1], "arguments": split_arguments(arguments)})
+    return out
+
+
 def brace_functions(source: str, language: str) -> list[dict]:
-    """Functions by their heads and matching braces; without a brace a body ends 200 lines on, or with the file."""
-    lines, out, owner = source.split("\n"), [], ""
-    head = _HEADS.get(language, _GENERIC)
-    for k, text in enumerate(lines):
-        c = re.search(r"\b(?:class|struct|impl|interface|object|trait)\s+(\w+)", text)
-        owner = c[1] if c else owner
+    """Functions by their heads and blocks, each with the innermost type that holds it.
+
+    A block begins on one of the three lines from the end of the head. A function without one ends on its line if it has a body after
+    ``=`` or an arrow or is a declaration, else 20 lines on in Scala and 200 lines on in other languages, or with the file.
+    """
+    lines = source.split("\n")
+    code, head = _hide(source, language).split("\n"), _HEADS.get(language, _GENERIC)
+    ends, out, types, last = _block_ends(code, language), [], [], len(lines) - 1
+
+    def block(k: int) -> int | None:
+        return next((ends.get(j, min(k + _REACH, last)) for j in range(k, min(k + 3, len(code))) if (_RUBY_OPEN.search(code[j]) if language == "ruby" else "{" in code[j])), None)
+
+    for k, text in enumerate(code):
+        if head is _GENERIC and "@" in text:
+            text = _ANNOTATION.sub(lambda m: " " * len(m[0]), text)
+        while types and types[-1][0] < k:
+            types.pop()
+        t = _TYPES.search(text)
+        if t and (stop := block(k)) is not None:
+            types.append((stop, t[1] or t[2] or t[3]))
+        low = k
+        if text.count("(") > text.count(")"):  # a list of parameters over several lines
+            while low < min(k + 20, last) and text.count("(") > text.count(")"):
+                low += 1
+                text += " " + _ANNOTATION.sub("", code[low])
         m = head.search(text)
         if not m:
             continue
         name, params = next(((m[i], m[i + 1] or "") for i in range(1, (m.lastindex or 1) + 1, 2) if m[i]), (None, ""))
-        if not name or name in _KEYWORDS or (head is _GENERIC and not any("{" in x for x in lines[k : k + 2])):
+        rest = text[m.end(m.lastindex) :].lstrip(") ") if m.lastindex else ""
+        if not name or name in _KEYWORDS or (head is _GENERIC and not any("{" in x for x in code[low : low + 2])):
             continue
-        depth, opened, end = 0, False, min(k + 200, len(lines) - 1)
-        for j in range(k, len(lines)):
-            body = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*", "", lines[j])
-            depth += body.count("{") - body.count("}")
-            opened = opened or "{" in body
-            if opened and depth <= 0:
-                end = j
-                break
+        if language == "rust" and "{" not in rest and rest.rstrip().endswith(";"):
+            continue  # a signature
+        short = "{" not in rest and (rest.rstrip().endswith(";") or re.search(r"=>?\s*\S", rest))
+        end = k if language != "ruby" and short else block(low)
+        if end is None:
+            end = min(k + (_REACH_SCALA if language == "scala" else _REACH), last)
+        own = _RECEIVER.search(text) if language in ("go", "cpp") else None
+        owner = (own[1] or own[2]) if own else types[-1][1] if types else ""
         calls, statements = [], []
-        for j in range(k + 1, end + 1):
-            for receiver, called, args in _CALL.findall(lines[j]):
-                if called not in _KEYWORDS:
-                    calls.append({"line": j + 1, "name": called[:100], "receiver": receiver or None, "arguments": split_arguments(args)})
+        for j in range(k if low == k else low + 1, end + 1):
+            at = m.end(m.lastindex or 0) if j == k else 0  # a body may begin on the head's line
+            calls += [c | {"line": j + 1} for c in _line_calls(lines[j], code[j], at)]
+            if j == k:
+                continue
             a, called, back = _ASSIGN.match(lines[j]), _CALL.search(lines[j]), _RETURN.match(lines[j])
             if a or called or back:
                 expr = back[1] if back else a[2] if a else lines[j].strip()
                 statements.append({"line": j + 1, "target": a[1] if a and not back else None, "expr": expr, "call": called[2] if called and called[2] not in _KEYWORDS else None, "returned": bool(back)})
-        out.append({"name": name, "class_name": owner, "line": k + 1, "end_line": end + 1, "params": parameter_names(params), "calls": calls, "statements": statements})
+        static = bool(re.search(r"\bstatic\b", text[: m.end()])) or (language == "ruby" and "self." in text)
+        built = bool(owner) and name in (owner, "constructor", "init", "initialize", "__construct")
+        out.append({"name": name, "class_name": owner, "line": k + 1, "end_line": end + 1, "is_constructor": built, "is_static": static, "params": parameter_names(params, language), "calls": calls, "statements": statements})
     return out
 
 
 def functions(files: DataFrame) -> DataFrame:
     """All functions of (path, language, content), keyed file::class.name@line."""
-    names = [x.strip().split(" ")[0] for x in ("file", "language", "key", "name", "class_name", "line", "end_line", "params", "calls", "statements")]
+    names = [x.strip().split(" ")[0] for x in ("file", "language", "key", "name", "class_name", "line", "end_line", "is_constructor", "is_static", "params", "calls", "statements")]
 
     call = pa.struct([("line", pa.int32()), ("name", pa.string()), ("receiver", pa.string()), ("arguments", pa.list_(pa.string()))])
     statement = pa.struct([("line", pa.int32()), ("target", pa.string()), ("expr", pa.string()), ("call", pa.string()), ("returned", pa.bool_())])
-    schema = pa.schema([("file", pa.string()), ("language", pa.string()), ("key", pa.string()), ("name", pa.string()), ("class_name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("params", pa.list_(pa.string())), ("calls", pa.list_(call)), ("statements", pa.list_(statement))])
+    schema = pa.schema([("file", pa.string()), ("language", pa.string()), ("key", pa.string()), ("name", pa.string()), ("class_name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("is_constructor", pa.bool_()), ("is_static", pa.bool_()), ("params", pa.list_(pa.string())), ("calls", pa.list_(call)), ("statements", pa.list_(statement))])
     assert names == schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

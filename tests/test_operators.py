@@ -49,6 +49,25 @@ def test_rules_of_all_languages(spark):
     assert sorted(r.language for r in tagging.tag(entry, R.ENTRY_POINTS, F.col("language")).collect()) == ["kotlin", "php", "ruby", "scala", "shell", "swift"]
 
 
+def test_sinks_of_all_languages(spark):
+    code = {
+        "python": ("x = dill.loads(b)", "deserialization"), "javascript": ("el.outerHTML = x", "xss"), "typescript": ("res.redirect(u)", "open_redirect"), "java": ("new ObjectInputStream(in)", "deserialization"), "kotlin": ("db.rawQuery(q)", "sql_injection"),
+        "scala": ('sql"select #$x"', "sql_injection"), "c": ("vsprintf(a, b)", "buffer_overflow"), "cpp": ("reinterpret_cast<T>(x)", "type_confusion"), "go": ("os.ReadFile(p)", "path_traversal"), "rust": ("let x = fs::read(p);", "path_traversal"),
+        "csharp": ("db.FromSqlRaw(q)", "sql_injection"), "php": ("echo $_GET['a'];", "xss"), "ruby": ("User.find_by_sql(q)", "sql_injection"), "swift": ("web.evaluateJavaScript(s)", "xss"), "powershell": ("$x = invoke-restmethod $u", "ssrf"), "shell": ('rm -rf "$1"', "path_traversal")}
+    df = spark.createDataFrame([(lang, line) for lang, (line, _) in code.items()], "language string, content string")
+    got = {(r.language, r.category) for r in tagging.tag(df, R.SINKS, F.col("language")).collect()}
+    assert got >= {(lang, category) for lang, (_, category) in code.items()}
+
+
+def test_best_setting_and_unsent(spark):
+    t = spark.createDataFrame([(8, 50.0), (0, 50.0), (16, None)], "s int, r double")
+    assert tuple(evaluate.best_setting(t, "s", "r").first()) == (0, 50.0, 4)
+    assert tuple(evaluate.best_setting(t.where("s > 99"), "s", "r").first()) == (0, 30.0, 2)
+    c = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "b", 2), (4, None, 2)], "id int, f string, at int")
+    assert rows(evaluate.unsent(c, ["f", "at"], "id"), "id") == [(1,), (3,), (4,)]
+    assert rows(evaluate.unsent(c, ["f", "at"], "id", c.where("id = 3")), "id") == [(1,), (4,)]
+
+
 def test_severity_blockers_language(spark):
     df = spark.createDataFrame([("sql_injection", "x/a.TS"), ("other", "b.unknown")], "c string, p string")
     got = df.select(severity_of(F.col("c")).alias("s"), blockers_of(F.col("c")).alias("b"), language_of(F.col("p")).alias("l")).collect()

@@ -112,3 +112,39 @@ def test_sessions_scanner_reports_and_comments(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/s/events.parquet")
     E.drain(E.distinct_events(E.event_stream(spark, f"{tmp_path}/s/events.parquet"), ["event_id"]), f"{tmp_path}/out", f"{tmp_path}/check")
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+def spans(source, language):
+    return [(f["class_name"], f["name"], f["line"], f["end_line"], f["params"]) for f in extract.brace_functions(source, language)]
+
+
+def test_blocks_of_languages():
+    assert spans("class A\n  def self.m(x, y = 1)\n    items.each do |i|\n      go(i)\n    end\n  end\nend\ndef top\n  puts 1\nend\n", "ruby") == [("A", "m", 2, 6, ["x", "y"]), ("", "top", 8, 10, [])]
+    java = "class A {\n  A(int x) {\n    f(x);\n  }\n  static void m(\n      @P(\"id\") String a,\n      Map<String, Integer> b) throws E {\n    g(a, \"h(b)\"); // k(a)\n  }\n}\nvoid out(int q) {\n}\n"
+    assert spans(java, "java") == [("A", "A", 2, 4, ["x"]), ("A", "m", 5, 9, ["a", "b"]), ("", "out", 11, 12, ["q"])]
+    f = extract.brace_functions(java, "java")
+    assert [(x["is_constructor"], x["is_static"]) for x in f] == [(True, False), (False, True), (False, False)]
+    assert [(c["name"], c["arguments"]) for c in f[1]["calls"]] == [("g", ["a", '"h(b)"'])]
+    # bodies on the line of the head, expression bodies, the fallbacks of 20 and 200 lines, signatures
+    assert [c["name"] for c in extract.brace_functions("int f(int x) { return g(x); }\n", "c")[0]["calls"]] == ["g"]
+    assert spans("fun a(x: Int) = g(x)\nfun b(y: String): Int {\n  return h(y)\n}\n", "kotlin") == [("", "a", 1, 1, ["x"]), ("", "b", 2, 4, ["y"])]
+    assert spans("def a(x: Int) =\n" + "  x\n" * 300, "scala") == [("", "a", 1, 21, ["x"])] and spans("def a(x: Int) =\n  x", "scala") == [("", "a", 1, 2, ["x"])]
+    assert spans("function f($a)\n" + "x\n" * 300, "php") == [("", "f", 1, 201, ["a"])]
+    assert spans("trait T {\n  fn z(&self);\n}\nimpl<'a> Foo for Bar<'a> {\n  fn x(s: &'a str, c: char) -> bool {\n    c == '{' && y(s)\n  }\n}\n", "rust") == [("Bar", "x", 5, 7, ["s", "c"])]
+    assert spans("const f = (a) => g(a)\nconst h = async (a) => {\n  await k(a)\n}\n", "javascript") == [("", "f", 1, 1, ["a"]), ("", "h", 2, 4, ["a"])]
+    assert spans('function foo {\n  rm "$1" # }\n}\n', "shell") == [("", "foo", 1, 3, [])] and spans("filter Get-It { x }\n", "powershell") == [("", "Get-It", 1, 1, [])]
+    assert spans("", "c") == [] and spans("}}}{{{(((", "java") == []
+
+
+def test_parsers_survive_hard_files(spark):
+    deep = "def f():\n  return " + "+".join(["a"] * 50_000)
+    t = spark.createDataFrame([("a.py", "python", deep), ("b.py", "python", "def g(): pass"), ("c.c", "c", "x" * 1_000_000 + "\nint f(int a) {\n g(a);\n}\n"), ("d", None, None)], "path string, language string, content string")
+    assert sorted(r.name for r in extract.functions(t).collect()) == ["f", "g"]
+
+
+def test_answers_cut_off_or_nested(spark):
+    from sentrel.functions.expressions import json_body
+
+    want = {'x {"a": "}"} {"b": 1}': '{"a": "}"}', '[1, [2]] z': "[1, [2]]", 'cut {"a": [1': None, "none": None, "": None, '{"q": "\\"}"}!': '{"q": "\\"}"}', "{not json}": None}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.b for r in df.select("t", json_body(F.col("t")).alias("b")).collect()} == want
