@@ -42,17 +42,36 @@ def affects(ranges: Column, version: Column) -> Column:
     return F.coalesce((ranges != "") & (version != "") & ranges.contains(version), F.lit(False))
 
 
+def _containing(names: DataFrame, packages: DataFrame, on: str, name: str, package: str) -> DataFrame:
+    """(on, name, package): the distinct packages that contain a name of the same ``on``.
+
+    Packages are cut into their substrings of the lengths that names have, so names meet them by equality.
+    """
+    names = names.where(F.col(name).isNotNull()).select(on, name).distinct()
+    sizes = names.select(F.length(name).alias("_n")).distinct()  # a row per length
+    cut = packages.select(on, package).distinct().crossJoin(F.broadcast(sizes)).where(F.length(package) >= F.col("_n"))
+    cut = cut.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(package) - F.col("_n") + 1)))
+    parts = cut.select(on, package, F.substring(F.col(package), F.col("_at"), F.col("_n")).alias(name)).distinct()
+    return names.join(parts, [on, name])
+
+
 def like_lookup(deps: DataFrame, records: DataFrame, on: str, name: str, package: str, order: Sequence, top: int, dep_id: str, version: tuple[str, str] | None = None) -> DataFrame:
     """Records of the same ``on`` whose package contains the dependency's name: the top ones per dependency.
 
     ``version`` names the records' affected versions and the dependency's version; a dependency that states one then only
-    keeps records that mention it.
+    keeps records that mention it. ``order`` is of the records' columns. Records alike in what is asked of them fit the same
+    dependencies, so only the top ones of each kind meet the kinds of dependencies, and those their dependencies.
     """
-    hits = deps.join(records, on).where(F.col(package).contains(F.col(name)))
+    ranges, own = version or (None, None)
+    first = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    best = first(records, [on, package, *([ranges] if version else [])]).drop("rank")
+    asked = [on, name, *([own] if version else [])]
+    hits = deps.select(*asked).distinct().join(_containing(deps, records, on, name, package), [on, name]).join(best, [on, package])
     if version:
-        ranges, own = version
         hits = hits.where(F.col(own).isNull() | affects(F.col(ranges), F.col(own)))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(dep_id).orderBy(*order))).where(F.col("rank") <= top)
+    hits = first(hits, asked).drop("rank").withColumnsRenamed({c: f"_{c}" for c in asked})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asked))
+    return first(deps.join(hits, same).drop(*(f"_{c}" for c in asked)), [dep_id])
 
 
 def tokens(text: Column) -> Column:
