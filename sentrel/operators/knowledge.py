@@ -200,13 +200,16 @@ def statistics(records: DataFrame) -> DataFrame:
 def context_for(paths: DataFrame, records: DataFrame, path_id: str, cwe: str, category: str, score: str, top: int = 3) -> DataFrame:
     """Per path the top records by ``score`` that share its CWE id; a path without any takes those of its category.
 
-    records: (id, cwe_ids array, category, score). CWE ids meet by equality after an explode, not by substring.
+    records: (id, cwe_ids array, category, score). CWE ids meet by equality after an explode, not by substring. Only the top
+    records of a CWE id or a category meet paths, as no others can be among those of a path.
     """
-    by_cwe = paths.drop(category).join(records.withColumn(cwe, F.explode("cwe_ids")), cwe).withColumn("how", F.lit("cwe"))
-    lost = paths.join(by_cwe.select(path_id).distinct(), path_id, "left_anti")
-    by_class = lost.join(records, category).withColumn("how", F.lit("category"))
+    first = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), "id"))).where(F.col("rank") <= top)
+    own = first(records.select("id", score, F.explode(F.array_distinct("cwe_ids")).alias(cwe)), cwe).drop("rank")
+    by_cwe = paths.select(path_id, cwe).join(own, cwe).withColumn("how", F.lit("cwe"))
+    lost = paths.select(path_id, category).join(by_cwe.select(path_id).distinct(), path_id, "left_anti")
+    by_class = lost.join(first(records.select("id", score, category), category).drop("rank"), category).withColumn("how", F.lit("category"))
     rows = by_cwe.select(path_id, "id", "how", score).unionByName(by_class.select(path_id, "id", "how", score))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(path_id).orderBy(F.desc(score), "id"))).where(F.col("rank") <= top)
+    return first(rows, path_id)
 
 
 def top_list(records: DataFrame, keep: Column, order: Sequence, limit: int) -> DataFrame:

@@ -24,3 +24,8 @@ def test_lookup_by_version_keeps_top_records_of_each_kind(spark, big):
     even, odd = [(i, r) for r, i in enumerate((0, 2, 4, 6, 8), 1)], [(i, r) for r, i in enumerate((1, 3, 5, 7, 9), 1)]
     # 0 states no version, 1 and 2 ones that are mentioned, 4 one that is not
     assert [tuple(r) for r in got] == [(d, i, r) for d, ids in ((0, odd), (1, even), (2, odd)) for i, r in ids]
+
+
+def test_context_keeps_top_records_of_each_id(spark, big):
+    got = catalog.QUERIES["path_context"](spark, big).where("s_suppkey IN (0, 99999)").orderBy("s_suppkey", "rank").collect()
+    assert [tuple(r) for r in got] == [(s, i, "cwe", r) for s in (0, 99999) for r, i in enumerate((7, 21, 35), 1)]
