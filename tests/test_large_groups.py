@@ -19,6 +19,17 @@ def big(spark, tmp_path_factory):
     return d
 
 
+def test_calls_by_name_are_counted_without_pairs(spark, big):
+    got = catalog.QUERIES["call_edges_by_name"](spark, big)
+    assert got.agg(F.count("*"), F.min("n_callees"), F.max("n_callees"), F.min("first_callee"), F.max("first_callee")).first() == (PARTS // 2, PARTS // 2, PARTS // 2, 1, 1)
+
+
+def test_parts_without_a_name_call_nothing(spark, tmp_path):
+    rows = [(1, None, "Brand#1", 1), (2, None, "Brand#1", 2), (3, "a b", "Brand#1", 1), (4, "c b", "Brand#1", 2)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["call_edges_by_name"](spark, str(tmp_path)).collect()] == [(3, 1, 4)]
+
+
 def test_lookup_by_version_keeps_top_records_of_each_kind(spark, big):
     got = catalog.QUERIES["version_lookup"](spark, big).where("dep IN (0, 1, 2, 4)").orderBy("dep", "rank").collect()
     even, odd = [(i, r) for r, i in enumerate((0, 2, 4, 6, 8), 1)], [(i, r) for r, i in enumerate((1, 3, 5, 7, 9), 1)]
