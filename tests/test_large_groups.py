@@ -30,6 +30,11 @@ def test_parts_without_a_name_call_nothing(spark, tmp_path):
     assert [tuple(r) for r in catalog.QUERIES["call_edges_by_name"](spark, str(tmp_path)).collect()] == [(3, 1, 4)]
 
 
+def test_scoped_calls_are_counted_without_pairs(spark, big):
+    got = catalog.QUERIES["scoped_call_edges"](spark, big)
+    assert got.agg(F.count("*"), F.min("n_callees"), F.max("n_callees")).first() == (PARTS, PARTS, PARTS)
+
+
 def test_lookup_by_version_keeps_top_records_of_each_kind(spark, big):
     got = catalog.QUERIES["version_lookup"](spark, big).where("dep IN (0, 1, 2, 4)").orderBy("dep", "rank").collect()
     even, odd = [(i, r) for r, i in enumerate((0, 2, 4, 6, 8), 1)], [(i, r) for r, i in enumerate((1, 3, 5, 7, 9), 1)]
