@@ -34,20 +34,28 @@ def any_match(line: Column, rules: Sequence[Rule], language: Column | None = Non
 def tag(rows: DataFrame, rules: Sequence[Rule], language: Column | None = None, content: str = "content") -> DataFrame:
     """A row per match: the rows' columns with ord, category, cwe, protects and value.
 
-    A row first meets all patterns of its language joined into one, and only rows that match it are taken apart rule by
-    rule. Each rule is one literal pattern, so a pattern is compiled once.
+    A row first meets all patterns of its language joined into one, and only rows that match it are taken apart by the rules
+    of their language. Each rule is one literal pattern, so a pattern is compiled once.
     """
-    line = F.col(content)
+    line, kind = F.col(content), "array<struct<ord:int,category:string,cwe:string,protects:array<string>,value:string>>"
     rows = rows.where(any_match(line, rules, language))
 
-    def matches(k: int, r: Rule) -> Column:
-        found = F.transform(
-            F.regexp_extract_all(line, F.lit(r.pattern), r.group),
-            lambda m: F.struct(F.lit(k).alias("ord"), F.lit(r.category).alias("category"), F.lit(r.cwe).alias("cwe"), F.array(*map(F.lit, r.protects)).cast("array<string>").alias("protects"), F.substring(m, 1, 200).alias("value")))
-        return found if r.language == "*" or language is None else F.when(language == r.language, found).otherwise(F.array().cast("array<struct<ord:int,category:string,cwe:string,protects:array<string>,value:string>>"))
+    def matches(names: Sequence[str]) -> Column:
+        found = [
+            F.transform(
+                F.regexp_extract_all(line, F.lit(r.pattern), r.group),
+                lambda m: F.struct(F.lit(k).alias("ord"), F.lit(r.category).alias("category"), F.lit(r.cwe).alias("cwe"), F.array(*map(F.lit, r.protects)).cast("array<string>").alias("protects"), F.substring(m, 1, 200).alias("value")))
+            for k, r in enumerate(rules) if r.language in names]
+        return F.concat(*found) if found else F.array().cast(kind)
 
-    found = [matches(k, r) for k, r in enumerate(rules)]
-    return rows.select("*", F.explode(F.concat(*found)).alias("hit")).select(*rows.columns, "hit.*")
+    names = {r.language for r in rules}
+    if language is None:
+        found = matches(names)
+    else:
+        found = matches(["*"])
+        for name in sorted(names - {"*"}):
+            found = F.when(language == name, matches(["*", name])).otherwise(found)
+    return rows.select("*", F.explode(found).alias("hit")).select(*rows.columns, "hit.*")
 
 
 def tag_whole(texts: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:

@@ -50,10 +50,15 @@ def _text(template: str, **parts: Column) -> Column:
     return F.concat(*out)
 
 
+#: Parts whose files are made, parsed and matched by a task. A row of the table is a few bytes, so its scan has few tasks.
+DEALT = 5000
+
+
 def tree(spark: SparkSession, d: str) -> DataFrame:
     """(path, language, content)."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
-    p = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("n")))).withColumns({"first": (7 * F.col("k") + 3) % F.col("n"), "next": (F.col("k") + F.col("s")) % F.col("n")})
+    dealt = p.repartition(p.count() // DEALT + 1, "k")
+    p = dealt.crossJoin(F.broadcast(p.agg(F.count("*").alias("n")))).withColumns({"first": (7 * F.col("k") + 3) % F.col("n"), "next": (F.col("k") + F.col("s")) % F.col("n")})
     k, s = F.col("k"), F.col("s")
     read = F.when(s % 3 == 0, "request.args.get('c')").otherwise("'fixed'")
     end = F.when(s % 4 == 0, "os.system(y)").when(s % 4 == 1, "os.system(shlex.quote(y))").otherwise(_text("return step{n}(y)", n=F.col("next")))

@@ -148,3 +148,27 @@ def test_answers_cut_off_or_nested(spark):
     want = {'x {"a": "}"} {"b": 1}': '{"a": "}"}', '[1, [2]] z': "[1, [2]]", 'cut {"a": [1': None, "none": None, "": None, '{"q": "\\"}"}!': '{"q": "\\"}"}', "{not json}": None}
     df = spark.createDataFrame([(t,) for t in want], "t string")
     assert {r.t: r.b for r in df.select("t", json_body(F.col("t")).alias("b")).collect()} == want
+
+
+def test_parts_of_a_generated_tree_are_dealt_to_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sentrel.plans import trees
+
+    spark.range(3 * trees.DEALT).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = trees.tree(spark, str(tmp_path)).where("language = 'python'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 2 and max(r["count"] for r in made) < 2 * trees.DEALT
+
+
+def test_short_ways_of_the_parser_equal_the_library():
+    import ast
+
+    from sentrel.sources import extract
+
+    source = "def f(a):\n  x = u'q'.join(a)\n  y = f'{a}'.upper()\n  z = 'a\"\\'b'.x(1)(b, *c, k=1).d\n  if a:\n    def g(): return (yield a).b, (lambda: a)(a), (a)(), [h(a, 'x\\n'), 1 .real, b'c']\n  return ('s').join(m(n.o, 'p')), -a.b(), (a + b).c(d)\n"
+    for n in ast.walk(ast.parse(source)):
+        if isinstance(n, ast.expr) and not isinstance(n, ast.Starred):
+            assert extract._source(n) == ast.unparse(n)
+    kinds = lambda nodes: [type(n) for n in nodes if not isinstance(n, ast.expr_context)]
+    assert kinds(extract._walk(ast.parse(source))) == kinds(ast.walk(ast.parse(source)))
+    assert [f["name"] for f in extract.python_functions(source)] == ["f", "g"]
