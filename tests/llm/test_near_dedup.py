@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from sentrel.llm import near_dedup as N
 
 
@@ -109,3 +110,27 @@ def test_a_large_group_of_one_template(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(df).collect() == [] and N.keep_one(df).collect() == []
+
+
+def test_fingerprint_is_a_weighted_vote():
+    """Each bit against sums over all shingles, and the agreement of pairs at the threshold against what the index counts on."""
+    rnd = np.random.default_rng(3)
+    h = rnd.integers(0, 1 << 63, 37, dtype=np.uint64)
+    want = bytearray()
+    for p in range(N.POSITIONS):
+        votes, (a, b) = [0.0] * 8, (int(N._MIX[0][p]), int(N._MIX[1][p]))
+        for v in h.tolist():
+            x = (v ^ a) * b % (1 << 64)
+            x = (x ^ x >> 32) * a % (1 << 64)
+            weight = (((x >> 11) + 1) / (1 << 53)) ** -4
+            votes = [s + (weight if x >> 7 - k & 1 else -weight) for k, s in enumerate(votes)]
+        want.append(sum((s > 0) << 7 - k for k, s in enumerate(votes)))
+    assert N.signature(h)[0] == bytes(want)
+    assert N.signature(h[:0])[0] == bytes(N.POSITIONS)
+    for n in (10, 40, 400):
+        same = []
+        for _ in range(40):
+            h = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+            x, y = (np.frombuffer(N.signature(s)[0], np.uint8) for s in (h[n // 10 :], h[: n - n // 10]))
+            same.append((x == y).mean())
+        assert np.mean(same) >= N.KEPT * 0.8 - 0.02
